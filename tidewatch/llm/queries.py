@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import fixity, licences, mixing, sharding, tokens, unigram
 from .common import table
 
 
@@ -14,13 +14,42 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_and_check(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = tokens.write_tokens(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+    return tokens.token_digests(shards)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sharding": op4_sharding, "op10_mixing": op10_mixing}
+    return {
+        "op4_sharding": op4_sharding,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_warc_fixity": op6_warc_fixity,
+        "op8_licences": op8_licences,
+        "op9_token_file": op9_token_file,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.oracle(), "op10_mixing": mixing.oracle()}
+    return {
+        "op4_sharding": sharding.oracle(),
+        "op6_warc_fixity": fixity.oracle(),
+        "op8_licences": licences.oracle(),
+        "op10_mixing": mixing.oracle(),
+    }
