@@ -61,3 +61,8 @@ def mixed_sql(x: str, salt: int = 0) -> str:
     k = 12_345 + 7_919 * salt
     t = f"(((({x})::BIGINT % {PRIME} + {PRIME}) % {PRIME}) * 48271 + {k}) % {PRIME}"
     return f"list_transform([({t})::BIGINT], lambda v: (v * v + v * 69621 + {k}) % {PRIME})[1]"
+
+
+def fenced(df: DataFrame, *needed: str) -> DataFrame:
+    """df with every column that is not needed renamed by its place, so that it can't clash with working columns."""
+    return df.toDF(*[name if name in needed else f"_x{i}" for i, name in enumerate(df.columns)])

@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixity, licences, mixing, sharding, tokens, unigram
+from . import fixity, hnsw, licences, mixing, neardup, quality, sharding, tokens, topk, unigram
 from .common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(table(spark, sf_dir, "documents"))
 
@@ -22,6 +34,10 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -37,9 +53,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": op1_topk,
+        "op2_quality": op2_quality,
+        "op3_neardup": op3_neardup,
         "op4_sharding": op4_sharding,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_warc_fixity": op6_warc_fixity,
+        "op7_neighbours": op7_neighbours,
         "op8_licences": op8_licences,
         "op9_token_file": op9_token_file,
         "op10_mixing": op10_mixing,
@@ -48,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk": topk.oracle(),
         "op4_sharding": sharding.oracle(),
         "op6_warc_fixity": fixity.oracle(),
         "op8_licences": licences.oracle(),
