@@ -1,0 +1,14 @@
+"""Column types of the tables that operators take and give, as DDL."""
+
+PRICES = "series_id string, ts timestamp, open double, high double, low double, close double, volume double"
+EXOGENOUS = "ts timestamp, value double"
+FEATURES = "series_id string, ts timestamp, t bigint, x array<double>"
+EVENTS_DIM = "event_id string, start date, stop date, label string, category string, subset array<string>"
+OPERATORS = "model_id string, k int, re array<double>, im array<double>"
+SNAPSHOTS = "series_id string, model_id string, refit_t bigint, mean array<double>, scale array<double>, components array<array<double>>, median_norm double, train_std array<double>, epsilon double"
+EMBEDDED = "series_id string, ts timestamp, t bigint, spectrum array<double>, psi_re array<double>, psi_im array<double>, g array<double>, f array<double>"
+SCORES = "series_id string, method string, ts timestamp, t bigint, score double"
+ALARMS = "series_id string, method string, ts timestamp, t bigint, threshold double, raw boolean, alarm boolean"
+CELLS = "method string, event_id string, d double, ci_lo double, ci_hi double, cliff_d double, cliff_label string, skipped boolean, reason string"
+RETURNS = "asset string, ts timestamp, r double"
+RUNS = "run_id string, group_label string, returns array<float>"
