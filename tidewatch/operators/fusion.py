@@ -47,7 +47,7 @@ def hierarchical(scores: DataFrame, families: dict[str, str], roll: int = 10, mi
     """Percentile ranks averaged within families, ranked again over time, then averaged across families."""
     m = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])
     r = percent_rank_past(scores, "score", "pct", ("series_id", "method")).withColumn("family", F.try_element_at(m, F.col("method")))
-    fam = r.where("pct is not null").groupBy(*ROW, "family").agg(F.round(F.avg("pct"), 9).alias("fam"))
+    fam = r.groupBy(*ROW, "family").agg(F.round(F.avg("pct"), 9).alias("fam"))
     again = percent_rank_past(fam, "fam", "pct2", ("series_id", "family"))
     return expanding_z(per_row(again, F.avg("pct2"), "fused"), "fused", roll=roll, min_expanding=min_expanding)
 
@@ -120,17 +120,19 @@ def method_correlations(scores: DataFrame) -> DataFrame:
 def cluster_fusion(scores: DataFrame, cut: float = 0.5) -> DataFrame:
     """Mean within clusters of methods with |rho| >= 1 - cut (single linkage), then across clusters.
 
-    Correlations are pooled over series; the clusters of the few methods are found by joining
-    labels until they settle.
+    Correlations are pooled over series. Only the small method-by-method table reaches the driver,
+    where labels are joined until they settle.
     """
     rho = method_correlations(scores).groupBy("a", "b").agg(F.avg(F.abs("rho")).alias("r"))
-    close = rho.where(1 - F.col("r") <= cut)
-    near = close.select("a", "b").union(close.select("b", "a"))
-    labels = scores.select("method").distinct().withColumn("cluster", F.col("method"))
-    for _ in range(8):
-        nb = near.join(labels, near["b"] == labels["method"]).groupBy("a").agg(F.min("cluster").alias("_m"))
-        labels = labels.join(nb, labels["method"] == nb["a"], "left").select("method", F.least("cluster", "_m").alias("cluster"))
-    inner = scores.where("score is not null").join(labels, "method").groupBy(*ROW, "cluster").agg(F.avg("score").alias("m"))
+    close = rho.where(1 - F.col("r") <= cut).select("a", "b").collect()  # methods squared at most
+    label: dict[str, str] = {}
+    for _ in range(len(close) + 1):
+        for a, b in close:
+            least = min(label.get(a, a), label.get(b, b))
+            label[a] = label[b] = least
+    known = F.create_map(*[F.lit(x) for kv in label.items() for x in kv]) if label else F.create_map().cast("map<string,string>")
+    labels = F.coalesce(F.try_element_at(known, F.col("method")), F.col("method"))
+    inner = scores.where("score is not null").withColumn("cluster", labels).groupBy(*ROW, "cluster").agg(F.avg("score").alias("m"))
     return inner.groupBy(*ROW).agg(F.avg("m").alias("cluster_mean"))
 
 

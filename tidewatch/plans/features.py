@@ -147,10 +147,10 @@ def _(spark, sf):
     return rounded(percent_rank_past(r, "ret", "pct").drop("ret"))
 
 
-@query("w12_prefix_moments", f"""SELECT series_id, t, n, {', '.join(f'round({c} {S}), 5) + 0.0 AS {n}' for c, n in (('sum(a)', 'sx'), ('sum(b)', 'sy'), ('sum(a * b)', 'sxy')))} FROM (SELECT series_id, t - 1 AS t, ret AS a, close / 1e6 AS b, count(*) {S}) AS n FROM {RET} WHERE ret IS NOT NULL)""")
+@query("w12_prefix_moments", f"""SELECT series_id, t, n, {', '.join(f'round({c} {S}), 9) + 0.0 AS {n}' for c, n in (('sum(a)', 'sx'), ('sum(b)', 'sy'), ('sum(a * b)', 'sxy')))} FROM (SELECT series_id, t - 1 AS t, ret AS a, close / 1e6 AS b, count(*) {S}) AS n FROM {RET} WHERE ret IS NOT NULL)""")
 def _(spark, sf):
     m = f.prefix_moments(vectors(returns(spark, sf)), block=100)
-    return rounded(m.where("i = 0 and j = 1").drop("i", "j"), 5)
+    return rounded(m.where("i = 0 and j = 1").drop("i", "j"), 9)
 
 
 THR = f"(SELECT series_id, t, ret, CASE WHEN t >= 65 AND count(ret) OVER g >= 30 THEN quantile_cont(ret, 0.95) OVER g END AS threshold FROM {RET} WINDOW g AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 257 PRECEDING AND 6 PRECEDING))"

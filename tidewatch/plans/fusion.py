@@ -45,7 +45,7 @@ def _(spark, sf):
 DS = f"""(WITH x AS (SELECT s.*, g.target, CASE WHEN s.score IS NOT NULL AND g.target IS NOT NULL THEN s.score END AS a, CASE WHEN s.score IS NOT NULL AND g.target IS NOT NULL THEN g.target END AS b FROM {SCORES} s LEFT JOIN (SELECT series_id, t, {std('ret', 20)} AS target FROM {RET}) g USING (series_id, t)),
 w AS (SELECT *, CASE WHEN count(a) OVER v < 10 THEN 1.0::DOUBLE / 3 ELSE greatest(coalesce(CASE WHEN isnan(corr(a, b) OVER v) THEN NULL ELSE corr(a, b) OVER v END, 0), 0) END AS w FROM x WINDOW v AS (PARTITION BY series_id, method ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
 n AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY series_id, t) < 1e-12 THEN 1.0::DOUBLE / 3 ELSE w / sum(w) OVER (PARTITION BY series_id, t) END AS nw FROM w)
-SELECT {ROW}, CASE WHEN t >= 60 THEN sum(nw * coalesce(score, 0)) END AS fused FROM n GROUP BY ALL)"""
+SELECT {ROW}, CASE WHEN t >= 60 THEN sum(nw * coalesce(score, 0)) END AS fused FROM n GROUP BY series_id, ts, t)"""
 
 
 @query("f3_dynamic_switching", rounded_sql("series_id, t", "score", expanding_z_sql(DS, "fused", 10, 60), 5))

@@ -18,10 +18,10 @@ def hourly(spark, sf):
     return e.groupBy("series_id", "ts").agg((F.sum("v").cast("double") / F.count("v")).alias("value"))
 
 
-@query("st3_running_moments", f"SELECT series_id, ts, count(value) OVER w AS n, round(avg(value) OVER w, 6) + 0.0 AS mean, round(CASE WHEN count(value) OVER w > 1 THEN var_samp(value) OVER w END, 5) + 0.0 AS variance FROM {BARS} WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+@query("st3_running_moments", f"SELECT series_id, ts, count(value) OVER w AS n, round(avg(value) OVER w, 9) + 0.0 AS mean, round(CASE WHEN count(value) OVER w > 1 THEN var_samp(value) OVER w END, 7) + 0.0 AS variance FROM {BARS} WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def _(spark, sf):
     out = st.batch_twin(hourly(spark, sf), st.Welford())
-    return out.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", F.round("mean", 6).alias("mean"), F.round("variance", 5).alias("variance"))
+    return out.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", F.round("mean", 9).alias("mean"), F.round("variance", 7).alias("variance"))
 
 
 @query("st11_tick_bars", "SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, count(*) AS n, round(sum(value), 4) + 0.0 AS total, round(min(value), 6) + 0.0 AS low, round(max(value), 6) + 0.0 AS high FROM events GROUP BY ALL")
