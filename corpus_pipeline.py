@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm import mixing, neardup, quality, unigram
 from tidewatch.llm.common import materialise, table
 
+#: Percent of Jaccard similarity from which documents are near copies; op3_neardup alone has 85 by contract.
+SIMILAR = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity is beyond their language's threshold."""
@@ -20,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return neardup.keep_representatives(docs)
+    """Keeps one document of each group of near-duplicates, linked at similarity SIMILAR or more."""
+    return neardup.keep_representatives(docs, SIMILAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

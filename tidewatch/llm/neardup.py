@@ -2,7 +2,8 @@
 
 1. Texts with the same shingle set form a class (exact copies never meet as pairs).
 2. 64 bands of 8 minima put classes into buckets; classes that share buckets, directly or through
-   others, form a cluster. At similarity 0.85 no band matches with probability 1.4e-9.
+   others, form a cluster. At similarity 0.85 no band matches with probability 1.4e-9,
+   at 0.80 with probability 8e-6.
 3. Inside a cluster signatures are compared 32 minima at a time: a pair goes as soon as the
    posterior probability (uniform prior) of similarity >= threshold is below MISS. Survivors are
    verified on the full sets, unless the pair is connected already.
