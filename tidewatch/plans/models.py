@@ -35,7 +35,7 @@ def keep(df, *cols):
 rows_only("m5_hidden_markov", lambda s, d: keep(m.hidden_regimes(returns(s, d)), "p_high"))
 rows_only("m6_markov_switching", lambda s, d: keep(m.hidden_regimes(returns(s, d), ar=True), "p_high"))
 rows_only("m7_garch", lambda s, d: keep(m.garch_vol(returns(s, d), m.garch_grid(returns(s, d))), "sigma", "score"))
-rows_only("m8_isolation_forest", lambda s, d: m.isolation_scores(vectors(returns(s, d)), trees=20, sample=64))
+rows_only("m8_isolation_forest", lambda s, d: m.isolation_scores(vectors(returns(s, d))))
 rows_only("m13_kernel_gap", lambda s, d: keep(m.kernel_gap(vectors(returns(s, d))), "gap", "score"))
 rows_only("m14_structural_breaks", lambda s, d: keep(m.structural_breaks(returns(s, d)), "nearness", "score"))
 rows_only("d4_mahalanobis", lambda s, d: m.mahalanobis(vectors(returns(s, d))))
@@ -48,7 +48,7 @@ rows_only("d16_sinkhorn", lambda s, d: keep(m.sinkhorn(returns(s, d)), "score"))
 def _(spark, sf):
     x = returns(spark, sf).withColumns({"vol20": f.rolling_std("ret", 20), "mom20": f.momentum("close", 20)})
     ev = event_members(p.weekly(spark, sf), p.events_dim(spark)).select("series_id", "t", "event_id")
-    return rounded(m.held_out_forest(x.join(ev, ["series_id", "t"], "left"), ["vol20", "mom20"], ["e98", "e00a"], trees=10))
+    return rounded(m.held_out_forest(x.join(ev, ["series_id", "t"], "left"), ["vol20", "mom20"], [event[0] for event in p.EVENTS], trees=200))
 
 
 def labelled(spark, sf):
