@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewatch.llm import tokens, unigram
+from tidewatch.llm import bytebpe, tokens, unigram
 
 ALPHABET = " \t\n\x1c\x85\xa0abcÀ٣一'stll!²🎉_ªΩж​　 ÿ×"
 
@@ -30,8 +30,43 @@ def test_piecewise_encoding_is_the_librarys(text):
     global _lib
     if "_lib" not in globals():
         _lib = Tokenizer.from_file(tokens.default_tokenizer())
-    got = np.frombuffer(tokens.byte_bpe(tokens.default_tokenizer())([text])[0], "<u2").tolist()
-    assert got == _lib.encode(text, add_special_tokens=False).ids
+    around = [b"", "the \n\tend".encode(), text.encode(), b" of", text.encode() + b" it's  ", ("x " + text + " " + text).encode()]
+    for raw, ids in zip(around, bytebpe.byte_bpe(tokens.default_tokenizer())(around)):
+        assert np.frombuffer(ids, "<u2").tolist() == _lib.encode(raw.decode(), add_special_tokens=False).ids
+
+
+def test_real_texts_encode_as_the_librarys(spark, data, library):
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    encode = bytebpe.ByteBpe(tokens.default_tokenizer())
+    for at in (0, 0, 50, 120):  # the second time from kept words
+        some = texts[at : at + 60]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode([t.encode() for t in some])] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_full_stores_and_long_words(library, monkeypatch):
+    monkeypatch.setattr(bytebpe, "KEEP", 8)
+    monkeypatch.setattr(bytebpe, "KEEP_PIECES", 4)
+    encode = bytebpe.ByteBpe(tokens.default_tokenizer())
+    words = ["a" * 200, "b" * 64, "b" * 65, "don't", "x1y", "…", "é!", "\t\t", "end"]
+    for seed in range(30):
+        text = " ".join(random.Random(seed).choices(words, k=12)) + "\n"
+        assert np.frombuffer(encode([text.encode()])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_go_to_the_library_whole(tmp_path, library):
+    import json
+
+    with open(tokens.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert bytebpe.cuttable(tokens.default_tokenizer())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert not bytebpe.cuttable(str(other))
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(str(other)).encode("hello there", add_special_tokens=False).ids
+    assert np.frombuffer(bytebpe.ByteBpe(str(other))([b"hello there"])[0], "<u2").tolist() == want
 
 
 def test_token_file_reads_back(docs, library):
@@ -48,6 +83,19 @@ def test_token_file_reads_back(docs, library):
         at += len(ids)
     whole = {r.start: np.frombuffer(r.ids, "<u4") for r in tokens.read_tokens(written).collect()}
     assert sum(r.n for r in tokens.count_token(written, 2).collect()) == sum(int((x == 2).sum()) for x in whole.values())
+    shard = {(r.part, r.seq): r for r in tokens.count_token(written, 2).collect()}
+    key = next(iter(shard))
+    places = sorted(r["at"] for r in tokens.find_token(written, 2).collect() if (r.part, r.seq) == key)
+    assert len(places) == shard[key].n
+    asked = written.sparkSession.createDataFrame([(*key, p) for p in [*places[:5], places[0], 10**9, -1]] + [(99, 0, 0)], "part int, seq int, at long")
+    assert sorted((r["at"], r.token) for r in tokens.tokens_at(written, asked).collect()) == [(p, 2) for p in places[:5]]
+
+
+def test_access_inflates_one_block_a_plane():
+    ids = np.random.default_rng(4).integers(0, 50_000, 400_000).astype("<u2")
+    planes, zeros = tokens.build_planes(ids)
+    w = tokens.WaveletMatrix(len(ids), zeros, [tokens._pack(p) for p in planes], [tokens.directory(p) for p in planes])
+    assert w[123_456] == ids[123_456] and len(w._open) <= 2 * tokens.BITS < sum(-(-len(p) // tokens.BLOCK) for p in planes)
 
 
 def test_small_shards_and_null_ids(docs, monkeypatch, library):

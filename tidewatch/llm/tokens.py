@@ -9,7 +9,6 @@ without decoding the sequence; read_tokens decodes whole shards.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,16 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytebpe import BITS, byte_bpe
 from .common import materialise
-from .pieces import PieceCache
 
 #: Ids of one shard (a document more at most): bounds what a task holds.
 SHARD_TOKENS = 1 << 21
 #: Text bytes of one range partition.
 PART_BYTES = 24 << 20
-BITS = 16
+#: Text bytes encoded together.
+ENCODE_BYTES = 4 << 20
 #: Bits between two entries of a plane's rank directory.
 STEP = 512
+#: Bytes of a plane that are compressed together, and that one access has to inflate; a multiple of STEP / 8.
+BLOCK = 16 << 10
 END = 2
 
 SHARD_SCHEMA = "part int, seq int, n_docs int, n_tokens long, doc_ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
@@ -38,11 +40,12 @@ def build_planes(ids: np.ndarray, bits: int = BITS) -> tuple[list[bytes], list[i
     """Bit-planes (packed, most significant bit first) and each plane's number of zeros."""
     cur, planes, zeros = ids, [], []
     for k in range(bits - 1, -1, -1):
-        one = (cur >> k & 1).astype(bool)
+        one = (cur & (1 << k)).astype(bool)
         planes.append(np.packbits(one).tobytes())
-        low = cur[~one]
+        # by places: several times as fast as by masks
+        low, high = np.flatnonzero(~one), np.flatnonzero(one)
         zeros.append(len(low))
-        cur = np.concatenate([low, cur[one]])
+        cur = np.concatenate([cur.take(low), cur.take(high)])
     return planes, zeros
 
 
@@ -52,8 +55,8 @@ def decode_planes(planes: list[bytes], zeros: list[int], n: int) -> np.ndarray:
     for k, (plane, z) in enumerate(zip(planes[::-1], zeros[::-1])):
         one = np.unpackbits(np.frombuffer(plane, np.uint8), count=n).view(bool)
         up = np.empty(n, np.uint16)
-        up[~one] = out[:z]
-        up[one] = out[z:] | np.uint16(1 << k)
+        up[np.flatnonzero(~one)] = out[:z]
+        up[np.flatnonzero(one)] = out[z:] | np.uint16(1 << k)
         out = up
     return out
 
@@ -66,42 +69,62 @@ def directory(plane: bytes) -> bytes:
 
 
 def _pack(raw: bytes) -> bytes:
+    """A plane as compressed blocks of BLOCK bytes behind their offsets (little-endian uint32, one more than blocks)."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blocks = [pack(raw[a : a + BLOCK]) for a in range(0, len(raw), BLOCK)]
+    head = 4 * (len(blocks) + 1)
+    return np.cumsum([head, *map(len, blocks)]).astype("<u4").tobytes() + b"".join(blocks)
 
 
-def _unpack(raw: bytes) -> bytes:
+def _block(packed: bytes, b: int) -> bytes:
+    """The bytes of one block of a packed plane."""
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(raw)
+    start, stop = np.frombuffer(packed, "<u4", 2, 4 * b).tolist()
+    return zstandard.ZstdDecompressor().decompress(packed[start:stop])
+
+
+def _unpack(packed: bytes) -> bytes:
+    if len(packed) <= 4:
+        return b""
+    return b"".join(_block(packed, b) for b in range(int(np.frombuffer(packed, "<u4", 1)[0]) // 4 - 1))
 
 
 class WaveletMatrix:
-    """Access, rank, count and select on one shard row; a plane is unpacked when first needed."""
+    """Access, rank, count and select on one shard row; a plane's block is inflated when first needed."""
 
     def __init__(self, n: int, zeros: list[int], planes: list[bytes], ranks: list[bytes]):
         self.n, self.zeros, self._planes, self._open = n, list(zeros), planes, {}
         self._ranks = [np.frombuffer(r, "<u4") for r in ranks]
 
-    def _plane(self, k: int) -> np.ndarray:
-        if k not in self._open:
-            self._open[k] = np.frombuffer(_unpack(self._planes[k]), np.uint8)
-        return self._open[k]
+    def _bytes(self, k: int, block: int) -> np.ndarray:
+        if (k, block) not in self._open:
+            self._open[k, block] = np.frombuffer(_block(self._planes[k], block), np.uint8)
+        return self._open[k, block]
+
+    def _bit(self, k: int, i: int) -> int:
+        block, at = divmod(i // 8, BLOCK)
+        return int(self._bytes(k, block)[at]) >> (7 - i % 8) & 1
 
     def _rank1(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        plane, block = self._plane(k), i // STEP
-        part = plane[block * STEP // 8 : i // 8]
-        rest = int(plane[i // 8]) >> (8 - i % 8) if i % 8 else 0
-        return int(self._ranks[k][block]) + int(np.bitwise_count(part).sum()) + rest.bit_count()
+        step = i // STEP
+        ones = int(self._ranks[k][step])
+        if i % STEP:
+            block, start = divmod(step * STEP // 8, BLOCK)
+            part = self._bytes(k, block)[start : start + (i % STEP + 7) // 8]
+            ones += int(np.bitwise_count(part[: i % STEP // 8]).sum())
+            ones += (int(part[-1]) >> (8 - i % 8)).bit_count() if i % 8 else 0
+        return ones
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for k, z in enumerate(self.zeros):
-            bit = int(self._plane(k)[i // 8]) >> (7 - i % 8) & 1
+            bit = self._bit(k, i)
             value, ones = value << 1 | bit, self._rank1(k, i)
             i = z + ones if bit else i - ones
         return value
@@ -149,51 +172,6 @@ class WaveletMatrix:
         return [self.select(value, j) for j in range(self.count(value))]
 
 
-# Fixed value: the pre-tokenisation pattern of byte_bpe_50k.json's byte-level pre-tokeniser.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ENCODERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
-
-
-def byte_bpe(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encoder of whole texts into little-endian uint16 ids by the tokenizers library.
-
-    The library merges within pre-tokens only, so texts are cut into them and each distinct one
-    is encoded once. A text that holds one of the file's special tokens goes to the library whole.
-    """
-    if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
-        import regex
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        if tok.get_vocab_size() > 1 << BITS:
-            raise ValueError(f"ids of {path} need more than {BITS} bits")
-        special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        any_letters = regex.compile(SPLIT).findall
-        # the same pattern for texts of ASCII and Latin letters only, which the standard module cuts faster
-        latin = "A-Za-zÀ-ÖØ-öø-ÿ"
-        plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{latin}]+| ?[0-9]+| ?[^\t-\r {latin}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
-        is_plain = re.compile(rf"[\t-\r -~{latin}]*").fullmatch
-
-        def ids(words: list[str]) -> list[list[int]]:
-            return [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
-
-        cache = PieceCache(ids)
-
-        def encode(texts: list[str]) -> list[bytes]:
-            whole = [any(s in t for s in special) for t in texts]
-            cut = [[] if w else (plain if is_plain(t) else any_letters)(t) for t, w in zip(texts, whole)]
-            out = cache.join(cut)
-            for i in (i for i, w in enumerate(whole) if w):
-                out[i] = np.asarray(ids([texts[i]])[0], "<u2").tobytes()
-            return out
-
-        _ENCODERS[path] = encode
-    return _ENCODERS[path]
-
-
 def _shard_rows(part: int, docs: Iterator[tuple[int | None, bytes]]) -> Iterator[dict]:
     ids: list[bytes] = []
     held: list[tuple[int | None, int]] = []
@@ -235,10 +213,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
         def encoded():
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    for d, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                        yield d, raw + tail
+                at, size = 0, 0
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                for i, text in enumerate(texts, 1):
+                    size += len(text)
+                    if size >= ENCODE_BYTES or i == len(texts):
+                        for d, raw in zip(batch.column(0).slice(at, i - at).to_pylist(), encode(texts[at:i])):
+                            yield d, raw + tail
+                        at, size = i, 0
 
         for row in _shard_rows(TaskContext.get().partitionId(), encoded()):
             yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
@@ -253,12 +235,16 @@ _ARROW = pa.schema([
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """Decode written shards: doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint32)."""
+    """Decode written shards: doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint32).
+
+    A row for every document written: null ids come first, repeated rows stay apart, a null or
+    empty text has its end id alone, and no shards give no rows.
+    """
     return _decoded(shards, "ids binary", lambda raw: raw)
 
 
 def token_digests(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of each document's ids, read back from written shards."""
+    """doc_id, start, n_tokens and the CRC-32 of each document's ids, read back from written shards; rows as read_tokens gives."""
     return _decoded(shards, "ids_crc32 long", zlib.crc32)
 
 
@@ -296,12 +282,49 @@ def wavelet(row) -> WaveletMatrix:
     return WaveletMatrix(row["n_tokens"], row["zeros"], [bytes(p) for p in row["planes"]], [bytes(r) for r in row["ranks"]])
 
 
-def count_token(shards: DataFrame, value: int) -> DataFrame:
-    """part, seq, n: occurrences of one id in every shard, by rank queries on the planes."""
+def _on_shards(shards: DataFrame, columns: list[tuple[str, pa.DataType]], schema: str, of: Callable) -> DataFrame:
+    """part, seq and the columns that `of` gives for each shard's wavelet matrix; only planes and ranks are read."""
+    arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), *columns])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"part": row["part"], "seq": row["seq"], "n": wavelet(row).count(value)}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int64())]))
+                for cols in of(wavelet(row), row):
+                    n = len(cols[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[row["part"]] * n, [row["seq"]] * n, *cols], arrow)], schema=arrow)
+
+    return shards.mapInArrow(run, f"part int, seq int, {schema}")
+
+
+_PLANES = ("part", "seq", "n_tokens", "zeros", "planes", "ranks")
+
+
+def count_token(shards: DataFrame, value: int) -> DataFrame:
+    """part, seq, n: occurrences of one id in every shard, by rank queries on the planes; 0 where it doesn't occur."""
+    return _on_shards(shards.select(*_PLANES), [("n", pa.int64())], "n long", lambda w, _: [([w.count(value)],)])
+
+
+def find_token(shards: DataFrame, value: int) -> DataFrame:
+    """part, seq, at: every place of one id within its shard, by select queries, 4096 to a batch."""
+
+    def places(w: WaveletMatrix, _):
+        n = w.count(value)
+        for a in range(0, n, 4096):
+            yield ([w.select(value, j) for j in range(a, min(n, a + 4096))],)
+
+    return _on_shards(shards.select(*_PLANES), [("at", pa.int64())], "at long", places)
+
+
+def tokens_at(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """part, seq, at, token for each wanted place (part, seq, at), by access on the planes.
+
+    A place null or outside its shard, or of a shard that is not there, gives no row; a place
+    asked twice is answered once. Places of one shard go to it together, as many as were asked.
+    """
+    asked = wanted.select("part", "seq", "at").where("at >= 0").distinct().groupBy("part", "seq").agg(F.collect_list("at").alias("ats"))
+
+    def read(w: WaveletMatrix, row):
+        ats = [i for i in row["ats"] if i < w.n]
+        return [(ats, [w[i] for i in ats])] if ats else []
 
-    return shards.select("part", "seq", "n_tokens", "zeros", "planes", "ranks").mapInArrow(run, "part int, seq int, n long")
+    return _on_shards(shards.select(*_PLANES).join(asked, ["part", "seq"]), [("at", pa.int64()), ("token", pa.int32())], "at long, token int", read)
