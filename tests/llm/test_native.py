@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -112,16 +112,18 @@ def test_mixed_documents_follow_the_plan(docs):
     assert seen == {k: v for k, v in plan.items() if v}
 
 
-MIT = licences.SENTENCES["MIT-GRANT"].replace(" without ", "\nwithout ").replace(" subject", "\n   subject")
+S = licences.SENTENCES
+MIT = S["MIT-GRANT"].replace(" without ", "\nwithout ").replace(" subject", "\n   subject")
 
 
 def test_licences_match_sql_and_loops(docs, in_duckdb):
     texts = [
         "Text.\nReleased under the MIT License.", "released UNDER the mit license", "x\nThis work is licensed under the GNU General Public License, version 3.\ny",
-        "Copyright me\n\n" + MIT + "\n\n" + licences.SENTENCES["MIT-KEEP"], licences.SENTENCES["MIT-KEEP"] + "\n" + MIT, MIT,
+        "Copyright me\n\n" + MIT + "\n\n" + S["MIT-KEEP"], S["MIT-KEEP"] + "\n" + MIT, MIT,
         "Apache. Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", "licence talk only, no rule", "Licensed under\n\nCC BY 4.0.",
-        licences.SENTENCES["MPL-2-NOTE"], "software " * 20_000 + "\nLicensed under CC BY 4.0.",
-        " ".join(licences.SENTENCES[k] for k in ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES")),
+        S["MPL-2.0-HEAD"], "software " * 20_000 + "\nLicensed under CC BY 4.0.", " ".join(S[k] for k in ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES")),
+        "Licensed\nunder\nthe Apache License, Version 2.0\n(the \"License\"); you may not use this file except in compliance with the License.",
+        "SPDX-License-Identifier: GPL-2.0-or-later\ncode", "Released under the\nMIT License\nMIT License", MIT + "\n" + S["MIT-KEEP"] + "\nMIT License\n" + S["MIT-GRANT"],
     ]
     df = docs(ODD + [(i, t) for i, t in enumerate(texts, 50)], CLASH)
     out = licences.scan_licences(df).drop("matches")
@@ -129,8 +131,41 @@ def test_licences_match_sql_and_loops(docs, in_duckdb):
     assert plain(got) == plain(in_duckdb(licences.oracle(), out.columns, documents=df))
     assert plain(got) == plain([(r.doc_id, *licences.brute_force(r.text)) for r in df.collect()])
     by = {r.doc_id: r.licences for r in got}
-    assert by[50] == by[51] == "MIT" and by[52] == "GPL-3.0" and by[53] == "MIT" and by[54] == by[55] == "" and by[56] == "Apache-2.0,CC-BY-NC-4.0"
-    assert by[57] == by[58] == "" and by[59] == "MPL-2.0" and by[60] == "CC-BY-4.0" and by[61] == "BSD-2-Clause,BSD-3-Clause"
+    assert by[50] == by[51] == "MIT" and by[52] == "GPL-3.0-only" and by[53] == "MIT" and by[54] == by[55] == "" and by[56] == "Apache-2.0,CC-BY-NC-4.0"
+    assert by[57] == by[58] == "" and by[59] == "MPL-2.0" and by[60] == "CC-BY-4.0" and by[61] == "BSD-3-Clause" and by[62] == "Apache-2.0"
+    assert by[63] == "GPL-2.0-or-later" and by[64] == by[65] == "MIT"
+
+
+def test_wrapped_sentences_are_found(docs):
+    """Every known sentence, wrapped at 20 to 100 columns, also as comments, is found with its unit span."""
+    import textwrap
+
+    rows, want = [], {}
+    for sentence, ident in licences.KNOWN.items():
+        said = S.get(ident, sentence)
+        said = said if licences.normalised(said) == sentence else sentence
+        for width, prefix in ((20, ""), (50, " * "), (79, "# "), (100, "")):
+            lines = textwrap.wrap(said, width, break_long_words=False, break_on_hyphens=False)
+            want[len(rows)] = ident, len(lines)
+            rows.append((len(rows), "Some text here.\n" + "\n".join(prefix + line for line in lines) + "\nmore"))
+    for r in licences.scan_licences(docs(rows)).collect():
+        assert [(m["at"], m["id"]) for m in r.matches] == [(1, want[r.doc_id][0])] and r.matches[0]["units"] >= want[r.doc_id][1]
+
+
+def test_every_rule_is_reached(docs):
+    """Each rule's sentences alone give its licence and no other."""
+    said = {ident: sentence for sentence, ident in licences.KNOWN.items()}
+    rows = [(i, ".\n".join(said[x] for x in seq)) for i, (_, seq) in enumerate(licences.RULES)]
+    assert {r.doc_id: r.licences for r in licences.scan_licences(docs(rows)).collect()} == {i: name for i, (name, _) in enumerate(licences.RULES)}
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from([*S.values(), "MIT License", "Released under the", "Licensed under CC", "BY 4.0.", "word.", "", "x"]), max_size=6), max_size=6))
+def test_licences_by_loops_on_random_texts(spark, docs, in_duckdb, parts):
+    df = docs([(i, "\n".join(p)) for i, p in enumerate(parts)])
+    out = licences.scan_licences(df).drop("matches")
+    got = plain(out.collect())
+    assert got == plain([(r.doc_id, *licences.brute_force(r.text)) for r in df.collect()]) == plain(in_duckdb(licences.oracle(), out.columns, documents=df))
 
 
 def test_fixity_matches_sql(spark, in_duckdb):
