@@ -1,118 +1,171 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Tokens are symbols: the 64 classes of UTF-8 bytes below, the first byte of a word that repeats its
-predecessor being a symbol of its own. Grams of ORDER symbols are counted over every trusted
-document; counts, continuation counts and contexts are joined, sharded by gram, into the model.
-With 64 symbols it has at most 64**4 rows, which bounds what is broadcast for scoring. A
-document's perplexity is shrunk to its language's mean by PRIOR symbols and compared with a
-quantile of the trusted documents' perplexities in its language.
+Grams are runs of ORDER bytes of UTF-8, with boundaries before each document. Rows are packed into
+chunks, a table bucketed by chunk, so that texts are shuffled never and only grams, each once a
+chunk, travel: counts of trusted text are joined, sharded by gram, into the model, the corpus'
+grams are joined with the model, and their costs go back to their chunks, where documents add them
+up. A part of the trusted documents is held out of the counts; a document's perplexity, shrunk to
+its language's mean by PRIOR bytes, is compared with a quantile of theirs in its language.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fenced, materialise
-from .shingles import _BYTE, _IS_WORD, _Q, _mix, _powers
+from .common import fenced, materialise, shared_dir
 
-ORDER, V = 4, 64
-BOUNDARY, REPEATED, UPPER = 0, 44, 29
-#: Symbols' worth of the language's mean that each document starts with.
+ORDER = 5
+#: Stands before documents; never a byte of UTF-8.
+BOUNDARY = 0xFF
+#: Bytes' worth of the language's mean that each document starts with.
 PRIOR = 64
-#: Trusted documents' quantile, and how far beyond it a document may be.
-QUANTILE, MARGIN = 0.99, 1.25
-#: Steps a bit in which quantiles are counted.
-STEPS = 1024
+#: Held-out trusted documents' quantile beyond which a document goes.
+QUANTILE = 0.999
+#: One trusted document in HELD_OUT, by a hash of its id, is kept from the counts and sets the quantiles.
+HELD_OUT = 5
+#: Text bytes of a chunk, and those whose grams are listed at once.
+CHUNK, PIECE = 16 << 20, 1 << 20
+#: Costs are counted in parts of a bit, so that sums don't depend on their order.
+PARTS = 10_000
+#: Least probability of a gram.
+LEAST = 1e-30
 #: Stands for all languages together.
 POOLED = "*"
-_CHUNK = 1 << 20
-
-
-def _classes() -> np.ndarray:
-    """Symbol of each byte: letters, upper case, white space, digits, punctuation groups, UTF-8 lead and trail groups."""
-    out = np.full(256, 43, np.uint8)
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = UPPER
-    out[32], out[9:14], out[48:58] = 27, 28, 30
-    for symbol, group in ((31, "."), (32, ","), (33, "!"), (34, "?"), (35, "\"'"), (36, "-"), (37, ":;"), (38, "()[]{}"), (39, "|"), (40, "/\\"), (41, "@"), (42, "#$%&*")):
-        out[[ord(c) for c in group]] = symbol
-    out[0xC3], out[0xC2], out[0xC4:0xE0], out[0xE0:0xF0], out[0xF0:0xF8] = 45, 46, 46, 47, 48
-    out[0x80:0xC0] = 49 + (np.arange(0x80, 0xC0) & 15) % 15
-    out[0xFF] = BOUNDARY  # never part of UTF-8: stands between documents
+_GAP = bytes([BOUNDARY]) * (ORDER - 1)
+
+
+def grams(texts: list[bytes]) -> np.ndarray:
+    """Code of the ORDER bytes that end at each place of the texts and the boundaries between them."""
+    raw = np.frombuffer(_GAP + _GAP.join(texts) + _GAP, np.uint8)
+    out = np.zeros(len(raw) - ORDER + 1, np.int64)
+    for k in range(ORDER):
+        out <<= 8
+        out |= raw[k : k + len(out)]
     return out
 
 
-SYMBOL = _classes()
-_GAP = b"\xff" * (ORDER - 1)
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about PIECE bytes, and each run's first place."""
+    at, size = 0, 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= PIECE or i == len(texts):
+            yield at, texts[at:i]
+            at, size = i, 0
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of documents with boundaries before each, and where each document starts and stops."""
-    raw = np.frombuffer(_GAP + _GAP.join(texts) + _GAP, np.uint8)
-    length = np.array([len(t) for t in texts], np.int64)
-    stops = np.cumsum(length + len(_GAP))
-    starts = stops - length
-    s = SYMBOL[raw]
-    word = _IS_WORD[raw] & (raw != 0xFF)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
-    at, end = edge[::2], edge[1::2]
-    if len(at) > 1:
-        n, flat = end - at, raw[word]
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        place = np.arange(len(flat)) - np.repeat(first, n)
-        h = _mix(np.add.reduceat(_BYTE[flat] * _powers(int(n.max()))[place], first) + n.astype(np.uint64) * _Q)
-        doc = np.searchsorted(starts, at, side="right")
-        s[at[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])]] = REPEATED
-    return s, starts, stops
-
-
-def grams(s: np.ndarray) -> np.ndarray:
-    """Code of the ORDER symbols that end at each place from ORDER - 1 on."""
-    x = s.astype(np.int32)
-    return x[:-3] << 18 | x[1:-2] << 12 | x[2:-1] << 6 | x[3:]
-
-
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    at, held, size = 0, [], 0
-    for i, text in enumerate(batch.column(column)):
-        held.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
-        size += len(held[-1])
-        if size >= _CHUNK:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged():
+def _count(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of texts, ascending, and their counts; none that end in a boundary."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
         codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-        return codes, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        return codes, np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+
+    for _, some in _pieces(texts):
+        codes = grams(some)
+        held.append(np.unique(codes[codes & 255 != BOUNDARY], return_counts=True))
+        if len(held) > 16:
+            held = [merged()]
+    return merged()
+
+
+# --- chunks of rows
+
+
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs as chunks of about CHUNK text bytes: chunk, ids (array of doc ids), rows (Arrow stream, zstd).
+
+    Written once, bucketed by chunk, so that joins on chunk move no rows. A longer text is a chunk
+    of its own; rows keep all columns; an empty table has no chunks.
+    """
+    names = docs.columns
+    at_text, at_id = names.index(text), names.index(doc_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seq = [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(table)
+            chunk = (TaskContext.get().partitionId() << 32) + seq
+            ids = table.column(at_id).cast(pa.int64()).to_pylist()
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "rows"])
+
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column(at_text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                room = CHUNK - size + (upto[start - 1] if start else 0)
+                stop = min(int(np.searchsorted(upto, room)) + 1, batch.num_rows)
+                held.append(batch.slice(start, stop - start))
+                size += int(upto[stop - 1] - (upto[start - 1] if start else 0))
+                start = stop
+                if size >= CHUNK:
+                    yield close()
+                    held, size, seq = [], 0, seq + 1
+        if held:
+            yield close()
+
+    spark = docs.sparkSession
+    name = f"kn_rows_{uuid.uuid4().hex}"
+    packed = docs.mapInArrow(run, "chunk long, ids array<long>, rows binary")
+    # the table's files lie in the shared folder; its name lives as long as the session
+    packed.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.read.table(name)
+
+
+def _rows(packed: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(packed.column("rows")[0].as_buffer()).read_all()
+
+
+def _texts(table: pa.Table, text: str = "text") -> list[bytes]:
+    return [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
+
+
+def _beside(chunks: DataFrame, other: DataFrame, of: Callable[[pa.Table, pa.Table, int], pa.Table], schema) -> DataFrame:
+    """`of` each chunk's rows, the rows of `other` that carry its number, and that number; no chunk moves."""
 
-    for batch in batches:
-        for _, texts in _chunks(batch, 0):
-            codes = grams(symbols(texts)[0])
-            held.append(np.unique(codes[codes & (V - 1) != BOUNDARY], return_counts=True))
-            if len(held) >= 32:
-                held = [merged()]
-    if held:
-        codes, n = merged()
-        for a in range(0, len(codes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 16)], pa.int32()), pa.array(n[a : a + (1 << 16)], pa.int64())], names=["gram", "n"])
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return of(_rows(left), right, left.column("chunk")[0].as_py())
 
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(both, schema)
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """gram, n over all texts (one string column); counted in tasks before the shuffle."""
-    return materialise(texts.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
+
+# --- the model
+
+
+def chunk_grams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """chunk, gram, n: each chunk's distinct grams and how often its trusted rows (chunk, row; row -1 is none) hold them; 0 for those of others only."""
+
+    def count(rows: pa.Table, marked: pa.Table, chunk: int) -> pa.Table:
+        texts = _texts(rows)
+        fit = np.zeros(len(texts), bool)
+        at = marked.column("row").to_numpy()
+        fit[at[at >= 0]] = True
+        seen, n = _count([t for t, f in zip(texts, fit) if f])
+        rest, _ = _count([t for t, f in zip(texts, fit) if not f])
+        rest = np.setdiff1d(rest, seen, assume_unique=True)
+        codes = np.concatenate([seen, rest])
+        return pa.table({"chunk": pa.array(np.full(len(codes), chunk)), "gram": pa.array(codes), "n": pa.array(np.concatenate([n, np.zeros(len(rest), np.int64)]))})
+
+    return materialise(_beside(chunks, trusted, count, "chunk long, gram long, n long"), "kn-grams")
+
+
+def _low(k: int) -> Column:
+    """The last k bytes of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -124,166 +177,174 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) if n[i - 1] else 0.0 for i in (1, 2, 3)]
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Model rows (gram_order, code, p, backoff): the probability of each gram seen, and of each context what it leaves to the lower order.
+def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (gram, p) of every gram seen, and (ctx, backoff), what a context leaves to the lower order.
 
-    Lower orders count the distinct symbols before a gram. Each order is one join of grams with
-    their contexts' totals and with the lower order's probabilities, sharded by code.
+    counts is gram, n of ORDER bytes. Lower orders count the distinct bytes before a gram. Each
+    order is one join of grams with their contexts' totals and one with the lower order's
+    probabilities, sharded by gram; a context has 256 grams at most.
     """
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):
-        orders.append(orders[-1].groupBy(F.pmod("gram", F.lit(V**k)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    lower, rows = None, None
+        orders.append(materialise(orders[-1].groupBy(_low(k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "kn-order"))
+    model = []
     for k, table in enumerate(orders[::-1], 1):
-        table = table if k == ORDER else materialise(table, "kn-order")
         d = _discounts(table)
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        g = table.withColumn("off", off).withColumn("ctx", F.floor(F.col("gram") / V).cast("int"))
-        contexts = g.groupBy("ctx").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("backoff"))
+        kind = F.least("n", F.lit(3))
+        off = F.when(kind == 1, d[0]).when(kind == 2, d[1]).otherwise(d[2])
+        g = table.withColumn("ctx", F.shiftright("gram", 8)).withColumn("off", off)
+        # whole counts by kind: no sum depends on its order
+        totals = g.groupBy("ctx").agg(F.sum("n").alias("total"), *[F.count(F.when(kind == i, 1)).alias(f"c{i}") for i in (1, 2, 3)])
+        left = (F.col("c1") * d[0] + F.col("c2") * d[1] + F.col("c3") * d[2]) / F.col("total")
+        contexts = materialise(totals.select("ctx", "total", left.alias("backoff")), "kn-contexts")
         g = g.join(contexts, "ctx")
-        if lower is None:
-            p = (F.col("n") - F.col("off")) / F.col("total") + F.col("backoff") / V
+        if k == 1:
+            low = F.lit(1 / 256)
         else:
-            g = g.withColumn("suffix", F.pmod("gram", F.lit(V ** (k - 1))).cast("int")).join(lower, "suffix")
-            p = (F.col("n") - F.col("off")) / F.col("total") + F.col("backoff") * F.col("low")
-        g = materialise(g.select(F.col("gram").cast("int").alias("code"), p.alias("p")), "kn-p")
-        lower = g.select(F.col("code").alias("suffix"), F.col("p").alias("low"))
-        both = g.select(F.lit(k).alias("gram_order"), "code", "p", F.lit(None).cast("double").alias("backoff")).unionByName(
-            contexts.select(F.lit(k).alias("gram_order"), F.col("ctx").alias("code"), F.lit(None).cast("double").alias("p"), "backoff")
-        )
-        rows = both if rows is None else rows.unionByName(both)
-    return materialise(rows, "kn-model")
-
-
-class Scorer:
-    """The model as one table of bits for every gram of ORDER symbols, made when a worker first scores."""
-
-    def __init__(self, model: DataFrame):
-        # bounded by the alphabet: V**4 grams at most, whatever the corpus
-        got = model.toArrow()
-        order, code = got.column("gram_order").to_numpy(), got.column("code").to_numpy()
-        p, back = got.column("p").to_numpy(), got.column("backoff").to_numpy()
-        self.seen = [(code[m].astype(np.int32), p[m].astype(np.float32)) for k in range(1, ORDER + 1) if (m := (order == k) & ~np.isnan(p)) is not None]
-        self.back = [(code[m].astype(np.int32), back[m].astype(np.float32)) for k in range(1, ORDER + 1) if (m := (order == k) & ~np.isnan(back)) is not None]
-        self.key = uuid.uuid4().hex
-
-    def bits(self) -> np.ndarray:
-        table = np.full(1, 1 / V, np.float32)
-        for k, ((codes, p), (ctx, backoff)) in enumerate(zip(self.seen, self.back)):
-            left = np.ones(V**k, np.float32)  # a context never seen leaves all to the lower order
-            left[ctx] = backoff
-            # gram = context * V + symbol, and the lower order's gram is its last k symbols
-            table = np.tile(table, V) if k else np.repeat(table, V)
-            table.reshape(-1, V)[:] *= left[:, None]  # in place: the last table is by far the largest
-            table[codes] = p
-        np.maximum(table, 1e-30, out=table)
-        np.log2(table, out=table)
-        return np.negative(table, out=table)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def with_bits(docs: DataFrame, scorer) -> DataFrame:
-    """docs (with a text column) and, for each row, _n symbols and their _bits under a broadcast Scorer."""
-    names = docs.columns
-    text = names.index("text")
+            g = g.withColumn("suffix", _low(k - 1)).join(model[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
+            low = F.col("low")
+        p = (F.col("n") - F.col("off")) / F.col("total") + F.col("backoff") * low
+        model.append((materialise(g.select("gram", p.alias("p")), "kn-p"), contexts.select("ctx", "backoff")))
+    return model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scorer.value
-        if s.key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[s.key] = s.bits()
-        table = _TABLES[s.key]
-        for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for at, texts in _chunks(batch, text):
-                sym, starts, stops = symbols(texts)
-                cost = np.append(table[grams(sym)], np.float32(0)).astype(np.float64)
-                spans = np.column_stack([starts, stops]).ravel() - (ORDER - 1)
-                rows = slice(at, at + len(texts))
-                n[rows] = stops - starts
-                total[rows] = np.where(stops > starts, np.add.reduceat(cost, spans)[::2], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total)], names=[*names, "_n", "_bits"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_bits", T.DoubleType())]))
+def gram_costs(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, cost: minus log2 of each gram's probability in 1/PARTS bits, for grams seen and unseen (wanted: gram, seen).
 
+    An unseen gram's context, if seen, hands its share on to the gram without its first byte, order
+    by order, down to one in 256.
+    """
+    seen = model[-1][0].select("gram", F.col("p"))
+    rows = wanted.where("not seen").select("gram", F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("p"))
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:
+            known = model[k - 1][0].select(F.col("gram").alias("_code"), F.col("p").alias("_p"))
+            rows = rows.withColumn("_code", _low(k)).join(known, "_code", "left").withColumn("p", F.coalesce("p", F.col("w") * F.col("_p"))).drop("_code", "_p")
+        rows = rows.withColumn("ctx", F.shiftright(_low(k), 8)).join(model[k - 1][1], "ctx", "left")
+        rows = rows.withColumn("w", F.when(F.col("p").isNull(), F.col("w") * F.coalesce("backoff", F.lit(1.0))).otherwise(F.col("w"))).drop("ctx", "backoff")
+    rows = rows.select("gram", F.coalesce("p", F.col("w") / 256).alias("p"))
+    return seen.unionByName(rows).select("gram", F.round(-F.log2(F.greatest("p", F.lit(LEAST))) * PARTS).cast("int").alias("cost"))
+
+
+def text_costs(texts: list[bytes], codes: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The summed cost of each text's grams, given the ascending codes of all of them and their costs."""
+    out = np.zeros(len(texts), np.int64)
+    for at, some in _pieces(texts):
+        g = grams(some)
+        place = np.minimum(np.searchsorted(codes, g), max(len(codes) - 1, 0))
+        upto = np.concatenate([[0], np.cumsum(cost[place])]) if len(codes) else np.zeros(len(g) + 1, np.int64)
+        size = np.array([len(t) for t in some], np.int64)
+        stop = np.cumsum(size + ORDER - 1) - (ORDER - 1)
+        out[at : at + len(some)] = upto[stop] - upto[stop - size]
+    return out
 
-def _shrunk(mean: Column) -> Column:
-    return (F.col("_bits") + PRIOR * mean) / (F.col("_n") + PRIOR)
 
+def score(chunks: DataFrame, costs: DataFrame) -> DataFrame:
+    """chunk, row, doc_id, _lang, _n (bytes), _bits (in 1/PARTS bits) of every row, from its chunk's gram costs (chunk, gram, cost)."""
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """_lang, _mean, _limit from trusted rows (_lang, _n, _bits): mean bits a symbol, and the bits a document may cost.
+    def add(rows: pa.Table, known: pa.Table, chunk: int) -> pa.Table:
+        codes, cost = known.column("gram").to_numpy(), known.column("cost").to_numpy().astype(np.int64)
+        order = np.argsort(codes)
+        texts = _texts(rows)
+        bits = text_costs(texts, codes[order], cost[order])
+        lang = rows.column("lang").to_pylist()
+        return pa.table({
+            "chunk": pa.array(np.full(len(texts), chunk)), "row": pa.array(np.arange(len(texts))), "doc_id": rows.column("doc_id").cast(pa.int64()),
+            "_lang": pa.array([x or "" for x in lang], pa.string()), "_n": pa.array([len(t) for t in texts], pa.int64()), "_bits": pa.array(bits),
+        })
 
-    The quantile is read from exact counts of 1/STEPS-bit steps. The row whose _lang is POOLED is of
-    all languages together and serves those without trusted text.
-    """
-    rows = scored.unionByName(scored.withColumn("_lang", F.lit(POOLED)))
-    means = rows.groupBy("_lang").agg((F.sum("_bits") / F.sum("_n")).alias("_mean"))
-    steps = rows.join(means, "_lang").select("_lang", F.ceil(_shrunk(F.col("_mean")) * STEPS).cast("int").alias("step"))
-    steps = steps.groupBy("_lang", "step").agg(F.count(F.lit(1)).alias("k"))
-    # at most STEPS * 100 rows a language
-    upto = Window.partitionBy("_lang").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("upto", F.sum("k").over(upto)).withColumn("all", F.sum("k").over(Window.partitionBy("_lang")))
-    limit = steps.where(F.col("upto") >= F.col("all") * quantile).groupBy("_lang").agg((F.min("step") / STEPS + float(np.log2(margin))).alias("_limit"))
-    return means.join(limit, "_lang").select("_lang", "_mean", "_limit")
+    return _beside(chunks, costs, add, "chunk long, row long, doc_id long, _lang string, _n long, _bits long")
 
 
-def _lang() -> Column:
-    return F.coalesce(F.col("lang"), F.lit(""))
+# --- decisions
 
 
-def train(docs: DataFrame, labels: DataFrame):
-    """((broadcast Scorer, scored documents), thresholds) from docs and labels (doc_id, quality); Nones without trusted text."""
-    spark = docs.sparkSession
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    # one plan at every size: a broadcast of the ids would fit small inputs only
-    counts = count_grams(docs.hint("merge").join(trusted.hint("merge"), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text")))
-    if counts.isEmpty():
-        return None, None
-    scorer = spark.sparkContext.broadcast(Scorer(kneser_ney(counts)))
-    scored = materialise(with_bits(docs.select("doc_id", _lang().alias("_lang"), "text"), scorer).drop("text"), "kn-scored")
-    limits = materialise(thresholds(scored.join(trusted, "doc_id", "left_semi").drop("doc_id").where("_n > 0")), "kn-limits")
-    return (scorer, scored), limits
+def _shrunk(mean: Column) -> Column:
+    """Bits a byte, of the document and PRIOR bytes of its language's mean."""
+    return (F.col("_bits") / PARTS + PRIOR * mean) / (F.col("_n") + PRIOR)
+
+
+def thresholds(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """_lang, _mean, _limit from held-out rows (_lang, _n, _bits): mean bits a byte, and the bits a byte a document may cost.
+
+    _limit is the language's quantile. A language with fewer rows than the quantile needs to lie
+    below their greatest (1 / (1 - quantile)) has the greater of that and its mean plus the pooled
+    quantile of what documents lie above their language's mean. The row POOLED, of all languages
+    together, serves those without held-out rows. There is none without any rows.
+    """
+    means = held.groupBy("_lang").agg((F.sum("_bits") / PARTS / F.sum("_n")).alias("_mean"), F.count(F.lit(1)).alias("_rows"))
+    over = held.join(F.broadcast(means), "_lang").withColumn("_x", _shrunk(F.col("_mean")))
+    own = over.groupBy("_lang").agg(F.percentile("_x", F.lit(quantile)).alias("_own"))
+    above = over.groupBy().agg(F.percentile(F.col("_x") - F.col("_mean"), F.lit(quantile)).alias("_above"), (F.sum("_bits") / PARTS / F.sum("_n")).alias("_all"))
+    rows = means.join(own, "_lang").withColumn("_one", F.lit(1)).join(F.broadcast(above.withColumn("_one", F.lit(1))), "_one")
+    few = F.col("_rows") < 1 / (1 - quantile)
+    own_limit = F.when(few, F.greatest("_own", F.col("_mean") + F.col("_above"))).otherwise(F.col("_own"))
+    return rows.select("_lang", "_mean", own_limit.alias("_limit")).unionByName(above.where("_all is not null").select(F.lit(POOLED).alias("_lang"), F.col("_all").alias("_mean"), (F.col("_all") + F.col("_above")).alias("_limit")))
 
 
 def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds perplexity, threshold and kept to rows with _lang, _n and _bits. limits is a row a language."""
-    pooled = limits.where(F.col("_lang") == POOLED).select(F.col("_mean").alias("_mean0"), F.col("_limit").alias("_limit0"), F.lit(1).alias("_one"))
-    own = limits.where(F.col("_lang") != POOLED)
-    rows = scored.join(own, "_lang", "left").withColumn("_one", F.lit(1)).join(F.broadcast(pooled), "_one").drop("_one")
-    bits = _shrunk(F.coalesce("_mean", "_mean0"))
-    limit = F.coalesce("_limit", "_limit0")
+    """Adds perplexity (of a byte), threshold and kept to rows with _lang, _n and _bits; limits is a row a language, so small."""
+    pooled = limits.where(F.col("_lang") == POOLED).first() or {"_mean": None, "_limit": None}
+    mean0, limit0 = (F.lit(pooled[name]).cast("double") for name in ("_mean", "_limit"))
+    rows = scored.join(F.broadcast(limits.where(F.col("_lang") != POOLED)), "_lang", "left")
+    bits, limit = _shrunk(F.coalesce("_mean", mean0)), F.coalesce("_limit", limit0)
     return (
         rows.withColumn("perplexity", F.round(F.pow(F.lit(2.0), bits), 6))
         .withColumn("threshold", F.round(F.pow(F.lit(2.0), limit), 6))
-        .withColumn("kept", F.col("perplexity") <= F.col("threshold"))
-        .drop("_mean", "_limit", "_mean0", "_limit0")
+        .withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+        .drop("_mean", "_limit")
     )
 
 
+def _judge(chunks: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """judged rows of all chunks, or None without trusted text."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = chunks.select("chunk", F.posexplode("ids").alias("row", "doc_id")).where("doc_id is not null")
+    marked = ids.join(good, "doc_id").select("chunk", "row", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
+    marked = materialise(marked, "kn-trusted")
+    every = chunks.select("chunk", F.lit(-1).cast("long").alias("row"))
+    by_chunk = chunk_grams(chunks, marked.where("not held").select("chunk", F.col("row").cast("long").alias("row")).unionByName(every))
+    corpus = materialise(by_chunk.groupBy("gram").agg(F.sum("n").alias("n")), "kn-corpus")
+    counts = corpus.where("n > 0")
+    if counts.isEmpty():
+        return None
+    costs = gram_costs(corpus.select("gram", (F.col("n") > 0).alias("seen")), kneser_ney(counts))
+    scored = materialise(score(chunks, by_chunk.select("chunk", "gram").join(materialise(costs, "kn-costs"), "gram")), "kn-scored")
+    held = scored.join(marked.where("held").select("chunk", "row"), ["chunk", "row"], "left_semi").where("_n > 0").select("_lang", "_n", "_bits")
+    return judged(scored, materialise(thresholds(held), "kn-limits"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, kept for every document.
+    """doc_id, lang, n_bytes, perplexity, threshold, kept for every document.
 
     Trusted are the documents labelled quality 1. A null or empty text has its language's mean
-    perplexity and is kept; a null lang is a language of its own; a language without trusted text
-    uses the threshold of all; without any trusted text everything is kept, perplexity null.
-    Repeated rows get equal results; other columns are ignored; an empty table gives no rows.
+    perplexity and is kept; a null lang is a language of its own, as is ''; a language without
+    held-out trusted text uses the threshold of all; without any trusted or held-out text
+    everything is kept, the threshold null. Repeated rows get equal results; other columns are
+    ignored; an empty table gives no rows.
     """
-    model, limits = train(docs, labels)
-    if model is None:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    found = _judge(pack(rows), labels)
+    if found is None:
         none = F.lit(None).cast("double")
-        return docs.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    rows = judged(model[1], limits)
-    return rows.select("doc_id", F.when(F.col("_lang") != "", F.col("_lang")).alias("lang"), F.col("_n").alias("n_symbols"), "perplexity", "threshold", "kept")
+        return rows.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
+    return found.select("doc_id", F.when(F.col("_lang") != "", F.col("_lang")).alias("lang"), F.col("_n").alias("n_bytes"), "perplexity", "threshold", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps, all columns."""
-    model, limits = train(docs, labels)
-    if model is None:
+    """The rows of docs that the classifier keeps, all columns; null, empty, repeated and other rows as in classify."""
+    inner = fenced(docs, "doc_id", "text", "lang")
+    chunks = pack(inner)
+    found = _judge(chunks, labels)
+    if found is None:
         return docs
-    inner = fenced(docs, "text", "lang")
-    rows = with_bits(inner.withColumn("_lang", _lang()), model[0])
-    return judged(rows, limits).where("kept").select(*inner.columns).toDF(*docs.columns)
+
+    def drop(rows: pa.Table, gone: pa.Table, _: int) -> pa.Table:
+        keep = np.ones(rows.num_rows, bool)
+        out = gone.column("row").to_numpy()
+        keep[out[out >= 0]] = False
+        return rows.filter(pa.array(keep))
+
+    # a row of its own for each chunk, so that chunks that lose nothing stay
+    gone = found.where("not kept").select("chunk", "row").unionByName(chunks.select("chunk", F.lit(-1).cast("long").alias("row")))
+    return _beside(chunks, gone, drop, inner.schema).toDF(*docs.columns)
