@@ -45,6 +45,31 @@ def test_topk_ties_few_rows_and_widths(spark):
     assert [(r.vec_id, r.score) for r in sorted(repeated, key=lambda r: r.rank)] == [(3, 4096), (3, 4096)]
 
 
+def test_topk_of_large_components(spark):
+    """Components and scores beyond doubles' whole numbers and beyond a long; the width changes with the queries."""
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(0, [1e12, 3.3]), (20, [2.0**60, -1.0]), (40, [1e300, -1e308]), (60, [0.5, 0.25, 0.125]), (1, [1e12, -7.0]), (2, [2.0**47 + 1, 2.0]), (3, [1.0, 1.0]), (4, [-1e308, 1.0]), (5, [0.0])]
+    got = topk.top_k(spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], schema), k=4, candidates=3, queries=2).collect()
+    from fractions import Fraction
+
+    ints = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    for q in (0, 20, 40, 60):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(ints[q], v)), -(2**63)), 2**63 - 1), i) for i, v in ints.items() if i != q)[:4]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in scores]
+
+
+def test_topk_of_long_vectors_and_repeats(spark):
+    rows = [(i, [math.sin(i * 31 + j) for j in range(3000)]) for i in range(45)] + [(7, [1.0] * 3000)] * 3
+    df = vectors(spark, rows).withColumn("qb", F.lit("x")).withColumn("data", F.lit("x")).withColumn("ids", F.lit(1))
+    got = topk.top_k(df, k=3, candidates=20, queries=2).collect()
+    x = np.floor(64 * np.array([v for _, v in rows], np.float32).astype(float))
+    ids = np.array([i for i, _ in rows])
+    for q in (0, 20, 40):
+        scores = x @ x[q]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:3]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(ids[i], scores[i]) for i in order]
+
+
 def test_threshold_stops_early():
     """Skewed lists: far from all rows are scored, and the result is that of scoring all."""
     rng = np.random.default_rng(1)
@@ -53,7 +78,7 @@ def test_threshold_stops_early():
     queries = np.floor(64 * rng.normal(size=(30, 6)))
     scored = []
     for q, bound in zip(queries, lists.bounds(queries)):
-        best, ids, n = lists.search(q, bound, -1, 10, np.dot)
+        best, ids, n = lists.search(q, bound, -1, 10)
         scored.append(n)
         want = rows @ q
         order = np.lexsort((np.arange(4000), -want))[:10]
@@ -92,6 +117,28 @@ def test_neighbours_recall(spark, shard):
         assert [s for _, _, s in hits] == sorted((s for _, _, s in hits), reverse=True)
 
 
+def test_neighbours_of_odd_magnitudes(spark):
+    """Squares of these over- and underflow; cosines are those of the vectors all the same."""
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(0, [1e-200, 1e-200]), (50, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1.0, 0.0]), (3, [5e-324, 5e-324]), (4, [1.7e308, -1.7e308])]
+    got = hnsw.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], schema)).collect()
+    by = {q: [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 50)}
+    assert by[0] == [(3, 1.0), (50, 1.0), (1, 0.707106781), (2, 0.707106781), (4, 0.0)]
+    assert by[50] == [(0, 1.0), (3, 1.0), (1, 0.707106781), (2, 0.707106781), (4, 0.0)]
+
+
+def test_neighbours_recall_on_the_table(spark, data):
+    """All queries of a whole table against brute force: at least 0.9, in several shards too."""
+    df = spark.read.parquet(data.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = {q: {v for v, _ in pairs} for q, pairs in cosines(rows, 50, 5).items()}
+    for shard in (hnsw.SHARD, 500):
+        got = {}
+        for r in hnsw.nearest(df, shard=shard).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_neighbours_of_copies_and_few_rows(spark):
     same = [1.0, 2.0, 3.0]
     got = hnsw.nearest(vectors(spark, [(i, same) for i in range(400)] + [(1000, [3.0, 1.0, 0.0])]), every=50).collect()

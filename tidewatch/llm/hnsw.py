@@ -5,7 +5,8 @@ vectors as nodes; levels are drawn from a hash of the vector, links as insertion
 hash order would set them (each node to `M` diversified neighbours among those before it, and
 back), and kept as flat neighbour arrays. A search descends from the entry through the upper
 levels and keeps a beam of `EF` on the lowest, for all queries of a block together; every shard's
-best are scored exactly and merged.
+best are scored exactly and merged. Vectors are scaled by powers of two, so that norms of very
+large and very small ones are right.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import grid, matrix, packed, same_width, unpack, usable
+from .vectors import matrix, packed, past_blocks, same_width, scaled, unpack, usable
 
-SHARD = 4096
-QUERIES = 2048
+SHARD = 16384
+QUERIES = 1024
 M = 16
-EF_BUILD, EF = 64, 80
+EF_BUILD, EF = 64, 100
 
 INDEX_SCHEMA = "shard int, width int, ids array<long>, node_stops array<int>, data binary, nodes array<int>, neighbours array<binary>, degrees array<int>"
 #: Similarities at once in memory while a graph is built: rows of the block by nodes.
@@ -91,7 +92,8 @@ def _level(unit: np.ndarray, nodes: np.ndarray, m: int, most: int) -> np.ndarray
 
 
 def build(ids: np.ndarray, rows: np.ndarray, m: int = M) -> dict:
-    """The graph of one shard as flat arrays (INDEX_SCHEMA without shard)."""
+    """The graph of one shard as flat arrays (INDEX_SCHEMA without shard); data holds the scaled vectors."""
+    rows = scaled(rows)
     keys, inverse = np.unique(np.ascontiguousarray(rows).view([("", rows.dtype)] * rows.shape[1]).ravel(), return_inverse=True)
     vectors = keys.view(rows.dtype).reshape(len(keys), rows.shape[1])
     h = _hash(vectors)
@@ -182,10 +184,11 @@ class Graph:
         if queries.shape[1] != self.vectors.shape[1]:
             wide, queries = same_width(self.vectors, queries)
             self.vectors, self.unit = wide, np.pad(self.unit, ((0, 0), (0, wide.shape[1] - self.unit.shape[1])))
+        queries = scaled(queries)
         norms = np.linalg.norm(queries, axis=1)
         beams = self.beam((queries / norms[:, None]).astype(np.float32), max(ef, k + 1))
         for qid, q, norm, nodes in zip(qids.tolist(), queries, norms, beams):
-            nodes = nodes[nodes >= 0][: 4 * k + 16]
+            nodes = nodes[nodes >= 0]
             # Kept whole products, not BLAS sums of varying order: equal vectors get equal scores
             cos = (self.vectors[nodes] * q).sum(1) / (self.norms[nodes] * norm)
             ids = [self.ids[self.starts[v] : min(self.stops[v], self.starts[v] + k + 1)] for v in nodes]
@@ -227,20 +230,26 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5,
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = queries.count() // block + 1
     asked = packed(asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "qb", "vec_id", "v")
-    cells = grid(index.drop("nodes"), "shard", shards, asked, "qb", blocks).repartition("shard", "qb")
+    rows = past_blocks(index.drop("nodes"), "shard", shards, asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                if row["qb"] < 0:
+                    graph = Graph(row)
+                    continue
                 qids, q = unpack(row, "q_")
+                if graph is None or not len(qids):
+                    continue
                 out: tuple[list, list, list] = ([], [], [])
-                for qid, ids, cos in Graph(row).search(qids, q, k, ef):
+                for qid, ids, cos in graph.search(qids, q, k, ef):
                     out[0].extend([qid] * len(ids))
                     out[1].extend(ids.tolist())
                     out[2].extend(cos.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -33,7 +33,7 @@ QUANTILE = 0.999
 #: One trusted document in HELD_OUT, by a hash of its id, is kept from the counts and sets the quantiles.
 HELD_OUT = 5
 #: Text bytes of a chunk, and those whose grams are listed at once.
-CHUNK, PIECE = 16 << 20, 1 << 20
+CHUNK, PIECE = 32 << 20, 1 << 20
 #: Costs are counted in parts of a bit, so that sums don't depend on their order.
 PARTS = 10_000
 #: Least probability of a gram.

@@ -1,10 +1,10 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Candidates are dealt into blocks by a hash of their id and queries into blocks of their own; every
-query block meets every candidate block once. In a cell each dimension has a sorted list, read
-from its end of larger contributions for the query's sign. At growing depths the rows just met are
-scored in full; the bound on all others is the query's product with the values at that depth. A
-query stops when its bound is below its k-th score. Each cell's k best are merged.
+Candidates are dealt into blocks by a hash of their id; a block's dimensions are sorted into lists
+once, and all queries pass over it. A list is read from its end of larger contributions for the
+query's sign. At growing depths the rows just met are scored in full; the bound on all others is
+the query's product with the values at that depth. A query stops when its bound is below its k-th
+score. Each block's k best are merged.
 """
 
 from __future__ import annotations
@@ -17,17 +17,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import grid, packed, same_width, unpack, usable
+from .vectors import packed, past_blocks, same_width, unpack, usable
 
-#: Candidates and queries of one cell: bounds a task's memory.
-CANDIDATES, QUERIES = 8192, 1024
-EXACT = 2.0**53
+#: Candidates of a block and queries that pass together: bounds a task's memory.
+CANDIDATES, QUERIES = 16384, 1024
+#: Products of components up to LARGE are summed in doubles without rounding (2**53 / 2**40 dimensions at least).
+LARGE = 2.0**20
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id, v: usable vectors with every component x turned into floor(scale * x)."""
+    """vec_id, v: usable vectors with every component x turned into floor(scale * x) / scale; scale is a power of two.
+
+    The division keeps every finite component finite; from 2**46 on components are whole already.
+    """
     rows = embeddings.where(usable(embeddings, "embedding") & F.col("vec_id").isNotNull())
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * float(scale)).cast("double")).alias("v"))
+    step = lambda x: F.when(F.abs(x) >= 2.0**46, x).otherwise(F.floor(x * float(scale)).cast("double") / float(scale))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), step).alias("v"))
+
+
+def whole(x: float, scale: int) -> int:
+    """scale * x, exactly, for a component of quantised."""
+    return int(x) * scale if abs(x) >= 2.0**46 else int(x * scale)
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray, scale: int) -> np.ndarray:
+    """Integer inner products of any size, those beyond a long as the nearest long."""
+    q = [whole(x, scale) for x in query.tolist()]
+    return np.array([min(max(sum(whole(x, scale) * y for x, y in zip(r, q)), LEAST), MOST) for r in rows.tolist()], np.int64)
 
 
 class SortedLists:
@@ -49,7 +66,7 @@ class SortedLists:
         at = np.minimum(np.array(self.depths), n - 1)
         return np.maximum(queries, 0) @ self.values[n - 1 - at].T + np.minimum(queries, 0) @ self.values[at].T
 
-    def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int, product) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Scores and ids of the k best rows but the query's own, best first, and how many rows were scored."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
@@ -65,8 +82,7 @@ class SortedLists:
             seen, before = met, depth
             if len(new):
                 scored += len(new)
-                scores = product(self.rows[new] if 4 * len(new) < n else self.rows, query)
-                scores = scores if 4 * len(new) < n else scores[new]
+                scores = self.rows[new] @ query if 4 * len(new) < n else (self.rows @ query)[new]
                 ids = self.ids[new]
                 other = ids != own
                 best, best_ids = np.concatenate([best, scores[other]]), np.concatenate([best_ids, ids[other]])
@@ -87,26 +103,57 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return ids[order], scores[order]
 
 
-def _cells(k: int):
+class Block:
+    """One block's candidates: sorted lists of those with small components, the others beside them."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, scale: int):
+        self.scale, self.all_ids, self.all_rows = scale, ids, rows
+        large = np.abs(rows * scale).max(1, initial=0) > LARGE
+        self.large_ids, self.large_rows = ids[large], rows[large]
+        self.lists = SortedLists(ids[~large], rows[~large] * scale)
+
+    def search(self, qid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best, best first; only components beyond LARGE take Python's integers."""
+        if np.abs(query * self.scale).max(initial=0) > LARGE:
+            best, ids = exact_scores(self.all_rows, query, self.scale), self.all_ids
+            best, ids = best[ids != qid], ids[ids != qid]
+        else:
+            best, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(self.lists.ids):
+                q = query * self.scale
+                scores, ids, _ = self.lists.search(q, self.lists.bounds(q[None])[0], qid, k)
+                best = scores.astype(np.int64)
+            if len(self.large_ids):
+                other = self.large_ids != qid
+                best = np.concatenate([best, exact_scores(self.large_rows[other], query, self.scale)])
+                ids = np.concatenate([ids, self.large_ids[other]])
+        ids, best = _first(best, ids, k)
+        return best, ids
+
+
+def _pass(k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            for row in batch.to_pylist():
-                (ids, rows), (qids, queries) = unpack(row), unpack(row, "q_")
-                rows, queries = same_width(rows, queries)
-                most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1]
-                if most < EXACT:  # every partial sum is a whole number that a double holds
-                    product = np.dot
-                else:
-                    product = lambda m, q: np.array([int(sum(int(a) * int(b) for a, b in zip(r, q))) for r in m], object)
-                lists = SortedLists(ids, rows)
-                bounds = lists.bounds(queries) if most < EXACT else lists.bounds(queries) + most * 1e-12
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                if row["qb"] < 0:
+                    held = unpack(row)
+                    block = Block(*held, scale)
+                    continue
+                qids, queries = unpack(row, "q_")
+                if block is None or not len(qids):
+                    continue
+                if queries.shape[1] != held[1].shape[1]:
+                    wide, queries = same_width(held[1], queries)
+                    held = held[0], wide
+                    block = Block(*held, scale)
                 out: tuple[list, list, list] = ([], [], [])
-                for qid, q, b in zip(qids.tolist(), queries, bounds):
-                    best, best_ids, _ = lists.search(q, b, qid, k, product)
-                    out[0].extend([qid] * len(best))
-                    out[1].extend(best_ids.tolist())
-                    out[2].extend(int(s) for s in best)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                for qid, q in zip(qids.tolist(), queries):
+                    best, ids = block.search(qid, q, k)
+                    out[0].append(np.full(len(ids), qid))
+                    out[1].append(ids)
+                    out[2].append(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -125,8 +172,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     cand = packed(vecs.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(nc))), "cb", "vec_id", "v")
     asked = vecs.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = packed(asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nqb))), "qb", "vec_id", "v")
-    cells = grid(cand, "cb", nc, asked, "qb", nqb).repartition("cb", "qb")
-    found = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
+    found = past_blocks(cand, "cb", nc, asked).mapInArrow(_pass(k, scale), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,4 +1,4 @@
-"""Vectors as packed blocks, and the block grid that searches run on."""
+"""Vectors as packed blocks, and the pass of queries over blocks that searches run on."""
 
 from __future__ import annotations
 
@@ -52,11 +52,20 @@ def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(m if m.shape[1] == w else np.pad(m, ((0, 0), (0, w - m.shape[1]))) for m in (a, b))
 
 
-def grid(left: DataFrame, left_key: str, n_left: int, right: DataFrame, right_key: str, n_right: int) -> DataFrame:
-    """Every left block beside every right block (two packed sides, blocks numbered from 0), as an equi-join on the cell."""
-    a = left.withColumn(right_key, F.explode(F.sequence(F.lit(0), F.lit(max(n_right - 1, 0)))))
-    b = right.select(right_key, *[F.col(c).alias(f"q_{c}") for c in right.columns if c != right_key]).withColumn(left_key, F.explode(F.sequence(F.lit(0), F.lit(max(n_left - 1, 0)))))
-    return a.join(b, [left_key, right_key])
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is in [0.5, 1): sums of squares stay finite and above 0,
+    and cosines are those of the rows themselves."""
+    top = np.abs(m).max(1, initial=0)
+    return np.ldexp(m, -np.frexp(top)[1][:, None])
+
+
+def past_blocks(blocks: DataFrame, key: str, n: int, queries: DataFrame) -> DataFrame:
+    """Rows for a pass of all packed queries (qb, ids, width, data) over n blocks (key from 0): in each partition a block's row
+    (qb -1), then every query block (columns q_ids, q_width, q_data). Blocks move once and are never copied."""
+    asked = queries.select("qb", *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "data")])
+    asked = asked.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
+    rows = blocks.withColumn("qb", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
+    return rows.repartition(max(n, 1), key).sortWithinPartitions(key, "qb")
 
 
 def result_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
