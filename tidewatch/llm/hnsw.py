@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import matrix, packed, past_blocks, same_width, scaled, unpack, usable
+from .vectors import block_rows, matrix, packed, past_blocks, same_width, scaled, unpack, usable
 
-SHARD = 16384
+#: Rows of a shard, at least and at most: within it a graph's candidates are searched exhaustively.
+SHARD = (2048, 16384)
 QUERIES = 1024
 M = 16
 EF_BUILD, EF = 64, 100
@@ -205,10 +206,11 @@ def nonzero(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def build_index(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
+def build_index(embeddings: DataFrame, shard: int | None = None) -> tuple[DataFrame, int]:
     """The written index, a row a shard (INDEX_SCHEMA), and the number of shards; every usable row is in it."""
     rows = nonzero(embeddings)
-    shards = rows.count() // shard + 1
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    shards = n // (shard or block_rows(rows, n, width or 1, *SHARD)) + 1
 
     def graph(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
@@ -254,7 +256,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5,
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, ef: int = EF, shard: int = SHARD) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, ef: int = EF, shard: int | None = None) -> DataFrame:
     """Each query's k nearest by cosine; queries are the rows whose vec_id `every` divides.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import packed, past_blocks, same_width, unpack, usable
+from .vectors import block_rows, packed, past_blocks, same_width, unpack, usable
 
-#: Candidates of a block and queries that pass together: bounds a task's memory.
-CANDIDATES, QUERIES = 16384, 1024
+#: Candidates of a block, at least and at most, and queries that pass together: bounds a task's memory.
+CANDIDATES, QUERIES = (4096, 65536), 1024
+#: Queries whose remaining rows are scored by one matrix product.
+TOGETHER = 64
 #: Products of components up to LARGE are summed in doubles without rounding (2**53 / 2**40 dimensions at least).
 LARGE = 2.0**20
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -48,13 +50,14 @@ def exact_scores(rows: np.ndarray, query: np.ndarray, scale: int) -> np.ndarray:
 
 
 class SortedLists:
-    """The candidates of one cell with a sorted list of every dimension."""
+    """The candidates of one block with a sorted list of every dimension."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)  # ascending
         self.values = np.take_along_axis(rows, self.order, 0)
-        n, depth, self.depths = len(ids), 16, []
+        n, self.depths = len(ids), []
+        depth = max(16, n // (16 * max(rows.shape[1], 1)))
         while depth < n:
             self.depths.append(depth)
             depth *= 2
@@ -66,33 +69,50 @@ class SortedLists:
         at = np.minimum(np.array(self.depths), n - 1)
         return np.maximum(queries, 0) @ self.values[n - 1 - at].T + np.minimum(queries, 0) @ self.values[at].T
 
-    def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Scores and ids of the k best rows but the query's own, best first, and how many rows were scored."""
+    def met(self, query: np.ndarray, depth: int) -> np.ndarray:
+        """Rows among the first `depth` of a list, each read from its end of larger contributions."""
         n = len(self.ids)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        if depth >= n:
+            return np.arange(n)
         seen = np.zeros(n, bool)
-        best, best_ids, scored, before = np.zeros(0), np.zeros(0, np.int64), 0, 0
-        for j, depth in enumerate(self.depths):
-            met = seen.copy()
-            met[self.order[n - depth : n - before, up]] = True
-            met[self.order[before:depth, down]] = True
-            if depth == n:
-                met[:] = True  # a query of zeros has no list to read
-            new = np.flatnonzero(met & ~seen)
-            seen, before = met, depth
-            if len(new):
-                scored += len(new)
-                scores = self.rows[new] @ query if 4 * len(new) < n else (self.rows @ query)[new]
-                ids = self.ids[new]
-                other = ids != own
-                best, best_ids = np.concatenate([best, scores[other]]), np.concatenate([best_ids, ids[other]])
-                if len(best) > k:
-                    best_ids, best = _first(best, best_ids, k)
-            # an unseen row of the same score could have a smaller id, so the bound must be below
-            if scored == n or len(best) == k and bound[j] < best[-1]:
-                break
-        best_ids, best = _first(best, best_ids, k)
-        return best, best_ids, scored
+        seen[self.order[n - depth :, query > 0]] = True
+        seen[self.order[:depth, query < 0]] = True
+        return np.flatnonzero(seen)
+
+    def search(self, queries: np.ndarray, owns: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Each query's k best scores but its own row's, best first, their ids, and how many rows were scored.
+
+        A query reads on to the first depth whose bound is below the best score so far, since no
+        k-th score can stop it sooner, until its bound is below its k-th score. Queries that then
+        hold more than a quarter of all rows are scored against all of them together.
+        """
+        n, bounds = len(self.ids), self.bounds(queries)
+        out: list = [None] * len(queries)
+        rest = []
+        for i, (query, own, bound) in enumerate(zip(queries, owns.tolist(), bounds)):
+            j = 0
+            while True:
+                at = self.met(query, self.depths[j])
+                if 4 * len(at) > n:
+                    rest.append(i)
+                    break
+                found = self._best(self.rows[at] @ query, self.ids[at], own, k)
+                # an unseen row of the same score could have a smaller id, so the bound must be below
+                if len(found[0]) == k and bound[j] < found[0][-1]:
+                    out[i] = (*found, len(at))
+                    break
+                later = np.flatnonzero(bound[j + 1 :] < found[0][0]) if len(found[0]) else []
+                j = j + 1 + int(later[0]) if len(later) else len(self.depths) - 1
+        for a in range(0, len(rest), TOGETHER):
+            some = rest[a : a + TOGETHER]
+            for i, scores in zip(some, queries[some] @ self.rows.T):
+                out[i] = (*self._best(scores, self.ids, int(owns[i]), k), n)
+        return out
+
+    def _best(self, scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        other = ids != own
+        best_ids, best = _first(scores[other], ids[other], k)
+        return best, best_ids
 
 
 def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,23 +132,22 @@ class Block:
         self.large_ids, self.large_rows = ids[large], rows[large]
         self.lists = SortedLists(ids[~large], rows[~large] * scale)
 
-    def search(self, qid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best, best first; only components beyond LARGE take Python's integers."""
-        if np.abs(query * self.scale).max(initial=0) > LARGE:
-            best, ids = exact_scores(self.all_rows, query, self.scale), self.all_ids
-            best, ids = best[ids != qid], ids[ids != qid]
-        else:
-            best, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(self.lists.ids):
-                q = query * self.scale
-                scores, ids, _ = self.lists.search(q, self.lists.bounds(q[None])[0], qid, k)
-                best = scores.astype(np.int64)
-            if len(self.large_ids):
-                other = self.large_ids != qid
-                best = np.concatenate([best, exact_scores(self.large_rows[other], query, self.scale)])
-                ids = np.concatenate([ids, self.large_ids[other]])
-        ids, best = _first(best, ids, k)
-        return best, ids
+    def search(self, qids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each query's k best scores and their ids, best first; only components beyond LARGE take Python's integers."""
+        out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids)
+        large = np.abs(queries * self.scale).max(1, initial=0) > LARGE
+        small = np.flatnonzero(~large)
+        if len(self.lists.ids) and len(small):
+            for i, (best, ids, _) in zip(small.tolist(), self.lists.search(queries[small] * self.scale, qids[small], k)):
+                out[i] = best.astype(np.int64), ids
+        for i, qid in enumerate(qids.tolist()):
+            rows, ids = (self.all_rows, self.all_ids) if large[i] else (self.large_rows, self.large_ids)
+            if len(ids):
+                other = ids != qid
+                best, own = out[i]
+                ids, best = _first(np.concatenate([best, exact_scores(rows[other], queries[i], self.scale)]), np.concatenate([own, ids[other]]), k)
+                out[i] = best, ids
+        return out
 
 
 def _pass(k: int, scale: int):
@@ -145,20 +164,17 @@ def _pass(k: int, scale: int):
                     continue
                 if queries.shape[1] != held[1].shape[1]:
                     wide, queries = same_width(held[1], queries)
-                    held = held[0], wide
-                    block = Block(*held, scale)
-                out: tuple[list, list, list] = ([], [], [])
-                for qid, q in zip(qids.tolist(), queries):
-                    best, ids = block.search(qid, q, k)
-                    out[0].append(np.full(len(ids), qid))
-                    out[1].append(ids)
-                    out[2].append(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                    if wide is not held[1]:
+                        held = held[0], wide
+                        block = Block(*held, scale)
+                found = block.search(qids, queries, k)
+                query = np.repeat(qids, [len(ids) for _, ids in found])
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([i for _, i in found])), pa.array(np.concatenate([s for s, _ in found]))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, candidates: int | None = None, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products, ties to the smaller id.
 
     Queries are the rows whose vec_id `every` divides. Rows without an id, and vectors that are
@@ -167,7 +183,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     candidate; other repeated rows are candidates each. Fewer candidates than k are all returned.
     """
     vecs = materialise(quantised(embeddings, scale), "topk")
-    n, nq = vecs.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    n, nq, width = vecs.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("v"))).first()
+    candidates = candidates or block_rows(vecs, n, width or 1, *CANDIDATES)
     nc, nqb = n // candidates + 1, nq // queries + 1
     cand = packed(vecs.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(nc))), "cb", "vec_id", "v")
     asked = vecs.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -65,7 +65,13 @@ def past_blocks(blocks: DataFrame, key: str, n: int, queries: DataFrame) -> Data
     asked = queries.select("qb", *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "data")])
     asked = asked.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     rows = blocks.withColumn("qb", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
-    return rows.repartition(max(n, 1), key).sortWithinPartitions(key, "qb")
+    return rows.repartitionById(max(n, 1), key).sortWithinPartitions(key, "qb")
+
+
+def block_rows(df: DataFrame, n: int, width: int, least: int, most: int, held: int = 64 << 20) -> int:
+    """Rows of a block: two blocks a core where n allows, but `least` to `most` rows and `held` bytes of float64 at most."""
+    share = -(-n // (2 * df.sparkSession.sparkContext.defaultParallelism))
+    return max(1, min(max(share, least), most, held // (8 * max(width, 1))))
 
 
 def result_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
