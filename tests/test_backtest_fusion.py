@@ -141,12 +141,37 @@ def test_garch_follows_volatility(spark):
     assert s[170:250].mean() > 2 * s[100:150].mean() and 0 < fits.first().alpha < 1
 
 
+def run_lengths_by_loops(v, hazard=1 / 250, cap=500):
+    """P(run < 4) from the recursion over run lengths, one run and row at a time."""
+    from math import exp, lgamma, log, pi
+
+    def like(x, mean, scale, df):
+        return exp(lgamma((df + 1) / 2) - lgamma(df / 2) - log(df * pi * scale) / 2 - (df + 1) / 2 * log(1 + (x - mean) ** 2 / scale / df))
+
+    mass, out = {0: 1.0}, []
+    for t, x in enumerate(v):
+        new = {0: 0.0}
+        for r in range(min(t + 1, cap)):
+            seg = v[t - r : t + 1] if r else []
+            n, m = len(seg), float(np.mean(seg)) if r else 0.0
+            beta = 1 + n * (float(np.var(seg)) if n > 1 else 0.0) / 2 + n * m * m / (1 + n) / 2
+            w = mass.get(r, 0.0) * like(x, n * m / (1 + n), beta * (n + 2) / ((1 + n) * (1 + n / 2)), 2 + n)
+            new[r + 1] = w * (1 - hazard)
+            new[0] += w * hazard
+        total = sum(new.values())
+        mass = {r: w / total for r, w in new.items()}
+        out.append(sum(mass.get(r, 0.0) for r in range(4)))
+    return out
+
+
 def test_breaks_and_run_lengths(spark):
     v = np.concatenate([np.random.default_rng(1).normal(0, 1, 100), np.random.default_rng(2).normal(4, 1, 100)])
     cps = models.segment_breaks(v)
     assert any(abs(c - 100) <= 2 for c in cps) and len(cps) <= 4
     p = models.bocpd(v)
-    assert p[101:106].max() > 0.5 and p[60:95].mean() < 0.5
+    # the current row is among a run's own statistics, so the mass of short runs rises for a few rows only
+    assert p[99:106].max() > 10 * p[60:95].mean()
+    assert p[:40] == pytest.approx(run_lengths_by_loops(v[:40])) and models.bocpd(v, cap=5)[:40] == pytest.approx(run_lengths_by_loops(v[:40], cap=5))
     near = column(models.structural_breaks(series(spark, "ret", v)), "nearness")
     assert np.argmax(near) in range(97, 104)
 
@@ -180,3 +205,15 @@ def test_regression_leave_one_out(spark):
         c = np.polyfit(x[k], y[k], 1)
         errs.append(abs(y[i] - np.polyval(c, x[i])))
     assert r.slope == pytest.approx(np.polyfit(x, y, 1)[0]) and r.loo_mae == pytest.approx(np.mean(errs))
+
+
+def test_pca_composite_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))
+    rows = [("a", m, dt.date(2020, 1, 1) + dt.timedelta(days=t), t, None if t == 45 and m == "b" else float(x[t, k])) for t in range(60) for k, m in enumerate("abc")]
+    df = spark.createDataFrame(rows, "series_id string, method string, ts date, t long, score double")
+    got = {r.t: r.pca for r in fusion.pca_composite(df, ["a", "b", "c"], 30).collect()}
+    assert len(got) == 60 and got[10] == pytest.approx(x[10].mean()) and got[45] == pytest.approx((x[45, 0] + x[45, 2]) / 2)
+    past = np.delete(x[:50], 45, 0)
+    w, u = np.linalg.eigh(np.cov(past.T))
+    assert got[50] == pytest.approx(abs(u[:, -1] @ (x[50] - past.mean(0))))

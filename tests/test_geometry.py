@@ -124,6 +124,21 @@ def test_fit_matches_numpy(spark):
         assert g.embed_features(rows(spark, x), g.fit_prefix(rows(spark, x), 60, 2), mode).count() == 80
 
 
+def test_refits_are_causal_and_match_whole_fits(spark):
+    x = sample(200)
+    df = rows(spark, x)
+    snaps = {r.refit_t: r for r in g.fit_expanding(df, 60, 50, 2).collect()}
+    assert sorted(snaps) == [60, 110, 160]
+    for at, s in snaps.items():
+        one = g.fit_prefix(df, at, 2).first()
+        assert s.mean == pytest.approx(one.mean) and s.scale == pytest.approx(one.scale) and s.variances == pytest.approx(one.variances)
+    changed = x.copy()
+    changed[150:] += 9
+    a, b = ({r.t: (r.refit_t, r.x) for r in g.embed_causal(rows(spark, v), g.fit_expanding(rows(spark, v), 60, 50, 2)).collect()} for v in (x, changed))
+    assert len(a) == 200 and a[59][0] is None and a[60][0] == 60 and a[159][0] == 110 and a[199][0] == 160
+    assert all(a[t][1] == pytest.approx(b[t][1]) if a[t][1] else b[t][1] is None for t in range(150)) and a[170][1] != pytest.approx(b[170][1])
+
+
 def test_transitions_keep_apart(spark):
     x = [0.0] * 20 + [5.0] * 20 + [0.0] * 20
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "series_id string, t long, x double")

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidewatch.streaming import stateful as st
 
@@ -20,25 +18,13 @@ def ticks(spark, n=150):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def replayed(spark, df, processor, tmp_path, files=3):
-    src = str(tmp_path / "in")
-    for k in range(files):  # each file a later stretch of time
-        n = df.count()
-        cut = df.withColumn("_k", F.floor(F.hour("ts") * 0 + (F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600 / (n / 2 / files)))
-        cut.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").parquet(src)
-    table = "t" + uuid.uuid4().hex
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    st.replay(spark, st.stream(stream, processor), table, str(tmp_path / "cp"))
-    return spark.table(table)
-
-
 PROCESSORS = [st.Welford(), st.Cusum(0.5, 40), st.Ewma(), st.CoolDown(2.0, 3), st.Evidence(40), st.BayesFilter(60), st.PercentileScore(100, 30), st.Transition(5, 0.8, 10)]
 
 
-@pytest.mark.parametrize("processor", PROCESSORS[:2], ids=lambda p: type(p).__name__)
+@pytest.mark.parametrize("processor", PROCESSORS, ids=lambda p: type(p).__name__)
 def test_replay_equals_batch(spark, tmp_path, processor):
     df = ticks(spark)
-    got = sorted(map(tuple, replayed(spark, df, processor, tmp_path).collect()))
+    got = sorted(map(tuple, st.replayed(df, processor, str(tmp_path)).collect()))
     want = sorted(map(tuple, st.batch_twin(df, processor).collect()))
     assert len(got) == 300
     for g, w in zip(got, want):

@@ -98,3 +98,32 @@ def normal_sf(z: Column) -> Column:
 def t_density(x: Column, df: Column, scale: Column) -> Column:
     """Density of Student's law with a scale."""
     return _DENSITY(x, df.cast("double"), scale)
+
+
+def range_quantile(k, level: float = 0.95) -> Column:
+    """Quantile of the studentised range of k normal values (infinite degrees of freedom) over sqrt(2), by integration and bisection.
+
+    For columns of few rows: each distinct k is integrated once a batch.
+    """
+
+    @F.pandas_udf("double")
+    def quantile(ks: pd.Series) -> pd.Series:
+        import math
+
+        import numpy as np
+
+        z = np.linspace(-9, 9, 3601)
+        density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        below = np.vectorize(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))))
+
+        def one(n: int) -> float:
+            lo, hi = 0.0, 20.0
+            for _ in range(50):
+                q = (lo + hi) / 2
+                share = n * np.trapezoid(density * (below(z) - below(z - q)) ** (n - 1), z)
+                lo, hi = (q, hi) if share < level else (lo, q)
+            return lo / math.sqrt(2)
+
+        return ks.map({n: one(int(n)) if n > 1 else None for n in ks.dropna().unique()})
+
+    return quantile(k)

@@ -81,38 +81,27 @@ def forward_fill(df: DataFrame, column: str, out: str | None = None, keys: tuple
 
 
 def percent_rank_past(df: DataFrame, column: str, out: str, keys: tuple[str, ...] = ("series_id",), include_current: bool = True, least: int = 1) -> DataFrame:
-    """Share of the valid values so far that are <= the current one.
+    """Share of the valid values so far that are <= the current one; null with fewer than `least` of them.
 
-    Spark has no running frame function for it: each key's values pass through a sorted list, in
-    O(n log n) comparisons, one key at a time.
+    Spark has no running frame function for it. The past of row t is the union of the left halves
+    of those blocks of 2, 4, 8, ... rows in whose right half t lies, so one window over (block,
+    value) counts them all: n log n rows, dealt by block, none held in memory. t numbers a key's
+    rows from 0.
     """
-    import pyarrow as pa
-
-    schema = df.schema
-
-    def run(table):
-        import bisect
-
-        import pyarrow.compute as pc
-
-        table = table.take(pc.sort_indices(table, sort_keys=[("t", "ascending")]))
-        seen: list[float] = []
-        ranks = []
-        for x in table.column(column).to_pylist():
-            if x is None:
-                ranks.append(None)
-                continue
-            if include_current:
-                bisect.insort(seen, x)
-            n = len(seen)
-            ranks.append(bisect.bisect_right(seen, x) / n if n >= max(least, 1) else None)
-            if not include_current:
-                bisect.insort(seen, x)
-        return table.append_column(out, pa.array(ranks, pa.float64()))
-
-    from pyspark.sql import types as T
-
-    return df.groupBy(*keys).applyInArrow(run, T.StructType([*schema.fields, T.StructField(out, T.DoubleType())]))
+    w = Window.partitionBy(*keys)
+    valid = df.where(F.col(column).isNotNull()).select(*keys, "t", F.col(column).alias("_v")).withColumn("_top", F.max("t").over(w))
+    levels = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("shiftright", F.col("_top"), k) > 0)
+    halves = valid.select(*keys, "t", "_v", F.explode(levels).alias("_k"))
+    right = F.call_function("shiftright", F.col("t"), F.col("_k")).bitwiseAND(F.lit(1)) == 1
+    halves = halves.withColumn("_b", F.call_function("shiftright", F.col("t"), F.col("_k") + 1)).withColumn("_right", right)
+    upto = Window.partitionBy(*keys, "_k", "_b").orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
+    counted = halves.withColumn("_c", F.sum(F.when(F.col("_right"), 0).otherwise(1)).over(upto))
+    ranks = counted.where("_right").groupBy(*keys, "t").agg(F.sum("_c").alias("_le"))
+    now = F.when(F.col(column).isNotNull(), 1).otherwise(0) if include_current else F.lit(0)
+    seen = F.count(column).over(so_far(ordered(*keys))) if include_current else F.count(column).over(past(ordered(*keys)))
+    j = df.withColumn("_n", seen).join(ranks, [*keys, "t"], "left")
+    share = (F.coalesce("_le", F.lit(0)) + now) / F.col("_n")
+    return j.withColumn(out, F.when(F.col(column).isNotNull() & (F.col("_n") >= max(least, 1)), share)).select(*df.columns, out)
 
 
 def fixed_z_sql(src: str, x: str, n: int, least: int = 5) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.folds import ordered_fold
 from tidewatch.functions.stats import normal_sf
 from tidewatch.functions.windows import last_n, ordered, so_far
 
@@ -66,42 +67,31 @@ def portfolio_returns(df: DataFrame, costs: DataFrame, r: str = "ret", w: str =
     return x.groupBy("ts").agg(F.sum(F.col(r) * F.col(w)).alias("gross"), cost.alias("cost")).withColumn("net", F.col("gross") - F.col("cost"))
 
 
-def _folded(df: DataFrame, cols: list[str], state: Column, step, out: str) -> DataFrame:
-    """A path-dependent fold over each series' ordered rows; step gives a struct with the state and `v`, this row's value."""
-    seq = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("q"))  # a series' rows
-    init = F.struct(state.alias("s"), F.array().cast("array<struct<t:bigint,v:double>>").alias("out"))
-
-    def go(acc, row):
-        new = step(acc["s"], row)
-        return F.struct(new.dropFields("v").alias("s"), F.concat(acc["out"], F.array(F.struct(row["t"].alias("t"), new["v"].alias("v")))).alias("out"))
-
-    done = seq.select("series_id", F.explode(F.aggregate("q", init, go, lambda a: a["out"])).alias("e")).select("series_id", "e.t", F.col("e.v").alias(out))
-    return df.join(done, ["series_id", "t"])
-
-
 def min_holding(df: DataFrame, w: str, days: int = 5, out: str = "held") -> DataFrame:
     """Weight changes above 0.01 are undone when the last change is less than `days` rows back."""
-    state = F.struct(F.lit(None).cast("double").alias("w"), F.lit(0).cast("long").alias("at"))
 
-    def step(s, row):
-        moved = s["w"].isNotNull() & (F.abs(row[w] - s["w"]) > 0.01)
-        back = moved & (row["t"] - s["at"] < days)
-        v = F.when(back, s["w"]).otherwise(row[w])
-        return F.struct(v.alias("w"), F.when(moved & ~back, row["t"]).otherwise(s["at"]).alias("at"), v.alias("v"))
+    def step(state, row):
+        held, at = state
+        t, now = row
+        moved = held is not None and now is not None and abs(now - held) > 0.01
+        back = moved and t - at < days
+        v = held if back else now
+        return (v, t if moved and not back else at), (v,)
 
-    return _folded(df, [w], state, step, out)
+    return ordered_fold(df, ["t", w], lambda: (None, 0), step, f"{out} double")
 
 
 def circuit_breaker(df: DataFrame, w: str, drawdown: str, limit: float = 0.15, cool: int = 20, out: str = "braked") -> DataFrame:
     """Weight 0 for `cool` rows from a drawdown beyond the limit; a breach within the pause doesn't extend it."""
-    state = F.struct(F.lit(-1).cast("long").alias("until"))
 
-    def step(s, row):
-        paused = row["t"] < s["until"]
-        hit = ~paused & (row[drawdown] > limit)
-        return F.struct(F.when(hit, row["t"] + cool).otherwise(s["until"]).alias("until"), F.when(paused | hit, 0.0).otherwise(row[w]).alias("v"))
+    def step(state, row):
+        (until,) = state
+        t, now, down = row
+        paused = t < until
+        hit = not paused and down is not None and down > limit
+        return (t + cool if hit else until,), (0.0 if paused or hit else now,)
 
-    return _folded(df, [w, drawdown], state, step, out)
+    return ordered_fold(df, ["t", w, drawdown], lambda: (-1,), step, f"{out} double")
 
 
 def equity(df: DataFrame, r: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.windows import expanding_z, ordered, past, percent_rank_past
+from tidewatch.functions.folds import ordered_fold
+from tidewatch.functions.windows import expanding_z, ordered, past, percent_rank_past, so_far
 
 from .evaluate import average_rank
 
@@ -21,9 +22,14 @@ def composite(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*ROW).agg(F.max("score").alias("comp_max"), F.avg("score").alias("comp_mean"), F.sqrt(F.avg(F.col("score") * F.col("score"))).alias("comp_rms"))
 
 
-def rank_fusion(scores: DataFrame, roll: int = 10, min_expanding: int = 60) -> DataFrame:
-    """Mean over channels of their percentile ranks so far, smoothed, as a z-score."""
-    r = percent_rank_past(scores, "score", "pct", ("series_id", "method"))
+def rank_fusion(scores: DataFrame, roll: int = 10, min_expanding: int = 60, least: int = 10) -> DataFrame:
+    """Mean over channels of their percentile ranks so far, from row min_expanding on, smoothed, as a z-score.
+
+    A channel with fewer than `least` values so far ranks 0.5, whatever its score; later a null has no rank.
+    """
+    seen = F.count("score").over(so_far(ordered("series_id", "method")))
+    r = percent_rank_past(scores.withColumn("_seen", seen), "score", "pct", ("series_id", "method"))
+    r = r.withColumn("pct", F.when(F.col("t") >= min_expanding, F.when(F.col("_seen") < least, 0.5).otherwise(F.col("pct"))))
     return expanding_z(per_row(r, F.avg("pct"), "fused"), "fused", roll=roll, min_expanding=min_expanding)
 
 
@@ -43,12 +49,16 @@ def dynamic_switching(scores: DataFrame, target: DataFrame, window: int = 60, ro
     return expanding_z(fused, "fused", roll=roll, min_expanding=min_expanding)
 
 
-def hierarchical(scores: DataFrame, families: dict[str, str], roll: int = 10, min_expanding: int = 60) -> DataFrame:
-    """Percentile ranks averaged within families, ranked again over time, then averaged across families."""
+def hierarchical(scores: DataFrame, families: dict[str, str], roll: int = 10, min_expanding: int = 60, least: int = 10) -> DataFrame:
+    """Percentile ranks averaged within families, ranked again over time, then averaged across families.
+
+    At both levels a rank needs row min_expanding and `least` values so far.
+    """
     m = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])
-    r = percent_rank_past(scores, "score", "pct", ("series_id", "method")).withColumn("family", F.try_element_at(m, F.col("method")))
+    late = lambda c: F.when(F.col("t") >= min_expanding, F.col(c))
+    r = percent_rank_past(scores, "score", "pct", ("series_id", "method"), least=least).withColumn("pct", late("pct")).withColumn("family", F.try_element_at(m, F.col("method")))
     fam = r.groupBy(*ROW, "family").agg(F.round(F.avg("pct"), 9).alias("fam"))
-    again = percent_rank_past(fam, "fam", "pct2", ("series_id", "family"))
+    again = percent_rank_past(fam, "fam", "pct2", ("series_id", "family"), least=least).withColumn("pct2", late("pct2"))
     return expanding_z(per_row(again, F.avg("pct2"), "fused"), "fused", roll=roll, min_expanding=min_expanding)
 
 
@@ -137,24 +147,81 @@ def cluster_fusion(scores: DataFrame, cut: float = 0.5) -> DataFrame:
 
 
 def sequential_evidence(scores: DataFrame, min_expanding: int = 60, decay: float = 0.95, upper: float = 2.995732, lower: float = -2.995732) -> DataFrame:
-    """Decayed log-likelihood ratio with barriers and resets: evidence and alarm.
+    """Decayed log-likelihood ratio with barriers and resets: series_id, ts, t, evidence, alarm.
 
     The average ratio of a row uses the channels' past deviations (20 values at least) and is a
-    window expression; the decayed sum that resets at barriers is path-dependent and folded over
-    each series' ordered ratios.
+    window expression; the decayed sum that resets at barriers depends on its path and is a fold.
     """
     w = past(ordered("series_id", "method"))
     x = scores.withColumn("_sd", F.greatest(F.stddev_samp("score").over(w), F.lit(1e-8))).withColumn("_n", F.count("score").over(w))
     llr = F.when((F.col("_n") >= 20) & (F.col("t") >= min_expanding), F.col("score") / F.col("_sd") - 0.5)
     r = per_row(x.withColumn("_l", llr), F.coalesce(F.avg("_l"), F.lit(0.0)), "llr")
-    seq = r.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "ts", "llr"))).alias("q"))  # a series' rows
 
-    def step(acc, s):
-        e = F.when(s["t"] < min_expanding, 0.0).otherwise(decay * acc["e"] + s["llr"])
+    def step(state, row):
+        (e,) = state
+        t, now = row
+        e = 0.0 if t < min_expanding else decay * e + now
         alarm = e >= upper
-        kept = F.when(alarm | (e <= lower), 0.0).otherwise(e)
-        return F.struct(kept.alias("e"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), s["ts"].alias("ts"), kept.alias("evidence"), alarm.alias("alarm")))).alias("out"))
+        kept = 0.0 if alarm or e <= lower else e
+        return (kept,), (kept, alarm)
+
+    return ordered_fold(r, ["t", "llr"], lambda: (0.0,), step, "evidence double, alarm boolean").drop("llr")
+
 
-    kind = f"array<struct<t:bigint,ts:{dict(r.dtypes)['ts']},evidence:double,alarm:boolean>>"
-    folded = F.aggregate("q", F.struct(F.lit(0.0).alias("e"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-    return seq.select("series_id", F.explode(folded).alias("s")).select("series_id", "s.ts", "s.t", "s.evidence", "s.alarm")
+def evidence_score(scores: DataFrame, min_expanding: int = 60, **settings) -> DataFrame:
+    """sequential_evidence with its score: the evidence as a z-score against all rows before."""
+    return expanding_z(sequential_evidence(scores, min_expanding, **settings), "evidence", roll=1, min_expanding=min_expanding)
+
+
+def weighted_ensemble(scores: DataFrame, weights: dict[str, float], share: float = 0.5) -> DataFrame:
+    """Weighted mean of a row's channels, null unless at least `share` of all channels have a score; a channel without a weight counts 1."""
+    m = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    w = F.coalesce(F.try_element_at(m, F.col("method")), F.lit(1.0))
+    ok = F.col("score").isNotNull()
+    g = scores.groupBy(*ROW).agg(F.sum(F.when(ok, w * F.col("score"))).alias("_s"), F.sum(F.when(ok, w)).alias("_w"), F.count("score").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    return g.select(*ROW, F.when((F.col("_n") >= share * F.col("_k")) & (F.col("_w") > 0), F.col("_s") / F.col("_w")).alias("ensemble"))
+
+
+def pca_composite(scores: DataFrame, methods: list[str], min_window: int = 252) -> DataFrame:
+    """|first principal component| of a row's channels, fitted on all complete rows before it; the mean of what is there until `min_window` of them, and in incomplete rows.
+
+    Running moments of complete rows come from blocked sums; a batch's eigenproblems are solved together.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .features import prefix_moments
+
+    wide = scores.groupBy(*ROW).pivot("method", methods).agg(F.max("score"))
+    wide = wide.select(*ROW, F.array(*[F.col(f"`{m}`") for m in methods]).alias("x"))
+    wide = wide.withColumn("_whole", ~F.exists("x", lambda v: v.isNull()))
+    known = F.filter("x", lambda v: v.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+    wide = wide.withColumn("_mean", mean).withColumn("_c", F.when(F.col("_whole"), F.count(F.when(F.col("_whole"), 1)).over(ordered()) - 1))
+    clean = wide.where("_whole").select("series_id", F.col("_c").alias("t"), "x")
+    flat = F.array_sort(F.collect_list(F.struct("i", "j", "n", "sx", "sy", "sxy")))  # pairs of channels
+    past_sums = prefix_moments(clean).groupBy("series_id", (F.col("t") + 1).alias("_c")).agg(flat.alias("_m"))
+    d = len(methods)
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            x, m, mean, n = (batch.column(names.index(c)).to_pylist() for c in ("x", "_m", "_mean", "t"))
+            out = list(mean)
+            at = [k for k in range(len(x)) if m[k] and n[k] >= min_window and m[k][0]["n"] >= min_window]
+            if at:
+                cov, centre = np.zeros((len(at), d, d)), np.zeros((len(at), d))
+                for r, k in enumerate(at):
+                    for q in m[k]:
+                        i, j, c = q["i"], q["j"], q["n"]
+                        cov[r, i, j] = cov[r, j, i] = q["sxy"] / c - q["sx"] / c * q["sy"] / c
+                        centre[r, i] = q["sx"] / c
+                        centre[r, j] = q["sy"] / c
+                top = np.linalg.eigh(cov)[1][:, :, -1]
+                for r, k in enumerate(at):
+                    out[k] = float(abs(top[r] @ (np.array(x[k]) - centre[r])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in ROW], pa.array(out, pa.float64())], names=[*ROW, "pca"])
+
+    j = wide.join(past_sums, ["series_id", "_c"], "left").select(*ROW, "x", "_m", "_mean")
+    kinds = dict(scores.dtypes)
+    return j.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ROW) + ", pca double")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,14 +226,8 @@ def _extras(x, around, ops, e, v, psi, want, partition, probes) -> dict[str, np.
 # fitting
 
 
-def fit_prefix(df: DataFrame, fit_rows: int, components: int, model_id: str = "m") -> DataFrame:
-    """Snapshot of each series' first fit_rows: mean, scale (population, zero -> 1), components with the largest loading positive, variances.
-
-    Sufficient sums by component pair are one partial aggregation; a tiny eigenproblem a series follows.
-    """
-    e = df.where(F.col("t") < fit_rows).select("series_id", "t", F.posexplode("x").alias("i", "v"))
-    pairs = e.join(e.select("series_id", "t", F.col("i").alias("j"), F.col("v").alias("u")), ["series_id", "t"])
-    sums = pairs.groupBy("series_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.covar_pop("v", "u").alias("c"))
+def _solve(components: int):
+    """The snapshot of one fit from its pair sums (i, j, n, m: mean of i, c: population covariance)."""
 
     def solve(table: pa.Table) -> pa.Table:
         i, j = (table.column(k).to_numpy() for k in "ij")
@@ -241,26 +235,69 @@ def fit_prefix(df: DataFrame, fit_rows: int, components: int, model_id: str = "m
         cov, mean = np.zeros((d, d)), np.zeros(d)
         cov[i, j], mean[i] = table.column("c").to_numpy(), table.column("m").to_numpy()
         n = int(table.column("n")[0].as_py())
-        scale = np.sqrt(np.diag(cov))
+        scale = np.sqrt(np.maximum(np.diag(cov), 0))
         scale = np.where(scale <= 1e-12, 1.0, scale)
         w, u = np.linalg.eigh(cov / np.outer(scale, scale) * (n / max(n - 1, 1)))
         k = min(components, d)
         w, u = w[::-1][:k], u[:, ::-1][:, :k].T
         u = u * np.sign(np.take_along_axis(u, np.abs(u).argmax(1)[:, None], 1))
-        return pa.table({"series_id": [table.column("series_id")[0].as_py()], "mean": [mean.tolist()], "scale": [scale.tolist()], "components": [u.tolist()], "variances": [w.tolist()]})
+        head = table.select(["series_id", "refit_t"]).slice(0, 1)
+        return pa.table({"series_id": head.column(0), "refit_t": head.column(1), "mean": [mean.tolist()], "scale": [scale.tolist()], "components": [u.tolist()], "variances": [w.tolist()]})
+
+    return solve
 
-    s = sums.groupBy("series_id").applyInArrow(solve, "series_id string, mean array<double>, scale array<double>, components array<array<double>>, variances array<double>")
-    return s.withColumn("model_id", F.lit(model_id)).withColumn("refit_t", F.lit(fit_rows).cast("long"))
+
+_SNAPSHOT = "series_id string, refit_t long, mean array<double>, scale array<double>, components array<array<double>>, variances array<double>"
+
+
+def _pairs(df: DataFrame, *keep: str) -> DataFrame:
+    """series_id, keep, i, j, v, u of every two components of every row."""
+    e = df.select("series_id", "t", *keep, F.posexplode("x").alias("i", "v"))
+    return e.join(e.select("series_id", "t", F.col("i").alias("j"), F.col("v").alias("u")), ["series_id", "t"])
+
+
+def fit_prefix(df: DataFrame, fit_rows: int, components: int, model_id: str = "m") -> DataFrame:
+    """Snapshot of each series' first fit_rows: mean, scale (population, zero -> 1), components with the largest loading positive, variances.
+
+    Sufficient sums by component pair are one partial aggregation; a tiny eigenproblem a series follows.
+    """
+    sums = _pairs(df.where(F.col("t") < fit_rows)).groupBy("series_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.covar_pop("v", "u").alias("c"))
+    s = sums.withColumn("refit_t", F.lit(fit_rows).cast("long")).groupBy("series_id", "refit_t").applyInArrow(_solve(components), _SNAPSHOT)
+    return s.withColumn("model_id", F.lit(model_id))
+
+
+def interval_sums(df: DataFrame, start: int, interval: int) -> DataFrame:
+    """series_id, refit_t, i, j, n, m, c: moments of all rows before each refit at start, start + interval, ...
+
+    A row belongs to the first refit after it. Sums are taken once an interval, of values less the
+    series' first ones (so that large levels cost no digits), and added up over intervals.
+    """
+    first = Window.partitionBy("series_id").orderBy("t")
+    base = F.first("x").over(first.rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("_base", base).withColumn("_k", F.greatest(F.lit(0), F.floor((F.col("t") - start) / interval) + 1))
+    last = df.groupBy("series_id").agg(F.max("t").alias("_last"))
+    shifted = rows.withColumn("x", F.zip_with("x", "_base", lambda v, b: v - b))
+    keys = ["series_id", "i", "j"]
+    one = _pairs(shifted, "_k").groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sv"), F.sum("u").alias("su"), F.sum(F.col("v") * F.col("u")).alias("sp"))
+    upto = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    run = one.select(*keys, "_k", *[F.sum(c).over(upto).alias(c) for c in ("n", "sv", "su", "sp")])
+    bases = rows.where("t = 0").select("series_id", F.posexplode("_base").alias("i", "b"))
+    run = run.join(bases, ["series_id", "i"]).join(last, "series_id").withColumn("refit_t", (start + F.col("_k") * interval).cast("long")).where("refit_t <= _last")
+    return run.select(*keys, "refit_t", "n", (F.col("sv") / F.col("n") + F.col("b")).alias("m"), (F.col("sp") / F.col("n") - F.col("sv") / F.col("n") * F.col("su") / F.col("n")).alias("c"))
 
 
 def fit_expanding(df: DataFrame, start: int, interval: int, components: int) -> DataFrame:
-    """Snapshots at start, start + interval, ...: rows go to the snapshots they precede as pair sums of whole intervals, then prefixes."""
-    top = df.agg(F.max("t")).first()[0] or 0
-    snaps = None
-    for at in range(start, int(top) + 1, interval):
-        s = fit_prefix(df, at, components, f"m{at}")
-        snaps = s if snaps is None else snaps.unionByName(s)
-    return snaps if snaps is not None else fit_prefix(df, start, components)
+    """Snapshots at start, start + interval, ... of all rows before each, from sums of intervals (interval_sums); t numbers a series' rows from 0."""
+    s = interval_sums(df, start, interval).groupBy("series_id", "refit_t").applyInArrow(_solve(components), _SNAPSHOT)
+    return s.withColumn("model_id", F.concat(F.lit("m"), F.col("refit_t").cast("string")))
+
+
+def embed_causal(df: DataFrame, snapshots: DataFrame, strict: bool = True) -> DataFrame:
+    """Each row standardised and projected by the latest snapshot fitted before it, on the sphere; rows before the first are null if strict, else use it."""
+    from .joins import asof
+
+    z = asof(df, snapshots, "refit_t", ["mean", "scale", "components"], strict).withColumn("z", standardised())
+    return z.withColumn("x", projected()).withColumn("x", normalised("sphere")).drop("z", "mean", "scale", "components")
 
 
 def embed_features(df: DataFrame, snapshots: DataFrame, mode: str = "sphere", fit_rows: int = 60) -> DataFrame:

@@ -99,25 +99,31 @@ def missing_work(cells: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
     return cells.join(done.select(*keys), keys, "left_anti")
 
 
-def caliper_match(treated: DataFrame, control: DataFrame, covariates: list[str], calipers: dict[str, float], scales: dict[str, float], rounds: int = 50) -> DataFrame:
+def caliper_match(treated: DataFrame, control: DataFrame, covariates: list[str], calipers: dict[str, float], scales: dict[str, float], keep) -> DataFrame:
     """One-to-one matches (treated_id, control_id, distance) within per-covariate calipers, nearest first, without replacement.
 
-    Candidates meet in bands of the first covariate as wide as its caliper; rounds of mutual best
-    choices follow until no pair is left. Ties go to the smaller ids.
+    Rows of equal covariates are matched by their place among their equals; of the rest, candidates
+    meet in bands of the first covariate as wide as its caliper, and rounds of mutual best choices
+    follow until no pair is left. Ties go by a hash of the pair, so that equal distances don't all
+    choose the same row. Rows with a null covariate or id stay unmatched. `keep` writes a table and
+    reads it back: every round is cut off from those before.
     """
     first = covariates[0]
-    t = treated.select(F.col("id").alias("treated_id"), *[F.col(c).alias(f"t_{c}") for c in covariates]).withColumn("_b", F.floor(F.col(f"t_{first}") / calipers[first]))
-    c = control.select(F.col("id").alias("control_id"), *covariates).withColumn("_b", F.explode(F.array(*[F.floor(F.col(first) / calipers[first]) + k for k in (-1, 0, 1)])))
+    whole = " and ".join(f"{c} is not null" for c in ["id", *covariates])
+    nth = F.row_number().over(Window.partitionBy(*covariates).orderBy("id"))
+    t, c = (df.where(whole).select("id", *covariates).withColumn("_nth", nth) for df in (treated, control))
+    found = [keep(t.withColumnRenamed("id", "treated_id").join(c.withColumnRenamed("id", "control_id"), [*covariates, "_nth"]).select("treated_id", "control_id", F.lit(0.0).alias("distance")))]
+    t = t.join(found[0], t.id == F.col("treated_id"), "left_anti").select(F.col("id").alias("treated_id"), *[F.col(x).alias(f"t_{x}") for x in covariates])
+    c = c.join(found[0], c.id == F.col("control_id"), "left_anti").select(F.col("id").alias("control_id"), *covariates)
+    t = t.withColumn("_b", F.floor(F.col(f"t_{first}") / calipers[first]))
+    c = c.withColumn("_b", F.explode(F.array(*[F.floor(F.col(first) / calipers[first]) + k for k in (-1, 0, 1)])))
     near = reduce(lambda a, b: a & b, [F.abs(F.col(f"t_{x}") - F.col(x)) <= calipers[x] for x in covariates])
     dist = F.sqrt(reduce(lambda a, b: a + b, [F.pow((F.col(f"t_{x}") - F.col(x)) / scales[x], 2) for x in covariates]))
-    pairs = t.join(c, "_b").where(near).select("treated_id", "control_id", dist.alias("distance")).cache()
-    found = None
-    for _ in range(rounds):
-        best_t = F.row_number().over(Window.partitionBy("treated_id").orderBy("distance", "control_id"))
-        best_c = F.row_number().over(Window.partitionBy("control_id").orderBy("distance", "treated_id"))
-        won = pairs.withColumn("_rt", best_t).withColumn("_rc", best_c).where("_rt = 1 and _rc = 1").drop("_rt", "_rc").cache()
-        if won.isEmpty():
-            break
-        found = won if found is None else found.unionByName(won)
-        pairs = pairs.join(won.select("treated_id"), "treated_id", "left_anti").join(won.select("control_id"), "control_id", "left_anti").cache()
-    return found if found is not None else pairs.limit(0)
+    pairs = keep(t.join(c, "_b").where(near).select("treated_id", "control_id", dist.alias("distance")))
+    tie = F.xxhash64("treated_id", "control_id")
+    while not pairs.isEmpty():
+        best = lambda a: F.row_number().over(Window.partitionBy(a).orderBy("distance", tie, "treated_id", "control_id"))
+        won = keep(pairs.withColumn("_rt", best("treated_id")).withColumn("_rc", best("control_id")).where("_rt = 1 and _rc = 1").drop("_rt", "_rc"))
+        found.append(won)
+        pairs = keep(pairs.join(won.select("treated_id"), "treated_id", "left_anti").join(won.select("control_id"), "control_id", "left_anti"))
+    return reduce(lambda a, b: a.unionByName(b), found)

@@ -324,32 +324,60 @@ def structural_breaks(df: DataFrame, x: str = "ret") -> DataFrame:
     return expanding_z(_series(fit, df, x, "nearness"), "nearness", roll=5)
 
 
-def bocpd(v: np.ndarray, hazard: float = 1 / 100, cap: int = 500) -> np.ndarray:
-    """Probability mass of run lengths under 10, by the run-length recursion with running normal-gamma statistics."""
-    mu, kappa, alpha, beta = np.zeros(1), np.ones(1), np.ones(1), np.full(1, max(v[:60].var(), 1e-12))
-    p, out = np.ones(1), np.empty(len(v))
+def bocpd(v: np.ndarray, hazard: float = 1 / 250, cap: int = 500) -> np.ndarray:
+    """Probability of a run shorter than four rows, by the run-length recursion with a constant hazard.
+
+    A run of r rows is judged by a Student t with the normal-gamma statistics of the last r + 1 rows,
+    the current one included; r = 0 has the prior (mean 0, all other parameters 1). Runs are
+    followed up to `cap` rows, as the method defines it.
+    """
     from math import lgamma
 
-    table = np.array([lgamma((2 + k) / 2 + 0.5) - lgamma((2 + k) / 2) for k in range(cap + 2)])
+    n_all = np.concatenate([[0.0], np.arange(2, cap + 2)])  # rows behind each run length
+    table = np.array([lgamma((2 + n) / 2 + 0.5) - lgamma((2 + n) / 2) for n in n_all])
+    cs, cq = (np.concatenate([[0.0], np.cumsum(x)]) for x in (v, v * v))
+    p, out = np.zeros(cap + 1), np.empty(len(v))
+    p[0] = 1.0
     for t, y in enumerate(v):
-        scale = np.sqrt(beta * (kappa + 1) / (alpha * kappa))
-        df = 2 * alpha
-        ll = table[: len(p)] - 0.5 * np.log(df * np.pi) - np.log(scale) - (df + 1) / 2 * np.log1p(((y - mu) / scale) ** 2 / df)
-        w = p * np.exp(ll - ll.max())
-        p = np.concatenate([[hazard * w.sum()], (1 - hazard) * w])[:cap]
-        p /= p.sum() + 1e-300
-        beta = np.concatenate([beta[-1:] * 0 + max(v[:60].var(), 1e-12), beta + kappa * (y - mu) ** 2 / (2 * (kappa + 1))])[:cap]
-        mu = np.concatenate([[0.0], (kappa * mu + y) / (kappa + 1)])[:cap]
-        kappa, alpha = np.concatenate([[1.0], kappa + 1])[:cap], np.concatenate([[1.0], alpha + 0.5])[:cap]
-        out[t] = p[:10].sum()
+        m = min(t + 1, cap)
+        n = n_all[:m]
+        at = (t + 1 - n).astype(int)
+        mean = (cs[t + 1] - cs[at]) / np.maximum(n, 1)
+        var = np.where(n > 1, np.maximum((cq[t + 1] - cq[at]) / np.maximum(n, 1) - mean**2, 0.0), 0.0)
+        kappa, alpha = 1 + n, 1 + n / 2
+        mu, beta = n * mean / kappa, 1 + 0.5 * n * var + 0.5 * n * mean**2 / kappa
+        scale, df = np.maximum(beta * (kappa + 1) / (kappa * alpha), 1e-12), 2 * alpha
+        like = np.exp(table[:m] - 0.5 * np.log(df * np.pi * scale) - (df + 1) / 2 * np.log1p((y - mu) ** 2 / scale / df))
+        grown = p[:m] * like
+        p[1 : m + 1] = grown * (1 - hazard)
+        p[0] = grown.sum() * hazard
+        total = p[: m + 1].sum()
+        if total > 0:
+            p[: m + 1] /= total
+        out[t] = p[: min(4, m + 1)].sum()
     return out
 
 
-def online_changepoints(df: DataFrame, x: str = "ret", hazard: float = 1 / 100) -> DataFrame:
-    """p_short: probability of a run of fewer than ten rows."""
+def online_changepoints(df: DataFrame, x: str = "ret", hazard: float = 1 / 250) -> DataFrame:
+    """p_short: probability of a run of fewer than four rows."""
     return _series(lambda v: bocpd(v, hazard), df, x, "p_short")
 
 
+def whitened_changepoints(df: DataFrame, x: str = "ret", hazards: tuple[float, ...] = (63, 21), span: int = 21) -> DataFrame:
+    """series_id, t, hazard, whitened, p_short: changepoints of x, and of x over its exponentially weighted deviation, by mean run length."""
+
+    def white(v: np.ndarray) -> np.ndarray:
+        d = pd.Series(v).ewm(span=span).std().clip(lower=1e-8)
+        return (pd.Series(v) / d).fillna(0.0).to_numpy()
+
+    out = None
+    for hazard in hazards:
+        for flag, prepare in ((False, lambda v: v), (True, white)):
+            one = _series(lambda v, h=hazard, f=prepare: bocpd(f(v), 1 / h), df, x, "p_short").select("series_id", "t", F.lit(float(hazard)).alias("hazard"), F.lit(flag).alias("whitened"), "p_short")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def kernel_gap(df: DataFrame, features: int = 32, window: int = 60, gamma: float = 1.0, seed: int = 3) -> DataFrame:
     """Ratio of the two largest eigenvalues of the rolling covariance of random Fourier features of x; absolute z."""
     rng = np.random.default_rng(seed)

@@ -117,11 +117,39 @@ def rows_only(name, f):
     query(name)(lambda spark, sf: rounded(f(base(spark, sf))))
 
 
-rows_only("b2_min_holding", lambda x: b.min_holding(x.withColumn("w", b.tiered_position(F.col("p_crisis") * 3)), "w", 5))
-rows_only("b3_circuit_breaker", lambda x: b.circuit_breaker(b.equity(x.withColumn("w", F.lit(1.0)), "ret"), "w", "drawdown", 0.05))
-rows_only("b4_long_flat", lambda x: b.long_flat(x))
-rows_only("b4_long_short", lambda x: b.long_short(x))
-rows_only("b4_continuous", lambda x: b.continuous(x))
-rows_only("b4_multi_signal", lambda x: b.multi_signal(x.withColumn("p2", 1 - F.col("p_crisis")), ["p_crisis", "p2"]))
-rows_only("b7_sharpe_ci", lambda x: b.sharpe_ci(x, "ret", 40))
+def held_sql(src, days):
+    """series_id, t, v: weights w of src under a minimum holding period, row by row."""
+    moved = "abs(x.w - e.v) > 0.01"
+    return f"""(WITH RECURSIVE x AS MATERIALIZED (SELECT series_id, t, w FROM {src}), e(series_id, t, v, since) AS (SELECT series_id, t, w, 0::BIGINT FROM x WHERE t = 0
+  UNION ALL SELECT x.series_id, x.t, CASE WHEN {moved} AND x.t - e.since < {days} THEN e.v ELSE x.w END, CASE WHEN {moved} AND x.t - e.since >= {days} THEN x.t ELSE e.since END FROM e JOIN x ON x.series_id = e.series_id AND x.t = e.t + 1) SELECT series_id, t, v FROM e)"""
+
+
+def braked_sql(src, limit, cool=20):
+    """series_id, t, v: weights w of src (with r, the return) under a drawdown circuit breaker."""
+    return f"""(WITH RECURSIVE q AS (SELECT series_id, t, w, exp(sum(ln(1 + coalesce(r, 0))) {S})) AS eq FROM {src}), x AS MATERIALIZED (SELECT series_id, t, w, (max(eq) {S}) - eq) / max(eq) {S}) AS dd FROM q),
+ e(series_id, t, v, until) AS (SELECT series_id, t, CASE WHEN dd > {limit} THEN 0.0::DOUBLE ELSE w END, CASE WHEN dd > {limit} THEN t + {cool} ELSE -1 END FROM x WHERE t = 0
+  UNION ALL SELECT x.series_id, x.t, CASE WHEN x.t < e.until OR x.dd > {limit} THEN 0.0::DOUBLE ELSE x.w END, CASE WHEN x.t >= e.until AND x.dd > {limit} THEN x.t + {cool} ELSE e.until END FROM e JOIN x ON x.series_id = e.series_id AND x.t = e.t + 1) SELECT series_id, t, v FROM e)"""
+
+
+def long_flat_sql(p):
+    """long_flat of R with the probability p."""
+    sig = f"(1 - 1.0::DOUBLE / (1.0::DOUBLE + exp(-20.0::DOUBLE * (coalesce({p}, 0) - 0.5::DOUBLE))))"
+    held = held_sql(f"(SELECT series_id, t, {VOLW} * {sig} AS w FROM {R})", 3)
+    lagged = f"(SELECT r.series_id, r.t, r.ret, coalesce(lag(greatest(least(h.v, 1.5::DOUBLE), 0)) OVER (PARTITION BY r.series_id ORDER BY r.t), 0) AS w FROM {R} r JOIN {held} h ON h.series_id = r.series_id AND h.t = r.t)"
+    return braked_sql(f"(SELECT series_id, t, w, ret * w AS r FROM {lagged})", 0.20)
+
+
+def strategy(name, sql, f, out):
+    query(name, rounded_sql("series_id, t", f"{out}=v", sql))(lambda spark, sf: rounded(f(base(spark, sf)).select("series_id", "t", out)))
+
+
+strategy("b2_min_holding", held_sql(f"(SELECT series_id, t, CASE WHEN p_crisis * 3 >= 2 THEN 0.0::DOUBLE WHEN p_crisis * 3 >= 1.5 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM {R})", 5), lambda x: b.min_holding(x.withColumn("w", b.tiered_position(F.col("p_crisis") * 3)), "w", 5), "held")
+strategy("b3_circuit_breaker", braked_sql(f"(SELECT series_id, t, 1.0::DOUBLE AS w, ret AS r FROM {R})", 0.05), lambda x: b.circuit_breaker(b.equity(x.withColumn("w", F.lit(1.0)), "ret"), "w", "drawdown", 0.05), "braked")
+strategy("b4_long_flat", long_flat_sql("p_crisis"), b.long_flat, "weight")
+SHORT = f"(SELECT series_id, t, coalesce(lag(greatest(least(vw * (1 - 1.5::DOUBLE / (1.0::DOUBLE + exp(-20.0::DOUBLE * (p_crisis - 0.5::DOUBLE)))), 1.5::DOUBLE), -0.5::DOUBLE)) {S}), 0) AS v FROM (SELECT *, {VOLW} AS vw FROM {R}))"
+strategy("b4_long_short", SHORT, b.long_short, "weight")
+CONT = f"(SELECT series_id, t, coalesce(lag(CASE WHEN k >= 5 THEN greatest(least((0.12::DOUBLE * (1 - p_crisis) + 0.05::DOUBLE * p_crisis) / greatest(sd * sqrt(252), 0.01::DOUBLE), 1.5::DOUBLE), 0) ELSE 0 END) {S}), 0) AS v FROM (SELECT *, count(ret) {roll(20)} AS k, stddev_samp(ret) {roll(20)} AS sd FROM {R}))"
+strategy("b4_continuous", CONT, b.continuous, "weight")
+strategy("b4_multi_signal", long_flat_sql("((p_crisis + (1 - p_crisis * p_crisis)) / 2)"), lambda x: b.multi_signal(x.withColumn("p2", 1 - F.col("p_crisis") * F.col("p_crisis")), ["p_crisis", "p2"]), "weight")
+rows_only("b7_sharpe_ci", lambda x: b.sharpe_ci(x, "ret"))
 rows_only("b8_sensitivity", lambda x: b.sensitivity(x, [0.05, 0.1, 0.15], [0.4, 0.5, 0.6]))

@@ -11,6 +11,7 @@ from tidewatch.operators import evaluate as e
 from tidewatch.operators import features as f
 from tidewatch.sources import panels as p
 from tidewatch.sources.panels import EVENTS_SQL
+from tidewatch.sources.results import kept_table
 
 from .detectors import ALARM, SC, quantile_alarms
 from .features import RET, S, W, returns, roll, std
@@ -46,6 +47,11 @@ POOLED = "sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))"
 D_SQL = f"(SELECT *, CASE WHEN n1 >= 2 AND n2 >= 2 THEN CASE WHEN {POOLED} < 1e-12 THEN 0.0 ELSE abs(m1 - m2) / {POOLED} END END AS d FROM {MOM})"
 
 
+def kept_scores(spark, sf):
+    """panel_scores written once: for studies that read the scores several times."""
+    return kept_table(spark)(panel_scores(spark, sf))
+
+
 def moments(spark, sf):
     return e.group_moments(panel_scores(spark, sf), p.events_dim(spark))
 
@@ -100,7 +106,8 @@ FULL = f"(SELECT *, rank() OVER (PARTITION BY block ORDER BY d DESC) + (count(*)
 
 
 def blocks(spark, sf):
-    return effects(spark, sf).where("d is not null").select(F.concat("series_id", "event_id").alias("block"), "method", F.round("d", 6).alias("d"))
+    d = effects(spark, sf).where("d is not null").select(F.concat("series_id", "event_id").alias("block"), "method", F.round("d", 6).alias("d"))
+    return kept_table(spark)(d)  # ranks, ties and complete blocks each read it
 
 
 @query("a5_block_ranks", f"SELECT block, method, rk AS rank FROM {FULL}")
@@ -143,7 +150,7 @@ U = f"(SELECT series_id, method, event_id, n1, n2, rs - n1 * (n1 + 1) / 2 AS u F
 
 @query("e6_cliffs_delta", f"SELECT series_id, method, event_id, u, round(c, 6) + 0.0 AS cliff, CASE WHEN abs(c) < 0.147 THEN 'negligible' WHEN abs(c) < 0.33 THEN 'small' WHEN abs(c) < 0.474 THEN 'medium' ELSE 'large' END AS cliff_label FROM (SELECT *, 2 * u / (n1 * n2) - 1 AS c FROM {U})")
 def _(spark, sf):
-    return rounded(e.rank_statistics(cells(spark, sf)).select("series_id", "method", "event_id", "u", "cliff", "cliff_label"))
+    return rounded(e.rank_statistics(kept_scores(spark, sf), p.events_dim(spark)).select("series_id", "method", "event_id", "u", "cliff", "cliff_label"))
 
 
 @query("e7_welch_t", rounded_sql("series_id, method, event_id", "t=(m1 - m2) / sqrt(v1 / n1 + v2 / n2)", MOM))
@@ -151,13 +158,16 @@ def _(spark, sf):
     return rounded(e.welch_t(moments(spark, sf)).select("series_id", "method", "event_id", "t"))
 
 
-PV = f"(SELECT series_id, method, event_id, round(exp(-d), 6) AS p FROM {D_SQL} WHERE d IS NOT NULL)"
+# the logistic approximation of the normal tail: both engines have it, and it orders cells as Welch's own p does for many rows
+PV = f"(SELECT series_id, method, event_id, round(2 / (1 + exp(1.5976::DOUBLE * abs(t) + 0.07056::DOUBLE * abs(t) ** 3)), 9) AS p FROM (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t FROM {MOM}) WHERE t IS NOT NULL AND isfinite(t))"
 
 
 @query("e8_adjusted_p", f"""SELECT series_id, method, event_id, round(least(max(h) OVER (PARTITION BY series_id ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0), 6) + 0.0 AS p_holm, round(least(min(b) OVER (PARTITION BY series_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) + 0.0 AS p_bh
 FROM (SELECT *, p * (count(*) OVER (PARTITION BY series_id) - row_number() OVER (PARTITION BY series_id ORDER BY p) + 1) AS h, p * count(*) OVER (PARTITION BY series_id) / row_number() OVER (PARTITION BY series_id ORDER BY p) AS b FROM {PV})""")
 def _(spark, sf):
-    pv = effects(spark, sf).where("d is not null").select("series_id", "method", "event_id", F.round(F.exp(-F.col("d")), 6).alias("p"))
+    t = F.abs("t")
+    tests = e.welch_t(moments(spark, sf)).where("t is not null and not isnan(t) and abs(t) < double('infinity')")
+    pv = tests.select("series_id", "method", "event_id", F.round(2 / (1 + F.exp(1.5976 * t + 0.07056 * F.pow(t, 3))), 9).alias("p"))
     return rounded(e.benjamini_hochberg(e.holm(pv, "p", ["series_id"]), "p", ["series_id"]).drop("p"))
 
 
@@ -178,7 +188,7 @@ def _(spark, sf):
 
 
 @query("e12_nemenyi", f"""WITH m AS MATERIALIZED (SELECT method, avg(rk) AS r, count(*) AS n, count(*) OVER () AS k FROM {FULL} GROUP BY 1)
-SELECT a.method AS method_a, b.method AS method_b, round(abs(a.r - b.r), 6) AS difference, round(2.343::DOUBLE * sqrt(12 / (6.0::DOUBLE * a.n)), 6) AS cd, abs(a.r - b.r) > 2.343::DOUBLE * sqrt(12 / (6.0::DOUBLE * a.n)) AS significant FROM m a JOIN m b ON a.method < b.method""")
+SELECT a.method AS method_a, b.method AS method_b, round(abs(a.r - b.r), 6) AS difference, round(3.314493::DOUBLE / sqrt(2) * sqrt(12 / (6.0::DOUBLE * a.n)), 6) AS cd, abs(a.r - b.r) > 3.314493::DOUBLE / sqrt(2) * sqrt(12 / (6.0::DOUBLE * a.n)) AS significant FROM m a JOIN m b ON a.method < b.method""")
 def _(spark, sf):
     return rounded(e.nemenyi(blocks(spark, sf), "block"))
 
@@ -186,16 +196,15 @@ def _(spark, sf):
 AC = f"(SELECT a.*, 'rolling_vol' AS method, event_id, ts BETWEEN e.start AND e.stop AS inside FROM {ALARM} a, {EVENTS_SQL} e)"
 
 
-def alarm_cells(spark, sf):
-    a = quantile_alarms(spark, sf).withColumn("method", F.lit("rolling_vol"))
-    return e.event_cells(a, p.events_dim(spark))
+def alarm_rows(spark, sf):
+    return kept_table(spark)(quantile_alarms(spark, sf).withColumn("method", F.lit("rolling_vol")))
 
 
 @query("e13_point_metrics", f"""SELECT series_id, method, event_id, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) + 0.0 AS f1, delay, round(far, 6) + 0.0 AS false_alarms_per_year FROM (
  SELECT series_id, method, event_id, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0::DOUBLE END AS p, CASE WHEN pos > 0 THEN tp / pos::DOUBLE ELSE 0.0::DOUBLE END AS r, delay, CASE WHEN neg > 0 THEN fp / neg::DOUBLE * 252 ELSE 0.0::DOUBLE END AS far FROM (
   SELECT series_id, method, event_id, count(*) FILTER (alarm AND inside) AS tp, count(*) FILTER (alarm AND NOT inside) AS fp, count(*) FILTER (inside) AS pos, count(*) FILTER (NOT inside) AS neg, min(t) FILTER (alarm AND inside) - min(t) FILTER (inside) AS delay FROM {AC} GROUP BY ALL))""")
 def _(spark, sf):
-    return rounded(e.point_metrics(alarm_cells(spark, sf)))
+    return rounded(e.point_metrics(alarm_rows(spark, sf), p.events_dim(spark)))
 
 
 AL = f"(SELECT series_id, method, event_id, t FROM {AC} WHERE alarm)"
@@ -208,9 +217,8 @@ n AS (SELECT series_id, event_id, count(*) AS n FROM j GROUP BY ALL), h AS (SELE
 q AS (SELECT *, CASE WHEN n > 0 THEN h / n::DOUBLE ELSE 0.0::DOUBLE END AS p, h / 2.0::DOUBLE AS r FROM h)
 SELECT series_id, method, event_id, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) + 0.0 AS f1, h AS n_tp, n - h AS n_fp FROM q""")
 def _(spark, sf):
-    c = alarm_cells(spark, sf)
-    b = c.where("inside").groupBy("series_id", "method", "event_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_stop"))
-    return rounded(e.tolerance_f1(c.where("alarm").select("series_id", "method", "event_id", "t"), b))
+    a = alarm_rows(spark, sf)
+    return rounded(e.tolerance_f1(a.where("alarm").select("series_id", "method", "t"), e.event_bounds(a, p.events_dim(spark))))
 
 
 @query("e15_auc_pr", f"""WITH m AS (SELECT series_id, method, event_id, quantile_cont(score, 0.5) AS med, count(*) FILTER (inside) AS pos, count(*) AS al FROM {CELLS} GROUP BY ALL),
@@ -219,7 +227,7 @@ c AS (SELECT *, sum(tp) OVER w / sum(k) OVER w AS p, sum(tp) OVER w / pos AS r F
 a AS (SELECT series_id, method, event_id, (r - coalesce(lag(r) OVER w, 0)) * (p + coalesce(lag(p) OVER w, 1)) / 2 AS a FROM c WINDOW w AS (PARTITION BY series_id, method, event_id ORDER BY s DESC))
 SELECT series_id, method, event_id, round(sum(a), 6) + 0.0 AS auc_pr FROM a GROUP BY ALL""")
 def _(spark, sf):
-    return rounded(e.auc_pr(cells(spark, sf)))
+    return rounded(e.auc_pr(kept_scores(spark, sf), p.events_dim(spark)))
 
 
 ET = f"(SELECT *, coalesce(score > CASE WHEN t >= 60 THEN round(quantile_cont(score, 0.95) OVER g, 9) END, false) AS raw FROM {SC} WINDOW g AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
@@ -301,7 +309,44 @@ def rows_only(name, f):
     query(name)(lambda spark, sf: rounded(f(spark, sf)))
 
 
-rows_only("e5_bootstrap_ci", lambda s, d: e.bootstrap_ci(cells(s, d), 50))
-rows_only("e9_permutation_test", lambda s, d: e.permutation_test(cells(s, d).where("method = 'rolling_vol'"), 50))
-rows_only("e18_comparison_grid", lambda s, d: e.study(panel_scores(s, d), p.events_dim(s)))
-rows_only("e21_circular_shift", lambda s, d: e.circular_shift_null(cells(s, d).where("method = 'rolling_vol'"), 30))
+# Replicates by default as in the operators; the SQL gate runs every query, so the registered counts are 200 over all cells.
+rows_only("e5_bootstrap_ci", lambda s, d: e.bootstrap_ci(cells(s, d)))
+rows_only("e7_welch_p", lambda s, d: e.welch_t(moments(s, d)).select("series_id", "method", "event_id", "t", "df", "p"))
+rows_only("e9_permutation_test", lambda s, d: e.permutation_test(cells(s, d)))
+rows_only("e21_circular_shift", lambda s, d: e.circular_shift_null(cells(s, d), 200))
+
+
+@query("e18_comparison_grid", f"""WITH z AS (SELECT series_id, event_id, min(t) AS t0 FROM {W} w JOIN {EVENTS_SQL} v ON w.ts >= v.start GROUP BY ALL)
+SELECT m.series_id, m.method, m.event_id, m.n1, m.n2, round(m1, 6) + 0.0 AS m1, round(v1, 6) + 0.0 AS v1, round(m2, 6) + 0.0 AS m2, round(v2, 6) + 0.0 AS v2, round(CASE WHEN z.t0 IS NOT NULL AND z.t0 < 100 THEN NULL ELSE d END, 6) + 0.0 AS d, coalesce(z.t0 < 100, false) AS skipped
+FROM {D_SQL} m LEFT JOIN z ON z.series_id = m.series_id AND z.event_id = m.event_id""")
+def _(spark, sf):
+    return rounded(e.study(panel_scores(spark, sf), p.events_dim(spark)))
+
+
+def f1_sql(tol):
+    """f1 of every cell at one tolerance."""
+    return f"""(WITH j AS MATERIALIZED (SELECT * FROM {AL} JOIN {BO} USING (series_id, method, event_id)),
+f AS (SELECT series_id, event_id, arg_min(t, (abs(t - a), t)) AS x FROM j WHERE abs(t - a) <= {tol} GROUP BY ALL), s AS (SELECT j.series_id, j.event_id, arg_min(j.t, (abs(j.t - j.b), j.t)) AS y FROM j LEFT JOIN f USING (series_id, event_id) WHERE abs(j.t - j.b) <= {tol} AND (x IS NULL OR j.t <> x) GROUP BY ALL),
+n AS (SELECT series_id, event_id, count(*) AS n FROM j GROUP BY ALL), h AS (SELECT o.series_id, o.method, o.event_id, coalesce(n, 0) AS n, (x IS NOT NULL)::INTEGER + (y IS NOT NULL)::INTEGER AS h FROM {BO} o LEFT JOIN f USING (series_id, event_id) LEFT JOIN s USING (series_id, event_id) LEFT JOIN n USING (series_id, event_id)),
+q AS (SELECT *, CASE WHEN n > 0 THEN h / n::DOUBLE ELSE 0.0::DOUBLE END AS p, h / 2.0::DOUBLE AS r FROM h) SELECT series_id, method, event_id, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1_{tol} FROM q)"""
+
+
+# the other cells' ways of counting: here every row meets every event and curves are summed over all thresholds
+AUC_SQL = f"""(WITH c AS MATERIALIZED (SELECT series_id, method, event_id, score, inside FROM {AC}), m AS (SELECT series_id, method, event_id, quantile_cont(score, 0.5) AS med, count(*) FILTER (inside) AS pos, count(*) AS al FROM c GROUP BY ALL),
+g AS (SELECT series_id, method, event_id, coalesce(score, med) AS s, pos, count(*) FILTER (inside) AS tp, count(*) AS k FROM c JOIN m USING (series_id, method, event_id) WHERE pos > 0 AND pos < al AND med IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, sum(tp) OVER w / sum(k) OVER w AS p, sum(tp) OVER w / pos AS r FROM g WINDOW w AS (PARTITION BY series_id, method, event_id ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT series_id, method, event_id, (r - coalesce(lag(r) OVER w, 0)) * (p + coalesce(lag(p) OVER w, 1)) / 2 AS a FROM k WINDOW w AS (PARTITION BY series_id, method, event_id ORDER BY s DESC))
+SELECT series_id, method, event_id, sum(a) AS auc_pr FROM a GROUP BY ALL)"""
+POINT_SQL = f"""(SELECT series_id, method, event_id, min(t) FILTER (alarm AND inside) - min(t) FILTER (inside) AS delay, CASE WHEN count(*) FILTER (NOT inside) > 0 THEN count(*) FILTER (alarm AND NOT inside) / (count(*) FILTER (NOT inside))::DOUBLE * 252 ELSE 0.0::DOUBLE END AS far FROM {AC} GROUP BY ALL)"""
+ENHANCED = f"(SELECT * FROM {f1_sql(5)} JOIN {f1_sql(10)} USING (series_id, method, event_id) JOIN {f1_sql(30)} USING (series_id, method, event_id) LEFT JOIN {AUC_SQL} USING (series_id, method, event_id) JOIN {POINT_SQL} USING (series_id, method, event_id))"
+FIVE = ("f1_5", "f1_10", "f1_30", "auc_pr", "far")
+
+
+@query("e19_enhanced_metrics", rounded_sql("series_id, method, event_id, delay", ", ".join(FIVE), ENHANCED))
+def _(spark, sf):
+    return rounded(e.enhanced_metrics(alarm_rows(spark, sf), p.events_dim(spark)))
+
+
+@query("e19_metric_summary", "SELECT method, count(*) AS n_cells, " + ", ".join(f"round(avg({c}), 6) + 0.0 AS mean_{c}, round(quantile_cont({c}::DOUBLE, 0.5), 6) + 0.0 AS median_{c}" for c in (*FIVE, "delay")) + f" FROM {ENHANCED} GROUP BY 1")
+def _(spark, sf):
+    return rounded(e.metric_summary(e.enhanced_metrics(alarm_rows(spark, sf), p.events_dim(spark)), [*FIVE, "delay"]))

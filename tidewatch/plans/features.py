@@ -315,13 +315,10 @@ def _(spark, sf):
     return rounded(r.select("series_id", "t", j.lag_overlap("psi", 3).alias("overlap")))
 
 
-@query("j8_overlap_confirmation", f"""WITH x AS (SELECT row_number() OVER (ORDER BY series_id, t) AS id, series_id, t AS a, t + 2 + t % 5 AS b FROM {FLAG} WHERE up AND t % 3 = 0)
+@query("j8_overlap_confirmation", f"""WITH x AS (SELECT series_id || ':' || t AS id, series_id, t AS a, t + 2 + t % 5 AS b FROM {FLAG} WHERE up)
 SELECT x.id, count(y.id) AS n FROM x LEFT JOIN x y ON x.id <> y.id AND x.a <= y.b AND y.a <= x.b AND x.series_id <> y.series_id GROUP BY x.id""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    x = flagged(spark, sf).where("up and t % 3 = 0").select("series_id", F.col("t").alias("a"), (F.col("t") + 2 + F.col("t") % 5).alias("b"))
-    x = x.withColumn("id", F.row_number().over(Window.orderBy("series_id", "a")).cast("long"))
+    x = flagged(spark, sf).where("up").select(F.concat_ws(":", "series_id", "t").alias("id"), "series_id", F.col("t").alias("a"), (F.col("t") + 2 + F.col("t") % 5).alias("b"))
     return j.interval_overlaps(x, other_series=True).select("id", "n")
 
 
@@ -363,13 +360,13 @@ def _(spark, sf):
     return rounded(level_from_returns(r).select("series_id", "t", "level"))
 
 
-@query("s7_trades_to_daily", """WITH t AS (SELECT l_suppkey AS id, l_shipdate::DATE AS ts, l_orderkey, l_linenumber, l_extendedprice AS p, l_quantity AS v FROM lineitem WHERE l_suppkey <= 20),
+@query("s7_trades_to_daily", """WITH t AS (SELECT l_suppkey AS id, l_shipdate::DATE AS ts, l_orderkey, l_linenumber, l_extendedprice AS p, l_quantity AS v FROM lineitem),
 d AS (SELECT id, ts, arg_min(p, (l_orderkey, l_linenumber)) AS price, sum(v::DECIMAL(18,2))::DOUBLE AS vol, sum((p::DECIMAL(18,2) * v::DECIMAL(18,2)))::DOUBLE / sum(v::DECIMAL(18,2))::DOUBLE AS vwap FROM t GROUP BY ALL)
 SELECT id, ts, price, vol, vwap FROM d QUALIFY count(*) OVER (PARTITION BY id) >= 0.01 * (SELECT count(DISTINCT ts) FROM d)""")
 def _(spark, sf):
     from tidewatch.sources.tables import daily_trades
 
-    t = p.table(spark, sf, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("v"))
+    t = p.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("v"))
     return daily_trades(t, coverage=0.01)
 
 
@@ -382,12 +379,12 @@ def _(spark, sf):
     return rounded(tenor_pivot(x))
 
 
-@query("s13_run_diff", f"""WITH a AS (SELECT series_id AS method, year(ts) AS event, avg(close) AS d FROM {W} WHERE t % 2 = 0 GROUP BY ALL), b AS (SELECT series_id AS method, year(ts) AS event, avg(close) AS d FROM {W} WHERE t % 3 = 0 AND series_id <> 'ASIA' GROUP BY ALL)
+@query("s13_run_diff", f"""WITH a AS (SELECT series_id AS method, year(ts) AS event, avg(close) AS d FROM {W} GROUP BY ALL), b AS (SELECT series_id AS method, year(ts) AS event, quantile_cont(close, 0.5) AS d FROM {SP} GROUP BY ALL)
 SELECT coalesce(a.method, b.method) AS method, coalesce(a.event, b.event)::INTEGER AS event, round(b.d - a.d, 4) + 0.0 AS delta, CASE WHEN b.method IS NULL THEN 'removed' WHEN a.method IS NULL THEN 'added' ELSE 'both' END AS state FROM a FULL JOIN b ON a.method = b.method AND a.event = b.event""")
 def _(spark, sf):
     from tidewatch.sources.results import run_diff
 
-    w = p.weekly(spark, sf).withColumn("event", F.year("ts")).withColumnRenamed("series_id", "method")
-    a = w.where("t % 2 = 0").groupBy("method", "event").agg(F.avg("close").alias("d"))
-    b = w.where("t % 3 = 0 and method <> 'ASIA'").groupBy("method", "event").agg(F.avg("close").alias("d"))
+    # two runs of one study: yearly means of the weekly panel, yearly medians of the daily one
+    run = lambda panel, of: panel(spark, sf).withColumn("event", F.year("ts")).withColumnRenamed("series_id", "method").groupBy("method", "event").agg(of.alias("d"))
+    a, b = run(p.weekly, F.avg("close")), run(p.sparse, F.percentile("close", F.lit(0.5)))
     return rounded(run_diff(a, b), 4)

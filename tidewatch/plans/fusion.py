@@ -23,7 +23,10 @@ def _(spark, sf):
     return rounded(fusion.composite(panel_scores(spark, sf)))
 
 
-PCT = f"(SELECT a.series_id, a.ts, a.t, a.method, sum((b.score <= a.score)::INTEGER)::DOUBLE / count(*) AS pct FROM {SCORES} a JOIN {SCORES} b ON a.series_id = b.series_id AND a.method = b.method AND b.t <= a.t WHERE a.score IS NOT NULL AND b.score IS NOT NULL GROUP BY ALL)"
+# every row beside its past: k valid values so far, and the share of them that are not greater
+SEEN = f"(SELECT a.series_id, a.ts, a.t, a.method, a.score, count(b.score) AS k, sum((b.score <= a.score)::INTEGER)::DOUBLE / nullif(count(b.score), 0) AS share FROM {SCORES} a JOIN {SCORES} b ON a.series_id = b.series_id AND a.method = b.method AND b.t <= a.t GROUP BY ALL)"
+PCT = f"(SELECT series_id, ts, t, method, CASE WHEN t >= 60 THEN CASE WHEN k < 10 THEN 0.5 WHEN score IS NOT NULL THEN share END END AS pct FROM {SEEN})"
+PCT1 = f"(SELECT series_id, ts, t, method, CASE WHEN t >= 60 AND k >= 10 AND score IS NOT NULL THEN share END AS pct FROM {SEEN})"
 ALLROWS = f"(SELECT DISTINCT {ROW} FROM {SCORES})"
 
 
@@ -33,8 +36,8 @@ def _(spark, sf):
 
 
 FAM = {"rolling_vol": "risk", "momentum": "risk", "level": "trend"}
-FAMILY = f"(SELECT series_id, ts, t, CASE WHEN method = 'level' THEN 'trend' ELSE 'risk' END AS family, round(avg(pct), 9) AS fam FROM {PCT} GROUP BY ALL)"
-PCT2 = f"(SELECT a.series_id, a.t, sum((b.fam <= a.fam)::INTEGER)::DOUBLE / count(*) AS pct2 FROM {FAMILY} a JOIN {FAMILY} b ON a.series_id = b.series_id AND a.family = b.family AND b.t <= a.t GROUP BY a.series_id, a.t, a.family)"
+FAMILY = f"(SELECT series_id, ts, t, CASE WHEN method = 'level' THEN 'trend' ELSE 'risk' END AS family, round(avg(pct), 9) AS fam FROM {PCT1} GROUP BY ALL)"
+PCT2 = f"(SELECT a.series_id, a.t, CASE WHEN a.t >= 60 AND count(b.fam) >= 10 AND a.fam IS NOT NULL THEN sum((b.fam <= a.fam)::INTEGER)::DOUBLE / count(b.fam) END AS pct2 FROM {FAMILY} a JOIN {FAMILY} b ON a.series_id = b.series_id AND a.family = b.family AND b.t <= a.t GROUP BY a.series_id, a.t, a.family, a.fam)"
 
 
 @query("f4_hierarchical", rounded_sql("series_id, t", "score", expanding_z_sql(f"(SELECT {ROW}, fused FROM {ALLROWS} LEFT JOIN (SELECT series_id, t, avg(pct2) AS fused FROM {PCT2} GROUP BY ALL) USING (series_id, t))", "fused", 10, 60)))
@@ -87,15 +90,16 @@ def _(spark, sf):
     return rounded(fusion.best_before(c))
 
 
-PR = f"(SELECT s.method, e.event_id, e.start, 1 / (1 + exp(-s.score)) AS p, 1.0::DOUBLE AS y FROM {SCORES} s JOIN {EVENTS_SQL} e ON s.ts BETWEEN e.start AND e.stop WHERE s.score IS NOT NULL)"
+# all rows up to half a year around an event, labelled by whether it holds them
+PR = f"(SELECT s.method, e.event_id, e.start, 1 / (1 + exp(-s.score)) AS p, (s.ts BETWEEN e.start AND e.stop)::INTEGER::DOUBLE AS y FROM {SCORES} s JOIN {EVENTS_SQL} e ON s.ts BETWEEN e.start - INTERVAL 182 DAY AND e.stop + INTERVAL 182 DAY WHERE s.score IS NOT NULL)"
 
 
 @query("f12_brier_weights", f"""SELECT event_id, method, round((1 / b) / sum(1 / b) OVER (PARTITION BY event_id), 6) AS weight FROM (SELECT event_id, method, sum(q) OVER w / sum(n) OVER w AS b FROM (SELECT method, event_id, start, sum((p - y) ** 2) AS q, count(*) AS n FROM {PR} GROUP BY ALL) WINDOW w AS (PARTITION BY method ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE b > 0""")
 def _(spark, sf):
     from tidewatch.operators.joins import event_members
 
-    s = event_members(panel_scores(spark, sf).where("score is not null"), p.events_dim(spark))
-    s = s.select("method", "event_id", "start", (1 / (1 + F.exp(-F.col("score")))).alias("p"), F.lit(1.0).alias("y"))
+    s = event_members(panel_scores(spark, sf).where("score is not null"), p.events_dim(spark), 182)
+    s = s.select("method", "event_id", "start", (1 / (1 + F.exp(-F.col("score")))).alias("p"), F.col("ts").between(F.col("start"), F.col("stop")).cast("double").alias("y"))
     return rounded(fusion.brier_weights(s))
 
 
@@ -113,11 +117,39 @@ def _(spark, sf):
     return rounded(fusion.mutual_information_weights(panel_scores(spark, sf), target))
 
 
-@query("f6_sequential_evidence")
+LLR = f"(SELECT series_id, ts, t, coalesce(avg(CASE WHEN k >= 20 AND t >= 60 THEN score / greatest(sd, 1e-8) - 0.5::DOUBLE END), 0) AS llr FROM (SELECT *, count(score) OVER w AS k, stddev_samp(score) OVER w AS sd FROM {SCORES} WINDOW w AS (PARTITION BY series_id, method ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY ALL)"
+EVIDENCE = f"""(WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {LLR}), e(series_id, t, raw, kept) AS (SELECT series_id, t, 0.0::DOUBLE, 0.0::DOUBLE FROM l WHERE t = 0
+ UNION ALL SELECT series_id, t, raw, CASE WHEN raw >= 2.995732 OR raw <= -2.995732 THEN 0.0::DOUBLE ELSE raw END FROM (SELECT l.series_id, l.t, CASE WHEN l.t < 60 THEN 0.0::DOUBLE ELSE 0.95::DOUBLE * e.kept + l.llr END AS raw FROM e JOIN l ON l.series_id = e.series_id AND l.t = e.t + 1))
+SELECT l.series_id, l.ts, l.t, e.kept AS evidence, e.raw >= 2.995732 AS alarm FROM e JOIN l USING (series_id, t))"""
+
+
+@query("f6_sequential_evidence", rounded_sql("series_id, t, alarm", "evidence, score", expanding_z_sql(EVIDENCE, "evidence", 1, 60)))
+def _(spark, sf):
+    return rounded(fusion.evidence_score(panel_scores(spark, sf)).select("series_id", "t", "alarm", "evidence", "score"))
+
+
+ENS = {"rolling_vol": 2.0, "momentum": 1.0, "level": 0.5}
+
+
+@query("st7_weighted_ensemble", f"SELECT {ROW}, round(CASE WHEN count(score) >= 0.5 * count(*) THEN sum(w * score) / nullif(sum(w) FILTER (score IS NOT NULL), 0) END, 6) + 0.0 AS ensemble FROM (SELECT *, CASE method WHEN 'rolling_vol' THEN 2.0::DOUBLE WHEN 'momentum' THEN 1.0 ELSE 0.5 END AS w FROM {SCORES}) GROUP BY ALL")
 def _(spark, sf):
-    return rounded(fusion.sequential_evidence(panel_scores(spark, sf)))
+    return rounded(fusion.weighted_ensemble(panel_scores(spark, sf), ENS))
 
 
 @query("f15_cluster_fusion")
 def _(spark, sf):
     return rounded(fusion.cluster_fusion(panel_scores(spark, sf), 0.8))
+
+
+# two channels: the first component in closed form
+PAIR = f"(SELECT series_id, ts, t, max(score) FILTER (method = 'rolling_vol') AS a, max(score) FILTER (method = 'momentum') AS b FROM {SCORES} WHERE method <> 'level' GROUP BY ALL)"
+PCA = f"""WITH m AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AS whole, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS mean, CASE WHEN b IS NOT NULL THEN a END AS u, CASE WHEN a IS NOT NULL THEN b END AS v FROM {PAIR}),
+w AS (SELECT *, count(u) OVER p AS k, avg(u) OVER p AS ma, avg(v) OVER p AS mb, var_pop(u) OVER p AS va, var_pop(v) OVER p AS vb, covar_pop(u, v) OVER p AS vab FROM m WINDOW p AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (va + vb) / 2 + sqrt(((va - vb) / 2) ** 2 + vab ** 2) - va AS e FROM w)
+SELECT series_id, t, round(CASE WHEN whole AND t >= 100 AND k >= 100 THEN abs((a - ma) * vab + (b - mb) * e) / sqrt(vab ** 2 + e ** 2) ELSE mean END, 7) + 0.0 AS pca FROM l"""
+
+
+@query("f7_pca_composite", PCA)
+def _(spark, sf):
+    s = panel_scores(spark, sf).where("method <> 'level'")
+    return rounded(fusion.pca_composite(s, ["rolling_vol", "momentum"], 100).select("series_id", "t", "pca"), 7)

@@ -9,7 +9,7 @@ from tidewatch.operators import features as f
 from tidewatch.operators import geometry as g
 from tidewatch.operators import topology
 
-from .features import returns, vectors
+from .features import RET, returns, vectors
 from .registry import query, rounded
 
 FIT, DIM, COMPONENTS = 100, 4, 3
@@ -48,6 +48,28 @@ def _(spark, sf):
     return rounded(s.select("series_id", "refit_t", F.posexplode("variances").alias("k", "variance")))
 
 
+VEC = f"(SELECT series_id, t - 1 AS t, ret AS a, close / 1e6 AS b FROM {RET} WHERE ret IS NOT NULL)"
+AT = f"(SELECT series_id, unnest(range(100, max(t) + 1, 80)) AS refit_t FROM {VEC} GROUP BY 1)"
+
+
+@query("m2_interval_moments", f"""SELECT s.series_id, s.refit_t, count(*) AS n, round(avg(a), 6) + 0.0 AS mean_a, round(avg(b), 6) + 0.0 AS mean_b, round(var_pop(a), 6) + 0.0 AS var_a, round(var_pop(b), 6) + 0.0 AS var_b, round(covar_pop(a, b), 6) + 0.0 AS cov
+FROM {AT} s JOIN {VEC} v ON v.series_id = s.series_id AND v.t < s.refit_t GROUP BY ALL""")
+def _(spark, sf):
+    """What every refit is made of: moments of all rows before it, by adding up intervals."""
+    m = g.interval_sums(vectors(returns(spark, sf)), FIT, 80)
+    pick = lambda i, j, c: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c)))
+    out = m.groupBy("series_id", "refit_t").agg(F.max("n").alias("n"), pick(0, 0, "m").alias("mean_a"), pick(1, 1, "m").alias("mean_b"), pick(0, 0, "c").alias("var_a"), pick(1, 1, "c").alias("var_b"), pick(0, 1, "c").alias("cov"))
+    return rounded(out)
+
+
+@query("j5_causal_embedding")
+def _(spark, sf):
+    """Rows embedded by the latest of several refits before them."""
+    x = features(spark, sf)
+    e = g.spectral_embed(g.embed_causal(x, g.fit_expanding(x, FIT, 80, COMPONENTS)), g.basis("random", DIM, COMPONENTS))
+    return rounded(e.select("series_id", "t", "refit_t", F.element_at("spectrum", 1).alias("energy"), g.gap().alias("gap")))
+
+
 @query("g1_spectral_embedding")
 def _(spark, sf):
     e = embedded(spark, sf)
@@ -84,9 +106,11 @@ def _(spark, sf):
 
 @query("x_embedding_vectors")
 def _(spark, sf):
-    """The vector table embedded: each vector's first components as a parameter point, by label."""
+    """The vector table embedded: each vector as a point of eight parameters, the means of eighths of its components, by label."""
     from tidewatch.sources import panels as p
 
-    e = p.table(spark, sf, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("x"))
-    out = g.spectral_embed(e, g.basis("pauli", 4, 3))
+    v = F.col("embedding").cast("array<double>")
+    mean = lambda k: F.aggregate(F.slice(v, F.floor(F.size(v) * k / 8).cast("int") + 1, F.floor(F.size(v) / 8).cast("int")), F.lit(0.0), lambda s, x: s + x)
+    e = p.table(spark, sf, "embeddings").select("vec_id", "label", F.array(*[mean(k) for k in range(8)]).alias("x"))
+    out = g.spectral_embed(e, g.basis("random", 4, 8))
     return rounded(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(g.gap()).alias("gap"), F.avg(g.norm("f")).alias("curvature")))

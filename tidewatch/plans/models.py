@@ -41,6 +41,7 @@ rows_only("m14_structural_breaks", lambda s, d: keep(m.structural_breaks(returns
 rows_only("d4_mahalanobis", lambda s, d: m.mahalanobis(vectors(returns(s, d))))
 rows_only("d6_absorption_ratio", lambda s, d: m.absorption_ratio(returns(s, d)))
 rows_only("d11_online_changepoints", lambda s, d: keep(m.online_changepoints(returns(s, d)), "p_short"))
+rows_only("d17_whitened_changepoints", lambda s, d: m.whitened_changepoints(returns(s, d)))
 rows_only("d16_sinkhorn", lambda s, d: keep(m.sinkhorn(returns(s, d)), "score"))
 
 

@@ -1,10 +1,11 @@
-"""Batch twins of the streaming operators over the events table, and event-time windows."""
+"""The streaming operators over the events table, replayed as a stream in three restarts, and event-time windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidewatch.sources import panels as p
+from tidewatch.sources.results import shared_folder
 from tidewatch.streaming import stateful as st
 
 from .registry import query, rounded
@@ -18,10 +19,13 @@ def hourly(spark, sf):
     return e.groupBy("series_id", "ts").agg((F.sum("v").cast("double") / F.count("v")).alias("value"))
 
 
+def streamed(spark, sf, processor):
+    return st.replayed(hourly(spark, sf), processor, shared_folder(spark))
+
+
 @query("st3_running_moments", f"SELECT series_id, ts, count(value) OVER w AS n, round(avg(value) OVER w, 9) + 0.0 AS mean, round(CASE WHEN count(value) OVER w > 1 THEN var_samp(value) OVER w END, 7) + 0.0 AS variance FROM {BARS} WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def _(spark, sf):
-    out = st.batch_twin(hourly(spark, sf), st.Welford())
-    return out.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", F.round("mean", 9).alias("mean"), F.round("variance", 7).alias("variance"))
+    return streamed(spark, sf, st.Welford()).select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", F.round("mean", 9).alias("mean"), F.round("variance", 7).alias("variance"))
 
 
 @query("st11_tick_bars", "SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, count(*) AS n, round(sum(value), 4) + 0.0 AS total, round(min(value), 6) + 0.0 AS low, round(max(value), 6) + 0.0 AS high FROM events GROUP BY ALL")
@@ -38,14 +42,30 @@ def _(spark, sf):
     return s.select("series_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
-def rows_only(name, processor):
-    query(name)(lambda spark, sf: rounded(st.batch_twin(hourly(spark, sf), processor)))
-
-
-rows_only("st10_cusum", st.Cusum())
-rows_only("st10_ewma", st.Ewma())
-rows_only("st10_cool_down", st.CoolDown(60.0, 5))
-rows_only("st8_sequential_evidence", st.Evidence())
-rows_only("st4_bayes_filter", st.BayesFilter())
-rows_only("st2_percentile_score", st.PercentileScore())
-rows_only("st9_transitions", st.Transition(5, 5.0, 10))
+def replay(name, processor, sql=None):
+    """A processor's output; timestamps without a zone, as the SQL has them."""
+    query(name, sql)(lambda spark, sf: rounded(streamed(spark, sf, processor).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
+
+
+B = f"(SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1)::BIGINT AS t FROM {BARS})"
+O = "OVER (PARTITION BY series_id ORDER BY t"  # noqa: E741
+
+replay("st10_cusum", st.Cusum(), f"""WITH b AS MATERIALIZED (SELECT * FROM {B}), m AS (SELECT series_id, avg(value) AS mean, stddev_samp(value) AS sd FROM b WHERE t < 60 GROUP BY 1),
+z AS (SELECT series_id, ts, t, CASE WHEN t >= 60 THEN CASE WHEN sd > 1e-12 THEN (value - mean) / sd ELSE 0 END END AS z FROM b JOIN m USING (series_id)), c AS (SELECT *, sum(z - 0.5::DOUBLE) {O}) AS p, sum(-z - 0.5::DOUBLE) {O}) AS q FROM z)
+SELECT series_id, ts, round(CASE WHEN t >= 60 THEN greatest(p - least(0.0::DOUBLE, min(p) {O})), q - least(0.0::DOUBLE, min(q) {O}))) END, 6) + 0.0 AS score FROM c""")
+replay("st10_ewma", st.Ewma(), f"""WITH RECURSIVE b AS MATERIALIZED (SELECT * FROM {B}), e(series_id, t, s) AS (SELECT series_id, t, value * value FROM b WHERE t = 0 UNION ALL SELECT b.series_id, b.t, 0.94::DOUBLE * e.s + 0.06::DOUBLE * b.value * b.value FROM e JOIN b ON b.series_id = e.series_id AND b.t = e.t + 1)
+SELECT series_id, ts, round(sqrt(s), 6) + 0.0 AS vol FROM e JOIN b USING (series_id, t)""")
+replay("st10_cool_down", st.CoolDown(60.0, 5), f"SELECT series_id, ts, max(value > 60) {O} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS in_cash FROM {B}")
+replay("st8_sequential_evidence", st.Evidence(), f"""WITH RECURSIVE l AS MATERIALIZED (SELECT series_id, ts, t, CASE WHEN count(value) OVER w >= 20 THEN value / greatest(stddev_samp(value) OVER w, 1e-8) - 0.5::DOUBLE ELSE 0.0::DOUBLE END AS llr FROM {B} WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e(series_id, t, raw, kept) AS (SELECT series_id, t, 0.0::DOUBLE, 0.0::DOUBLE FROM l WHERE t = 0 UNION ALL SELECT series_id, t, raw, CASE WHEN raw >= 2.995732 OR raw <= -2.995732 THEN 0.0::DOUBLE ELSE raw END FROM (SELECT l.series_id, l.t, CASE WHEN l.t < 60 THEN 0.0::DOUBLE ELSE 0.95::DOUBLE * e.kept + l.llr END AS raw FROM e JOIN l ON l.series_id = e.series_id AND l.t = e.t + 1))
+SELECT series_id, ts, round(kept, 6) + 0.0 AS evidence, raw >= 2.995732 AS alarm FROM e JOIN l USING (series_id, t)""")
+replay("st2_percentile_score", st.PercentileScore(), f"""WITH b AS MATERIALIZED (SELECT * FROM {B}) SELECT a.series_id, a.ts, round(CASE WHEN count(*) >= 60 THEN 2 * abs(sum((c.value <= a.value)::INTEGER)::DOUBLE / count(*) - 0.5) END, 6) + 0.0 AS score FROM b a JOIN b c ON c.series_id = a.series_id AND c.t BETWEEN a.t - 499 AND a.t GROUP BY a.series_id, a.ts""")
+replay("st9_transitions", st.Transition(5, 5.0, 10), f"""WITH RECURSIVE m AS MATERIALIZED (SELECT series_id, ts, t, abs(m - lag(m) {O})) > 5 AS hit FROM (SELECT *, avg(value) {O} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM {B})),
+e(series_id, t, taken, transition) AS (SELECT series_id, t, -1000000000::BIGINT, false FROM m WHERE t = 0 UNION ALL SELECT m.series_id, m.t, CASE WHEN m.hit AND m.t - e.taken >= 10 THEN m.t ELSE e.taken END, m.hit AND m.t - e.taken >= 10 FROM e JOIN m ON m.series_id = e.series_id AND m.t = e.t + 1)
+SELECT series_id, ts, transition FROM e JOIN m USING (series_id, t)""")
+LL = lambda m, sd: f"-0.5::DOUBLE * ((b.value - {m}) / {sd}) ** 2 - ln({sd})"
+replay("st4_bayes_filter", st.BayesFilter(), f"""WITH RECURSIVE b AS MATERIALIZED (SELECT * FROM {B}), q AS (SELECT series_id, quantile_cont(abs(value), 0.8) AS cut FROM b WHERE t < 126 GROUP BY 1),
+g AS (SELECT series_id, avg(value) FILTER (abs(value) <= cut) AS m0, greatest(stddev_pop(value) FILTER (abs(value) <= cut), 1e-8) AS s0, avg(value) FILTER (abs(value) > cut) AS m1, greatest(stddev_pop(value) FILTER (abs(value) > cut), 1e-8) AS s1 FROM b JOIN q USING (series_id) WHERE t < 126 GROUP BY 1),
+e(series_id, t, p) AS (SELECT series_id, 125::BIGINT, 0.1::DOUBLE FROM g UNION ALL SELECT series_id, t, least(greatest(1 / (1 + (1 - prior) / prior * exp(least(greatest(l0 - l1, -500), 500))), 0.001::DOUBLE), 0.999::DOUBLE) FROM (
+ SELECT b.series_id, b.t, e.p * 0.98::DOUBLE + (1 - e.p) * (1 - 0.98::DOUBLE) AS prior, {LL('g.m0', 'g.s0')} AS l0, {LL('g.m1', 'g.s1')} AS l1 FROM e JOIN b ON b.series_id = e.series_id AND b.t = e.t + 1 JOIN g ON g.series_id = b.series_id))
+SELECT b.series_id, b.ts, round(CASE WHEN b.t >= 126 THEN e.p END, 6) + 0.0 AS p_crisis FROM b LEFT JOIN e USING (series_id, t)""")

@@ -32,3 +32,29 @@ def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def content_key(*columns: str):
     """A cache key of parameter columns."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only on one machine, where that is unset."""
+    import tempfile
+
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-tidewatch-")
+
+
+def kept_table(spark: SparkSession):
+    """A function that writes a DataFrame into the shared folder and reads it back: cut off from what made it."""
+    import uuid
+
+    where = shared_folder(spark)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{where}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep

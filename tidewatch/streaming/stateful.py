@@ -1,4 +1,4 @@
-"""Keyed, watermarked stateful operators. Each equals its batch twin on replayed input.
+"""Keyed, watermarked stateful operators. Each equals its batch twin on replayed input (tests/test_streaming.py replays all).
 
 State is kept per series by transformWithStateInPandas-style processors over RocksDB. Rows of a
 micro-batch are sorted by time; rows at or before a key's last time are late and dropped, and
@@ -269,6 +269,31 @@ def replay(spark: SparkSession, source: DataFrame, table: str, checkpoint: str)
     q.awaitTermination()
 
 
+def replayed(df: DataFrame, processor: Fold, folder: str, slices: int = 3) -> DataFrame:
+    """A finished table (series_id, ts, value) as a stream: what the processor emits.
+
+    The table is cut by time into slices of files; after each slice arrives, the query is started
+    from its checkpoint, takes what is available and stops, so that state outlives restarts. Results
+    go to files. `folder` is one that all executors share. An empty table emits nothing.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    rows = df.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    lo, hi = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    if lo is None:
+        return spark.createDataFrame([], processor.schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    root = f"{folder}/stream-{uuid.uuid4().hex}"
+    part = F.floor((F.unix_timestamp("ts") - lo) * slices / (hi - lo + 1))
+    for k in range(slices):
+        rows.where(part == k).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        q = stream(source, processor).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(processor.schema).parquet(f"{root}/out")
+
+
 def tick_bars(ticks: DataFrame, series: str, value: str, width: str = "1 hour", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Event-time windows of a (streaming or finished) tick table: count, sum, least, largest."""
     t = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
