@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a fresh local one only where unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where unset, a fresh one on a single machine, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(spark, "_tidewatch_shared", None)
         if where is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="spark-tidewatch-")
             spark._tidewatch_shared = where
     return where

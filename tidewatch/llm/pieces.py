@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct pieces a worker keeps; the store is emptied when it is full.
-KEEP = 400_000
+#: Distinct pieces a worker keeps, and the longest kept (characters); the store is emptied when it is full.
+KEEP, LONGEST = 400_000, 128
 
 
 class PieceCache:
@@ -30,4 +30,8 @@ class PieceCache:
             flat = self.ids(new)
             self.store.update(zip(new, [np.asarray(x, "<u2").tobytes() if not isinstance(x, bytes) else x for x in flat]))
         get = self.store.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.store[piece]
+        return out

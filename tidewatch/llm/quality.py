@@ -53,26 +53,26 @@ def grams(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about PIECE bytes, and each run's first place."""
-    at, size = 0, 0
-    for i, text in enumerate(texts, 1):
-        size += len(text)
-        if size >= PIECE or i == len(texts):
-            yield at, texts[at:i]
-            at, size = i, 0
-
-
-def _count(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of texts, ascending, and their counts; none that end in a boundary."""
+def _pieces(column: pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of a string column's texts of about PIECE bytes (null is empty), and each run's first place: one run is held at a time."""
+    upto = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(upto):
+        stop = min(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE)) + 1, len(upto))
+        yield at, [t or b"" for t in column.slice(at, stop - at).cast(pa.binary()).to_pylist()]
+        at = stop
+
+
+def _count(column: pa.ChunkedArray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the wanted texts, ascending, and their counts; none that end in a boundary."""
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
         return codes, np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
 
-    for _, some in _pieces(texts):
-        codes = grams(some)
+    for at, texts in _pieces(column):
+        codes = grams([t for t, w in zip(texts, wanted[at:]) if w])
         held.append(np.unique(codes[codes & 255 != BOUNDARY], return_counts=True))
         if len(held) > 16:
             held = [merged()]
@@ -95,12 +95,12 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         held, size, seq = [], 0, 0
 
         def close() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-                out.write_table(table)
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                for some in held:
+                    out.write_batch(some)
             chunk = (TaskContext.get().partitionId() << 32) + seq
-            ids = table.column(at_id).cast(pa.int64()).to_pylist()
+            ids = [i for some in held for i in some.column(at_id).cast(pa.int64()).to_pylist()]
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "rows"])
 
         for batch in batches:
@@ -130,10 +130,6 @@ def _rows(packed: pa.Table) -> pa.Table:
     return pa.ipc.open_stream(packed.column("rows")[0].as_buffer()).read_all()
 
 
-def _texts(table: pa.Table, text: str = "text") -> list[bytes]:
-    return [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
-
-
 def _beside(chunks: DataFrame, other: DataFrame, of: Callable[[pa.Table, pa.Table, int], pa.Table], schema) -> DataFrame:
     """`of` each chunk's rows, the rows of `other` that carry its number, and that number; no chunk moves."""
 
@@ -150,12 +146,12 @@ def chunk_grams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
     """chunk, gram, n: each chunk's distinct grams and how often its trusted rows (chunk, row; row -1 is none) hold them; 0 for those of others only."""
 
     def count(rows: pa.Table, marked: pa.Table, chunk: int) -> pa.Table:
-        texts = _texts(rows)
-        fit = np.zeros(len(texts), bool)
+        fit = np.zeros(rows.num_rows, bool)
         at = marked.column("row").to_numpy()
         fit[at[at >= 0]] = True
-        seen, n = _count([t for t, f in zip(texts, fit) if f])
-        rest, _ = _count([t for t, f in zip(texts, fit) if not f])
+        texts = rows.column("text")
+        seen, n = _count(texts, fit)
+        rest, _ = _count(texts, ~fit)
         rest = np.setdiff1d(rest, seen, assume_unique=True)
         codes = np.concatenate([seen, rest])
         return pa.table({"chunk": pa.array(np.full(len(codes), chunk)), "gram": pa.array(codes), "n": pa.array(np.concatenate([n, np.zeros(len(rest), np.int64)]))})
@@ -226,17 +222,17 @@ def gram_costs(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
     return seen.unionByName(rows).select("gram", F.round(-F.log2(F.greatest("p", F.lit(LEAST))) * PARTS).cast("int").alias("cost"))
 
 
-def text_costs(texts: list[bytes], codes: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """The summed cost of each text's grams, given the ascending codes of all of them and their costs."""
-    out = np.zeros(len(texts), np.int64)
+def text_costs(texts: pa.ChunkedArray, codes: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's bytes and the summed cost of its grams, given the ascending codes of all of them and their costs."""
+    out, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for at, some in _pieces(texts):
         g = grams(some)
         place = np.minimum(np.searchsorted(codes, g), max(len(codes) - 1, 0))
         upto = np.concatenate([[0], np.cumsum(cost[place])]) if len(codes) else np.zeros(len(g) + 1, np.int64)
         size = np.array([len(t) for t in some], np.int64)
         stop = np.cumsum(size + ORDER - 1) - (ORDER - 1)
-        out[at : at + len(some)] = upto[stop] - upto[stop - size]
-    return out
+        out[at : at + len(some)], length[at : at + len(some)] = upto[stop] - upto[stop - size], size
+    return length, out
 
 
 def score(chunks: DataFrame, costs: DataFrame) -> DataFrame:
@@ -245,12 +241,11 @@ def score(chunks: DataFrame, costs: DataFrame) -> DataFrame:
     def add(rows: pa.Table, known: pa.Table, chunk: int) -> pa.Table:
         codes, cost = known.column("gram").to_numpy(), known.column("cost").to_numpy().astype(np.int64)
         order = np.argsort(codes)
-        texts = _texts(rows)
-        bits = text_costs(texts, codes[order], cost[order])
+        length, bits = text_costs(rows.column("text"), codes[order], cost[order])
         lang = rows.column("lang").to_pylist()
         return pa.table({
-            "chunk": pa.array(np.full(len(texts), chunk)), "row": pa.array(np.arange(len(texts))), "doc_id": rows.column("doc_id").cast(pa.int64()),
-            "_lang": pa.array([x or "" for x in lang], pa.string()), "_n": pa.array([len(t) for t in texts], pa.int64()), "_bits": pa.array(bits),
+            "chunk": pa.array(np.full(len(bits), chunk)), "row": pa.array(np.arange(len(bits))), "doc_id": rows.column("doc_id").cast(pa.int64()),
+            "_lang": pa.array([x or "" for x in lang], pa.string()), "_n": pa.array(length), "_bits": pa.array(bits),
         })
 
     return _beside(chunks, costs, add, "chunk long, row long, doc_id long, _lang string, _n long, _bits long")

@@ -281,7 +281,11 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def encode_and_check(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id, n_ids, n_byte_ids, ids_crc32 (of little-endian uint32 ids), round_trip (decoding gives the text back)."""
+    """doc_id, n_ids, n_byte_ids, ids_crc32 (of little-endian uint32 ids), round_trip (decoding gives the text back).
+
+    A null or empty text has 0 ids and makes the round trip; repeated rows agree; other columns are
+    ignored; an empty table gives no rows.
+    """
 
     def digest(m: Unigram, text: str, raw: bytes):
         ids = np.frombuffer(raw, "<u2")
