@@ -18,22 +18,22 @@ SIMILAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose perplexity is beyond their language's threshold."""
+    """Drops documents whose perplexity is beyond their language's threshold; null and empty texts stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, linked at similarity SIMILAR or more."""
+    """Keeps one document of each group of near-duplicates, linked at similarity SIMILAR or more; texts without words all stay."""
     return neardup.keep_representatives(docs, SIMILAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix draws, in training order."""
+    """One row for each copy that the mix draws, in training order; a document without words is drawn like its source's others."""
     return mixing.mix_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of each row."""
+    """doc_id and token ids of each row; a null doc_id stays null."""
     return unigram.encode(docs, os.environ.get("SENTENCEPIECE_MODEL") or unigram.default_model())
 
 
@@ -45,7 +45,7 @@ STAGES = [
 ]
 
 #: A trained language model and Viterbi segmentation are not expressible in SQL; tests/llm compares
-#: every stage with a brute-force version.
+#: every stage with a brute-force version (the mix with its own SQL) and runs odd rows through all.
 ORACLE_SQL = None
 
 
