@@ -53,6 +53,28 @@ def test_full_stores_and_long_words(library, monkeypatch):
         assert np.frombuffer(encode([text.encode()])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+#: Two words of equal length whose sums of byte values times powers of an odd number agree modulo 2**64, whatever the values.
+ALIKE = ("abbbbbaaaaaabbabaaaaaaaabbbabaaabaaabababbbbaaaabababaaabaaaabbb", "aaaaaababbbaaabaaaaabbaaaaabaaaaabbaaaaaaaaaaabbaaabaaaaaaabaaaa")
+
+
+def test_words_of_equal_hash_keep_their_own_ids(docs, library, monkeypatch):
+    x, y = ALIKE
+    texts = [x, y, f"{x} {y} {x} {y}", f"{y} and {x}, {y}", y, x]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = bytebpe.ByteBpe(tokens.default_tokenizer())
+    for some in (range(6), range(6), (1, 0), (3,)):  # from one block, from kept words, and alone
+        got = encode([texts[i].encode() for i in some])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [want[i] for i in some]
+    got = sorted(tokens.token_digests(tokens.write_tokens(docs([(i, t) for i, t in enumerate(texts)]), tokens.default_tokenizer())).collect())
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w) + 1, zlib.crc32(np.asarray([*w, 2], "<u4").tobytes())) for w in want]
+    # every hash the same: only bytes tell words apart
+    monkeypatch.setattr(bytebpe, "_VALUES", np.zeros(256, np.uint64))
+    encode = bytebpe.ByteBpe(tokens.default_tokenizer())
+    for seed in range(20):
+        text = " ".join(random.Random(seed).choices(["ab", "ba", "abc", "don't", "x1", "abcdefgh", "abcdefgi", "abcdefghi", "  "], k=30))
+        assert np.frombuffer(encode([text.encode()])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_other_files_go_to_the_library_whole(tmp_path, library):
     import json
 

@@ -1,8 +1,9 @@
 """Byte-level BPE of many texts by the tokenizers library, each distinct word once a block.
 
 The library merges within pre-tokens only. A block of texts is one buffer of bytes: words are
-spans between certain pre-token boundaries, equal spans are found by two 64-bit hashes and their
-length, and only distinct words are cut into pre-tokens and encoded by the library's model.
+spans between certain pre-token boundaries. A 64-bit hash brings alike spans together, their bytes
+decide whether they are equal, and only distinct words are cut into pre-tokens and encoded by the
+library's model.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words, and pre-tokens, whose ids a worker keeps, and the longest word kept (bytes); a full store is emptied.
 KEEP, KEEP_PIECES, LONGEST = 1_500_000, 400_000, 64
 _RNG = np.random.default_rng(5_150)
-_VALUES = _RNG.integers(1, 2**64, (2, 256), dtype=np.uint64)
+_VALUES = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _WHITE = np.zeros(256, bool)
@@ -63,28 +64,54 @@ def word_starts(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     return np.flatnonzero(at)
 
 
-def distinct_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One word's number for each distinct word, each word's place among these, and their hashes, ascending by the first.
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw on as one integer; zeros follow the end."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
 
-    Words beyond LONGEST bytes stay apart.
+
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def same_bytes(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a on in x equal those from b on in y; x and y as eights()."""
+    same = np.ones(len(a), bool)
+    on = np.arange(len(a))
+    done = 0
+    while len(on):
+        left = np.minimum(size[on] - done, 8)
+        same[on] &= ((x[a[on] + done] ^ y[b[on] + done]) & _LOW[left]) == 0
+        done += 8
+        on = on[(size[on] > done) & same[on]]
+    return same
+
+
+def distinct_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One word's number for each distinct word, each word's place among these, and their hashes, ascending.
+
+    Neighbours by hash and length are one word only if their bytes are equal; different words of
+    equal hash that alternate may each stand here more than once. Words beyond LONGEST bytes stay apart.
     """
     size = np.diff(at, append=len(raw))
     forth, back = _powers(len(raw))
-    h1, h2 = (np.add.reduceat(v[raw] * forth[: len(raw)], at) * back[at] for v in _VALUES)
-    order = np.argsort(h1)
-    a, b, n = h1[order], h2[order], size[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])]) | (n > LONGEST)
+    h = np.add.reduceat(_VALUES[raw] * forth[: len(raw)], at) * back[at]
+    order = np.argsort(h)
+    a, n, from_ = h[order], size[order], at[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (n[1:] != n[:-1])]) | (n > LONGEST)
+    alike = np.flatnonzero(~new)
+    bytes_ = eights(raw)
+    new[alike] = ~same_bytes(bytes_, from_[alike], bytes_, from_[alike - 1], n[alike])
     group = np.empty(len(at), np.int64)
     group[order] = np.cumsum(new) - 1
-    return order[new], group, a[new], b[new]
+    return order[new], group, a[new]
 
 
 class _Words:
-    """Ids of known words: their hashes and sizes, ascending by the first hash, and where their ids lie in one array."""
+    """Known words, ascending by hash: their bytes (in one array, from `place` on), sizes, and where their ids lie in another."""
 
-    def __init__(self, h1=None, h2=None, size=None, begin=None, n=None, ids=None):
-        self.h1, self.h2 = (np.zeros(0, np.uint64) if h is None else h for h in (h1, h2))
-        self.size, self.begin, self.n = (np.zeros(0, np.int64) if x is None else x for x in (size, begin, n))
+    def __init__(self, h=None, size=None, place=None, begin=None, n=None, raw=None, ids=None):
+        self.h = np.zeros(0, np.uint64) if h is None else h
+        self.size, self.place, self.begin, self.n = (np.zeros(0, np.int64) if x is None else x for x in (size, place, begin, n))
+        self.raw = np.zeros(0, np.uint8) if raw is None else raw
         self.ids = np.zeros(0, np.uint16) if ids is None else ids
 
 
@@ -167,32 +194,38 @@ class ByteBpe:
 
     def _word_ids(self, raw: np.ndarray, joined: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each word's distinct word; where each distinct word's ids begin in an array, how many they are, and that array."""
-        first, word, h1, h2 = distinct_words(raw, at)
-        size = np.diff(at, append=len(raw))[first]
+        first, word, h = distinct_words(raw, at)
+        size, from_ = np.diff(at, append=len(raw))[first], at[first]
         w = self.words
-        k = np.searchsorted(w.h1, h1)
-        near = np.minimum(k, len(w.h1) - 1)
-        taken = w.h1[near] == h1 if len(w.h1) else np.zeros(len(h1), bool)
-        hit = taken & (w.h2[near] == h2) & (w.size[near] == size) if len(w.h1) else taken
+        k = np.searchsorted(w.h, h)
+        near = np.minimum(k, len(w.h) - 1)
+        taken = w.h[near] == h if len(w.h) else np.zeros(len(h), bool)
+        hit = taken & (w.size[near] == size) if len(w.h) else taken
+        alike = np.flatnonzero(hit)
+        hit[alike] = same_bytes(eights(raw), from_[alike], eights(w.raw), w.place[near[alike]], size[alike])
         begin, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         begin[hit], n[hit] = w.begin[near[hit]], w.n[near[hit]]
         new = np.flatnonzero(~hit)
         if not len(new):
             return word, begin, n, w.ids
-        from_ = at[first[new]]
-        lead = raw[from_] == 32
+        lead = raw[from_[new]] == 32
         white = np.add.reduceat(_WHITE[raw], at, dtype=np.int32)[first[new]] - lead
         alone = (white > 0) | (size[new] == lead) | (size[new] > LONGEST)
-        ids = self._encode_words([joined[a:b] for a, b in zip(from_.tolist(), (from_ + size[new]).tolist())], alone.tolist())
+        ids = self._encode_words([joined[a:b] for a, b in zip(from_[new].tolist(), (from_ + size)[new].tolist())], alone.tolist())
         n[new] = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         begin[new] = len(w.ids) + np.cumsum(n[new]) - n[new]
         flat = np.concatenate([w.ids, np.frombuffer(b"".join(ids), "<u2")])
         keep = new[(size[new] <= LONGEST) & ~taken[new]]
-        if len(w.h1) + len(keep) > KEEP:
+        if len(w.h) + len(keep) > KEEP:
             self.words = _Words()
         elif len(keep):
+            stop = np.cumsum(size[keep])
+            held = raw[np.repeat(from_[keep] - (stop - size[keep]), size[keep]) + np.arange(stop[-1])]
+            place = np.zeros(len(first), np.int64)
+            place[keep] = len(w.raw) + stop - size[keep]
             put = k[keep]
-            self.words = _Words(*[np.insert(old, put, now[keep]) for old, now in ((w.h1, h1), (w.h2, h2), (w.size, size), (w.begin, begin), (w.n, n))], flat)
+            old = ((w.h, h), (w.size, size), (w.place, place), (w.begin, begin), (w.n, n))
+            self.words = _Words(*[np.insert(was, put, now[keep]) for was, now in old], np.concatenate([w.raw, held]), flat)
         return word, begin, n, flat
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
