@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixity, hnsw, licences, mixing, neardup, quality, sharding, tokens, topk, unigram
+from . import fim, fixity, hnsw, licences, mixing, neardup, quality, sharding, tokens, topk, unigram
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_token_file": op9_token_file,
         "op10_mixing": op10_mixing,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -73,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_fixity": fixity.oracle(),
         "op8_licences": licences.oracle(),
         "op10_mixing": mixing.oracle(),
+        "op11_fill_in_middle": fim.oracle(),
     }
