@@ -34,13 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame, label: str = "t", partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str = "t", partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write df once into the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fim, fixity, hnsw, licences, mixing, neardup, quality, sharding, tokens, topk, unigram
+from . import fim, fixity, hnsw, licences, mixing, neardup, packing, quality, sharding, tokens, topk, treap, unigram
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.search_index(treap.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokens.default_tokenizer()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -68,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_file": op9_token_file,
         "op10_mixing": op10_mixing,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_packing": op13_packing,
     }
 
 
@@ -79,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_licences": licences.oracle(),
         "op10_mixing": mixing.oracle(),
         "op11_fill_in_middle": fim.oracle(),
+        "op12_ranked_search": treap.oracle(),
     }
