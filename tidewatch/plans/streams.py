@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.sources import panels as p
 from tidewatch.sources.results import shared_folder
+from tidewatch.streaming import online as on
 from tidewatch.streaming import stateful as st
 
 from .registry import query, rounded
@@ -69,3 +71,40 @@ g AS (SELECT series_id, avg(value) FILTER (abs(value) <= cut) AS m0, greatest(st
 e(series_id, t, p) AS (SELECT series_id, 125::BIGINT, 0.1::DOUBLE FROM g UNION ALL SELECT series_id, t, least(greatest(1 / (1 + (1 - prior) / prior * exp(least(greatest(l0 - l1, -500), 500))), 0.001::DOUBLE), 0.999::DOUBLE) FROM (
  SELECT b.series_id, b.t, e.p * 0.98::DOUBLE + (1 - e.p) * (1 - 0.98::DOUBLE) AS prior, {LL('g.m0', 'g.s0')} AS l0, {LL('g.m1', 'g.s1')} AS l1 FROM e JOIN b ON b.series_id = e.series_id AND b.t = e.t + 1 JOIN g ON g.series_id = b.series_id))
 SELECT b.series_id, b.ts, round(CASE WHEN b.t >= 126 THEN e.p END, 6) + 0.0 AS p_crisis FROM b LEFT JOIN e USING (series_id, t)""")
+
+
+def hourly_vectors(spark, sf):
+    """series_id, ts, x: an hour's value, its change, and mean, deviation and range of the last 24; null before 24 hours."""
+    w = Window.partitionBy("series_id").orderBy("ts")
+    day = w.rowsBetween(-23, 0)
+    v = F.col("value")
+    x = F.array(v, v - F.lag(v).over(w), F.avg(v).over(day), F.stddev_samp(v).over(day), F.max(v).over(day) - F.min(v).over(day))
+    return hourly(spark, sf).select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.count(v).over(day) == 24, x).alias("x"), "value", F.lead("value", 6).over(w).alias("later"), F.avg(v).over(w.rowsBetween(1, 6)).alias("next"))
+
+
+def online_model(name, make):
+    def run(spark, sf):
+        x = hourly_vectors(spark, sf).select("series_id", "ts", "x", F.lit(None).cast("double").alias("label"), F.col("ts").alias("arrives"))
+        out = on.replayed({"x": x}, lambda s: on.stream(s["x"], make, "6 hours"), on.schema(make), shared_folder(spark))
+        arrays = [c for c, t in out.dtypes if t == "array<double>"]
+        out = out.withColumns({c: F.transform(c, lambda v: F.round(v, 5)) for c in arrays})
+        return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 5)
+
+    query(name)(run)
+
+
+online_model("st1_online_geometry", on.OnlineGeometry)
+online_model("st5_online_markov", on.OnlineHiddenMarkov)
+
+
+@query("st6_online_logistic")
+def _(spark, sf):
+    """Will the next six hours' mean be above the value now? The label comes seven hours later from a second stream; some labels come too late to count."""
+    x = hourly_vectors(spark, sf)
+    labels = x.where("later is not null").select("series_id", "ts", (F.col("next") > F.col("value")).cast("double").alias("label"))
+    slow = F.pmod(F.xxhash64("series_id", "ts"), F.lit(10)) == 0
+    labels = labels.withColumn("arrives", F.col("ts") + F.when(slow, F.expr("interval 20 days")).otherwise(F.expr("interval 7 hours")))
+    features = x.select("series_id", "ts", "x", F.col("ts").alias("arrives"))
+    make = on.OnlineLogistic
+    out = on.replayed({"x": features, "y": labels}, lambda s: on.stream(on.labelled_stream(s["x"], s["y"], "12 hours"), make, None), on.schema(make), shared_folder(spark))
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
