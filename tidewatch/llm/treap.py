@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import materialise
 
@@ -27,13 +28,13 @@ from .common import materialise
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Points and documents of a shard, a document more at most.
-POINTS, DOCS = 1 << 21, 1 << 16
+POINTS, DOCS = 3 << 19, 1 << 16
 #: Bytes of a text that are split into terms together.
 PIECE = 1 << 20
 #: Bytes of items' terms in one block of queries, which the driver and every task hold.
 ITEM_BYTES = 16 << 20
 #: Ranges that a search opens together, and cells after which it takes no further range.
-RANGES, CELLS = 64, 8192
+RANGES, CELLS = 128, 16384
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 INDEX_SCHEMA = "n_docs long, doc_ids array<long>, terms array<binary>, dfs array<int>, height int, masks array<binary>, singles array<binary>, maxima array<binary>, points array<binary>"
@@ -58,6 +59,12 @@ def term_counts(raw: bytes) -> Counter:
     return out
 
 
+@F.arrow_udf(LongType())
+def term_number(text: pa.Array) -> pa.Array:
+    """Number of terms of each text, repeats included; 0 for null."""
+    return pa.array([term_counts(t.as_buffer().to_pybytes()).total() if t.is_valid else 0 for t in text], pa.int64())
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     """The bits of x (below 2**31) at even places."""
     x = x.astype(np.uint64)
@@ -123,44 +130,43 @@ _ONES = np.array([x.bit_count() for x in range(16)], np.int64)
 
 
 class Treap:
-    """One index row, searchable: cells of all levels in one numbering, level after level."""
+    """One index row, searchable: cells of all levels in one numbering, level after level.
+
+    A cell is a record of four integers, read together: of an inner cell the first child, -1, the largest
+    impact and the mask of its children; of a cell with one point its row, its column, its impact and 0.
+    """
 
     def __init__(self, row: dict):
         self.height = row["height"]
-        masks, firsts, best, rows, cols = [], [], [], [], []
-        begin = 0
+        levels, begin = [], 0
         for level, (mask, single, diff, point) in enumerate(zip(row["masks"], row["singles"], row["maxima"], row["points"])):
             diff = _unpacked(diff, "<u4").astype(np.int64)
             one = np.unpackbits(_unpacked(single, "u1"), count=len(diff)).astype(bool)
             top = diff if not level else np.repeat(inner_best, fan) - diff
-            full, inner = np.zeros(len(diff), np.uint8), _unpacked(mask, "u1")
-            full[~one] = inner
+            inner, code = _unpacked(mask, "u1"), _unpacked(point, "<u8")
             fan = _ONES[inner]
-            first = np.full(len(diff), -1, np.int64)
             begin += len(diff)
-            first[~one] = begin + np.cumsum(fan) - fan
+            cells = np.zeros((len(diff), 4), np.int32)
+            cells[:, 2] = top
+            cells[~one, 0], cells[~one, 1], cells[~one, 3] = begin + np.cumsum(fan) - fan, -1, inner
+            cells[one, 0], cells[one, 1] = _gather(code >> np.uint64(1)), _gather(code)
             inner_best = top[~one]
-            code = _unpacked(point, "<u8")
-            r, c = np.full(len(diff), -1, np.int32), np.full(len(diff), -1, np.int32)
-            r[one], c[one] = _gather(code >> np.uint64(1)), _gather(code)
-            for held, x in zip((masks, firsts, best, rows, cols), (full, first.astype(np.int32), top.astype(np.int32), r, c)):
-                held.append(x)
-        self.mask, self.first, self.best, self.row, self.col = map(np.concatenate, (masks, firsts, best, rows, cols))
+            levels.append(cells)
+        self.cells = np.concatenate(levels)
 
     def top(self, rows: np.ndarray, weights: np.ndarray, k: int, floor: int = 1) -> list[tuple[int, int]]:
         """(score, column) of the k best columns of at least `floor` by the weighted sum over rows, ties to the smaller column.
 
-        A range holds, for each row with points in it, a cell (or, as -2 - column, the row's one point) and its value.
+        A range holds, for each row with points in it, the record of its cell and its value.
         """
         found: list[tuple[int, int]] = []  # a heap whose least is the k-th: (score, -column)
-        cell = np.zeros(len(rows), np.int64)
-        if not self.mask[0]:
-            keep = rows == self.row[0]
-            cell, rows, weights = np.full(int(keep.sum()), -2 - int(self.col[0])), rows[keep], weights[keep]
+        root = self.cells[0]
+        if not root[3]:
+            rows, weights = rows[rows == root[0]], weights[rows == root[0]]
         if not len(rows):
             return []
-        value = weights * int(self.best[0])
-        queue = [(-int(value.sum()), 0, 0, cell, rows, weights, value)]
+        value = weights * int(root[2])
+        queue = [(-int(value.sum()), 0, 0, np.tile(root, (len(rows), 1)), rows, weights, value)]
         while queue:
             batch, cells = [], 0
             while queue and len(batch) < RANGES and cells < CELLS:
@@ -169,13 +175,13 @@ class Treap:
                     queue.clear()
                     break
                 entry = heapq.heappop(queue)
-                level, cell = entry[2], entry[3]
-                if level == self.height or (cell[0] < -1 and (cell == cell[0]).all()):
-                    col = start if level == self.height else int(-2 - cell[0])
-                    (heapq.heappush if len(found) < k else heapq.heappushpop)(found, (score, -col))
+                level, col = entry[2], entry[3][:, 1]
+                if level == self.height or (col[0] >= 0 and (col == col[0]).all()):
+                    at = start if level == self.height else int(col[0])
+                    (heapq.heappush if len(found) < k else heapq.heappushpop)(found, (score, -at))
                     continue
                 batch.append(entry)
-                cells += len(cell)
+                cells += len(col)
             if batch:
                 for entry in self._opened(batch):
                     if -entry[0] >= floor and (len(found) < k or (-entry[0], -entry[1]) > found[0]):
@@ -184,33 +190,32 @@ class Treap:
 
     def _opened(self, batch: list[tuple]) -> Iterator[tuple]:
         """Both halves of every range, without the empty ones."""
-        n = np.array([len(e[3]) for e in batch])
+        n = np.array([len(e[4]) for e in batch])
         cell, row, weight, value = (np.concatenate([e[i] for e in batch]) for i in (3, 4, 5, 6))
         shift = np.repeat([self.height - 1 - e[2] for e in batch], n)
         which = np.repeat(np.arange(len(batch)), n)
-        inner = cell >= 0
-        mask, first = self.mask[np.maximum(cell, 0)].astype(np.int64), self.first[np.maximum(cell, 0)]
-        low = 2 * (row >> shift & 1)
-        half_of_point = (-2 - cell) >> shift & 1
+        mask, inner = cell[:, 3], cell[:, 3] > 0
+        quarter = 2 * (row >> shift & 1)
+        half_of_point = cell[:, 1] >> shift & 1
         for half in (0, 1):
-            quarter = low + half
-            keep = np.where(inner, mask >> quarter & 1, half_of_point == half).astype(bool)
-            child = np.where(inner, first + _ONES[mask & ((1 << quarter) - 1)], cell)[keep]
-            r, w, at, v = row[keep], weight[keep], which[keep], value[keep]
-            real = child >= 0
-            best = np.where(real, w * self.best[np.maximum(child, 0)], v)
-            alone = real & (self.mask[np.maximum(child, 0)] == 0)
-            other = alone & (self.row[np.maximum(child, 0)] != r)
-            child = np.where(alone, -2 - self.col[np.maximum(child, 0)], child)
-            if other.any():
-                child, r, w, at, best = (x[~other] for x in (child, r, w, at, best))
+            at = np.flatnonzero(np.where(inner, mask >> quarter & 1, half_of_point == half))
+            old, deeper, r = cell[at], inner[at], row[at]
+            child = old[:, 0] + _ONES[old[:, 3] & ((1 << quarter[at]) - 1)]
+            new = np.where(deeper[:, None], self.cells[np.where(deeper, child, 0)], old)
+            # a cell that ends with the point of another row
+            own = ~deeper | (new[:, 3] > 0) | (new[:, 0] == r)
+            if not own.all():
+                at, new, r, deeper = at[own], new[own], r[own], deeper[own]
+            quarter += 1
             if not len(at):
                 continue
-            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            w, of = weight[at], which[at]
+            best = np.where(deeper, w * new[:, 2], value[at])
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
             total = np.add.reduceat(best, begin)
             for a, b, score in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], total.tolist()):
-                _, start, level, *_ = batch[at[a]]
-                yield (-score, start + (half << self.height - 1 - level), level + 1, child[a:b], r[a:b], w[a:b], best[a:b])
+                _, start, level, *_ = batch[of[a]]
+                yield (-score, start + (half << self.height - 1 - level), level + 1, new[a:b], r[a:b], w[a:b], best[a:b])
 
 
 class _Shard:
@@ -254,8 +259,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     documents each; a null doc_id comes last among equals; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    n_docs, n_terms = rows.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_docs, n_terms = rows.select(term_number("text").alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard()
