@@ -28,7 +28,7 @@ from .common import materialise
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Points and documents of a shard, a document more at most.
-POINTS, DOCS = 3 << 19, 1 << 16
+POINTS, DOCS = 1 << 19, 1 << 16
 #: Bytes of a text that are split into terms together.
 PIECE = 1 << 20
 #: Bytes of items' terms in one block of queries, which the driver and every task hold.
@@ -229,7 +229,7 @@ class _Shard:
     def add(self, doc_id: int | None, counts: Counter) -> None:
         rows = self.rows
         self.ids.append(doc_id)
-        self.terms.append(np.array([rows.setdefault(t, len(rows)) for t in counts], np.int64))
+        self.terms.append(np.array([rows.setdefault(t, len(rows)) for t in counts], np.int32))
         self.counts.append(np.fromiter(counts.values(), np.int64, len(counts)))
         self.lengths.append(counts.total())
         self.points += len(counts)
