@@ -127,3 +127,41 @@ def range_quantile(k, level: float = 0.95) -> Column:
         return ks.map({n: one(int(n)) if n > 1 else None for n in ks.dropna().unique()})
 
     return quantile(k)
+
+
+# Coefficients of Acklam's rational approximation of the inverse normal distribution (relative error below 1.2e-9).
+_CENTRE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_CENTRE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_EDGE = 0.02425
+
+
+def normal_quantile(u: Column) -> Column:
+    """Inverse of the standard normal distribution for u in (0, 1), as plain arithmetic (see normal_quantile_sql)."""
+
+    def poly(c, x):
+        out = F.lit(c[0])
+        for v in c[1:]:
+            out = out * x + v
+        return out
+
+    q = u - 0.5
+    r = q * q
+    low, high = F.sqrt(-2 * F.log(u)), F.sqrt(-2 * F.log(1 - u))
+    tail = lambda x: poly(_TAIL, x) / poly(_TAIL_BELOW, x)
+    return F.when(u < _EDGE, tail(low)).when(u > 1 - _EDGE, -tail(high)).otherwise(q * poly(_CENTRE, r) / poly(_CENTRE_BELOW, r))
+
+
+def normal_quantile_sql(u: str) -> str:
+    """The same in DuckDB SQL."""
+
+    def poly(c, x):
+        out = f"{c[0]!r}::DOUBLE"
+        for v in c[1:]:
+            out = f"({out} * {x} + {v!r}::DOUBLE)"
+        return out
+
+    tail = lambda x: f"({poly(_TAIL, x)} / {poly(_TAIL_BELOW, x)})"
+    low, high, r = f"sqrt(-2 * ln({u}))", f"sqrt(-2 * ln(1 - {u}))", f"(({u} - 0.5::DOUBLE) * ({u} - 0.5::DOUBLE))"
+    return f"(CASE WHEN {u} < {_EDGE}::DOUBLE THEN {tail(low)} WHEN {u} > {1 - _EDGE!r}::DOUBLE THEN -{tail(high)} ELSE ({u} - 0.5::DOUBLE) * {poly(_CENTRE, r)} / {poly(_CENTRE_BELOW, r)} END)"

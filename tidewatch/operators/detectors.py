@@ -144,6 +144,35 @@ def wasserstein(df: DataFrame, window: int = 30, shift: int = 10, roll: int = 5,
     return expanding_z(df.withColumn("_x", F.when(ok, w1)).drop("_a", "_b"), "_x", roll=roll, min_expanding=min_expanding, form="abs")
 
 
+def directions(n: int, d: int, seed: int = 42) -> list[list[float]]:
+    """n unit vectors of d components, by a seed."""
+    import numpy as np
+
+    v = np.random.default_rng(seed).standard_normal((n, d))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).tolist()
+
+
+def sliced_wasserstein(df: DataFrame, x: str = "x", window: int = 30, shift: int = 10, lines: list[list[float]] | None = None, roll: int = 15, min_expanding: int = 60, d: int = 2) -> DataFrame:
+    """Wasserstein-1 distance of two shifted past windows of vectors, averaged over random directions; absolute z.
+
+    Each direction's projections are windows of numbers, sorted and differenced as columns. A row
+    with a null component has no projection; a window with such a row gives null.
+    """
+    lines = lines or directions(20, d)
+    whole = F.col(x).isNotNull() & ~F.exists(x, lambda v: v.isNull())
+    rays = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(v) for v in line]).alias("u")) for k, line in enumerate(lines)])
+    e = df.select("series_id", "ts", "t", x, F.explode(rays).alias("_r"))
+    shadow = F.when(whole, F.aggregate(F.zip_with(x, "_r.u", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    e = e.select("series_id", "ts", "t", F.col("_r.k").alias("_k"), shadow.alias("_v"))
+    w = ordered("series_id", "_k")
+    a, b = w.rowsBetween(-window, -1), w.rowsBetween(-window - shift, -shift - 1)
+    e = e.withColumns({"_a": F.sort_array(F.collect_list("_v").over(a)), "_b": F.sort_array(F.collect_list("_v").over(b))})
+    w1 = F.aggregate(F.zip_with("_a", "_b", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v) / window
+    e = e.select("series_id", "ts", "t", F.when((F.size("_a") == window) & (F.size("_b") == window), w1).alias("_w"))
+    mean = e.groupBy("series_id", "ts", "t").agg(F.avg("_w").alias("distance"))
+    return expanding_z(mean, "distance", roll=roll, min_expanding=min_expanding, form="abs")
+
+
 @detector("jensen_shannon")
 def jensen_shannon(df: DataFrame, window: int = 30, shift: int = 10, bins: int = 30, roll: int = 5, min_expanding: int = 60) -> DataFrame:
     """Jensen-Shannon divergence of histograms of two past windows over their common range, 1e-10 added a bin; absolute z."""

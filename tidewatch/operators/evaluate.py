@@ -170,19 +170,6 @@ def permutation_test(cells: DataFrame, replicates: int = 200, seed: int = 11) ->
     return d.join(seen, list(CELL)).groupBy(*CELL).agg(((F.sum((F.col("diff") >= F.col("seen")).cast("int")) + 1) / (replicates + 1)).alias("p"))
 
 
-def circular_shift_null(cells: DataFrame, shifts: int = 50, seed: int = 3) -> DataFrame:
-    """p of d under circular shifts of the score series against the event window."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*CELL))
-    rows = cells.withColumn("_n", n).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
-    off = F.when(F.col("rep") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "rep", *CELL), F.col("_n")))
-    moved = rows.select(*CELL, "rep", F.pmod(F.col("t") + off, F.col("_n")).alias("t"), "score").where("score is not null")
-    j = moved.join(cells.select(*CELL, "t", "inside"), [*CELL, "t"])
-    one = lambda flag, f: f(F.when(F.col("inside") == F.lit(flag), F.col("score")))
-    d = cohens_d(j.groupBy(*CELL, "rep").agg(one(True, F.count).alias("n1"), one(True, F.avg).alias("m1"), one(True, F.var_samp).alias("v1"), one(False, F.count).alias("n2"), one(False, F.avg).alias("m2"), one(False, F.var_samp).alias("v2")))
-    seen = d.where("rep = 0").select(*CELL, F.col("d").alias("seen"))
-    return d.where("rep > 0").join(seen, list(CELL)).groupBy(*CELL).agg(F.max("seen").alias("d"), ((F.sum((F.col("d") >= F.col("seen")).cast("int")) + 1) / (shifts + 1)).alias("p"))
-
-
 def auc_pr(scores: DataFrame, events: DataFrame, pad: int = 0) -> DataFrame:
     """Area under precision over recall, trapezoids over distinct thresholds; a null score counts as the series' median.
 

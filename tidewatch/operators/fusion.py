@@ -182,6 +182,68 @@ def weighted_ensemble(scores: DataFrame, weights: dict[str, float], share: float
     return g.select(*ROW, F.when((F.col("_n") >= share * F.col("_k")) & (F.col("_w") > 0), F.col("_s") / F.col("_w")).alias("ensemble"))
 
 
+def gaussian_copula(scores: DataFrame, methods: list[str], min_expanding: int = 60, min_corr: int = 120, least: int = 30, shrink: float = 0.1) -> DataFrame:
+    """series_id, ts, t, copula, score: how far a row's channels are jointly out, under a Gaussian copula of the past.
+
+    Each channel becomes the normal quantile of its share of earlier values that are not greater
+    (ten at least, from row min_expanding on, kept off 0 and 1 by 1e-6); their correlation over
+    all complete rows before, shrunk to the identity, gives the quadratic form. Until row
+    min_corr, or with fewer than `least` complete rows before, it is null; an incomplete row has the
+    mean of what is there. score is its z against all rows before. A series' rows stream in time
+    order through one task, with running sums for its state; a batch's systems are solved together.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewatch.functions.stats import normal_quantile
+
+    u = percent_rank_past(scores, "score", "_u", ("series_id", "method"), include_current=False, least=10)
+    u = u.withColumn("_u", F.when((F.col("t") >= min_expanding) & F.col("_u").isNotNull(), F.least(F.greatest("_u", F.lit(1e-6)), F.lit(1 - 1e-6))))
+    g = u.withColumn("_g", normal_quantile(F.col("_u"))).groupBy(*ROW).pivot("method", methods).agg(F.max("_g"))
+    g = g.select(*ROW, F.array(*[F.col(f"`{m}`") for m in methods]).alias("g"))
+    d = len(methods)
+
+    def forms(x: np.ndarray, t: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The quadratic form of each row by the sums of complete rows before it."""
+        known = ~np.isnan(x)
+        out = np.where(known.any(1), np.where(known, x, 0).sum(1) / np.maximum(known.sum(1), 1), np.nan)
+        at = np.flatnonzero(known.all(1) & (n >= least))
+        if len(at):
+            cov = q[at] / n[at, None, None] - np.einsum("ti,tj->tij", s[at], s[at]) / n[at, None, None] ** 2
+            sd = np.sqrt(np.maximum(np.einsum("tii->ti", cov), 1e-24))
+            r = (1 - shrink) * cov / np.einsum("ti,tj->tij", sd, sd)
+            r[:, np.arange(d), np.arange(d)] = 1.0
+            out[at] = np.einsum("ti,ti->t", x[at], np.linalg.solve(r, x[at][:, :, None])[:, :, 0])
+        out[(t < min_corr) | (n < least)] = np.nan
+        return out
+
+    def run(batches):
+        key, n0, s0, q0 = None, 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            ids, t = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            x = np.array([[np.nan if v is None else v for v in r] for r in batch.column(3).to_pylist()], float).reshape(-1, d)
+            out, a = np.full(len(ids), np.nan), 0
+            while a < len(ids):
+                b = a + 1
+                while b < len(ids) and ids[b] == ids[a]:
+                    b += 1
+                if ids[a] != key:
+                    key, n0, s0, q0 = ids[a], 0, np.zeros(d), np.zeros((d, d))
+                part = x[a:b]
+                whole = ~np.isnan(part).any(1)
+                clean = np.where(whole[:, None], part, 0)
+                n = n0 + np.cumsum(whole)
+                s, q = s0 + np.cumsum(clean, 0), q0 + np.cumsum(np.einsum("ti,tj->tij", clean, clean), 0)
+                shifted = lambda first, run: np.concatenate([np.asarray(first)[None], run[:-1]])
+                out[a:b] = forms(part, t[a:b], shifted(n0, n), shifted(s0, s), shifted(q0, q))
+                n0, s0, q0, a = int(n[-1]), s[-1], q[-1], b
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, from_pandas=True)], names=[*ROW, "copula"])
+
+    kinds = dict(scores.dtypes)
+    made = g.repartition("series_id").sortWithinPartitions("series_id", "t").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ROW) + ", copula double")
+    return expanding_z(made, "copula", roll=1, min_expanding=min_expanding)
+
+
 def pca_composite(scores: DataFrame, methods: list[str], min_window: int = 252) -> DataFrame:
     """|first principal component| of a row's channels, fitted on all complete rows before it; the mean of what is there until `min_window` of them, and in incomplete rows.
 

@@ -535,6 +535,63 @@ def density_observables(embedded: DataFrame, window: int | None = None, least: i
     return x.mapInArrow(run, f"series_id string, ts {dict(embedded.dtypes)['ts']}, t long, holevo double, relative_entropy double, reference_infidelity double")
 
 
+def mixed_observables(embedded: DataFrame, dim_a: int = 2, loop: int = 5) -> DataFrame:
+    """series_id, ts, t, uhlmann_fidelity, uhlmann_phase, loop_phase, purity, berry_phase of the reduced state of the first `dim_a` levels.
+
+    A reduced state is A A^+ with A the state as a matrix, and A_0^+ A_1 has as many singular values as
+    sqrt(rho_0) rho_1 sqrt(rho_0) has roots: their sum squared is the fidelity to the row before.
+    The phase of that positive sum is 0 for two states; around the closed path over the last `loop`
+    rows the polar parts of the products of roots give the loop phase. The Berry phase is the
+    angle of the overlap with the row before. The first row of a series has nulls but for its purity.
+    """
+    w = ordered()
+    back = [F.struct(F.lag("psi_re", k).over(w).alias("re"), F.lag("psi_im", k).over(w).alias("im")) for k in range(1, loop)]
+    x = embedded.select("series_id", "ts", "t", "psi_re", "psi_im", *[c.alias(f"_b{k}") for k, c in enumerate(back, 1)])
+    ts = {"date": pa.date32(), "timestamp": pa.timestamp("us", "UTC")}[dict(embedded.dtypes)["ts"]]
+    names = ["uhlmann_fidelity", "uhlmann_phase", "loop_phase", "purity", "berry_phase"]
+    schema = pa.schema([("series_id", pa.string()), ("ts", ts), ("t", pa.int64()), *[(n, pa.float64()) for n in names]])
+
+    def roots(a: np.ndarray) -> np.ndarray:
+        u, s, _ = np.linalg.svd(a, full_matrices=False)
+        return np.einsum("tik,tk,tjk->tij", u, s, u.conj())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = lambda name: batch.column(batch.schema.names.index(name))
+            re, im = col("psi_re").to_pylist(), col("psi_im").to_pylist()
+            here = np.array([v is not None for v in re], bool)
+            out = {n: np.full(len(re), np.nan) for n in names}
+            size = len(next((v for v in re if v is not None), [])) or dim_a
+            state = lambda rs, ms: np.array([np.array(r if r is not None else [0.0] * size) + 1j * np.array(m if m is not None else [0.0] * size) for r, m in zip(rs, ms)])
+            psi, past, known = [state(re, im)], [], [here]
+            for k in range(1, loop):
+                b = col(f"_b{k}").to_pylist()
+                known.append(np.array([v is not None and v["re"] is not None for v in b], bool))
+                past.append(state([v["re"] if v else None for v in b], [v["im"] if v else None for v in b]))
+            psi += past
+            mats = [p.reshape(len(p), dim_a, -1) for p in psi]
+            if here.any():
+                rho = mats[0] @ mats[0].conj().transpose(0, 2, 1)
+                out["purity"][here] = (np.abs(rho[here]) ** 2).sum((1, 2))
+            two = here & known[1] if loop > 1 else np.zeros(len(here), bool)
+            if two.any():
+                s = np.linalg.svd(mats[1][two].conj().transpose(0, 2, 1) @ mats[0][two], compute_uv=False).sum(1)
+                out["uhlmann_fidelity"][two] = np.clip(s**2, 0, 1)
+                out["uhlmann_phase"][two] = np.angle(s.astype(complex))
+                out["berry_phase"][two] = np.angle(np.einsum("ti,ti->t", psi[1][two].conj(), psi[0][two]))
+            whole = np.logical_and.reduce(known)
+            if whole.any() and loop > 2:
+                r = [roots(m[whole]) for m in mats[::-1]]  # the oldest first
+                v = np.broadcast_to(np.eye(dim_a), r[0].shape).astype(complex)
+                for a, b in zip(r, r[1:]):  # parallel transport: a+ b made positive
+                    u, _, h = np.linalg.svd(b @ a)
+                    v = u @ h @ v
+                out["loop_phase"][whole] = np.angle(np.einsum("tij,tji->t", r[0].conj().transpose(0, 2, 1) @ r[-1], v))
+            yield pa.RecordBatch.from_arrays([col("series_id"), col("ts"), col("t"), *[pa.array(out[n], from_pandas=True) for n in names]], schema=schema)
+
+    return x.mapInArrow(run, f"series_id string, ts {dict(embedded.dtypes)['ts']}, t long, " + ", ".join(f"{n} double" for n in names))
+
+
 def grid_chern(spark, ops: np.ndarray, size: int = 24, half_width: float = 1.0, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """chern: plaquette phases of ground states over a closed square of the first two parameters, divided by 2 pi."""
     step = 2 * half_width / (size - 1)

@@ -73,8 +73,8 @@ def lag_overlap(psi: str, k: int) -> Column:
     return F.pow(dot(F.col(psi), past), 2) / (dot(F.col(psi), F.col(psi)) * dot(past, past))
 
 
-def interval_overlaps(df: DataFrame, other_series: bool = False, cell: int = 32) -> DataFrame:
-    """id, n: how many other intervals [a, b] overlap each one (of other series only, if asked).
+def interval_overlaps(df: DataFrame, other_series: bool = False, cell: int = 32, same_series: bool = False) -> DataFrame:
+    """id, n: how many other intervals [a, b] overlap each one (of other series only, or of its own only, if asked).
 
     Intervals are dealt to the cells of `cell` rows that they touch; a pair counts in the first
     cell that both touch, so each pair is met once.
@@ -85,7 +85,8 @@ def interval_overlaps(df: DataFrame, other_series: bool = False, cell: int = 32)
     hit = (F.col("id") != F.col("id2")) & (F.col("a") <= F.col("b2")) & (F.col("a2") <= F.col("b")) & (F.col("_cell") == F.floor(F.greatest("a", "a2") / cell))
     if other_series:
         hit = hit & (F.col("series_id") != F.col("s2"))
-    n = x.join(y, "_cell").where(hit).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = x.join(y, (x["_cell"] == y["_cell"]) & (x["series_id"] == y["s2"])).drop(y["_cell"]) if same_series else x.join(y, "_cell")
+    n = pairs.where(hit).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return df.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 

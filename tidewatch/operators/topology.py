@@ -45,6 +45,25 @@ def transitions(df: DataFrame, x: str, threshold: float, smooth: int = 5, apart:
     return c.select("series_id", F.explode(taken).alias("s")).select("series_id", "s.t", "s.change")
 
 
+def scale_transitions(by_scale: dict[int, DataFrame], x: str, threshold: float = 0.5, smooth: int = 5, apart: int = 10) -> DataFrame:
+    """series_id, scale, t, change, a, b, confirmations, confirmed: transitions of x at several scales, and how many others confirm each.
+
+    by_scale holds the series of x over windows of each length. Within a scale transitions are `apart` rows at
+    least from the one taken before; each spans its window's rows [a, b]. One is confirmed if at least
+    half as many others of its series as there are scales overlap it, whatever their scale.
+    """
+    from .joins import interval_overlaps
+
+    found = None
+    for k, df in by_scale.items():
+        one = transitions(df, x, threshold, smooth, apart).select("series_id", F.lit(k).alias("scale"), "t", "change", F.greatest(F.col("t") - k + 1, F.lit(0)).alias("a"), F.col("t").alias("b"))
+        found = one if found is None else found.unionByName(one)
+    found = found.withColumn("id", F.concat_ws("/", "series_id", "scale", "t"))
+    over = interval_overlaps(found.select("series_id", "id", "a", "b"), cell=max(by_scale), same_series=True)
+    out = found.join(over.select("id", F.col("n").alias("confirmations")), "id")
+    return out.select("series_id", "scale", "t", "change", "a", "b", "confirmations", (F.col("confirmations") >= len(by_scale) // 2).alias("confirmed"))
+
+
 def classify_events(df: DataFrame, events: DataFrame, x: str, pad: int = 100) -> DataFrame:
     """series_id, event_id, means before, during and after, and a class.
 

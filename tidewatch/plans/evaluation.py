@@ -313,7 +313,6 @@ def rows_only(name, f):
 rows_only("e5_bootstrap_ci", lambda s, d: e.bootstrap_ci(cells(s, d)))
 rows_only("e7_welch_p", lambda s, d: e.welch_t(moments(s, d)).select("series_id", "method", "event_id", "t", "df", "p"))
 rows_only("e9_permutation_test", lambda s, d: e.permutation_test(cells(s, d)))
-rows_only("e21_circular_shift", lambda s, d: e.circular_shift_null(cells(s, d), 200))
 
 
 @query("e18_comparison_grid", f"""WITH z AS (SELECT series_id, event_id, min(t) AS t0 FROM {W} w JOIN {EVENTS_SQL} v ON w.ts >= v.start GROUP BY ALL)
