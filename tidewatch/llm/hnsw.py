@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import block_rows, matrix, packed, past_blocks, same_width, scaled, unpack, usable
+from .vectors import matrix, packed, past_blocks, same_width, scaled, unpack, usable
 
-#: Rows of a shard, at least and at most: within it a graph's candidates are searched exhaustively.
-SHARD = (2048, 16384)
+#: Rows of a shard and bytes of its vectors, whatever the cluster: within it a graph's candidates are searched exhaustively.
+SHARD, SHARD_BYTES = 4096, 32 << 20
 QUERIES = 1024
 M = 16
 EF_BUILD, EF = 64, 100
@@ -81,13 +81,20 @@ def _level(unit: np.ndarray, nodes: np.ndarray, m: int, most: int) -> np.ndarray
     src, dst, sims = src[by], dst[by], sims[by]
     first = np.searchsorted(src, np.arange(n))
     place = np.arange(len(src)) - first[src]
-    width = min(int(place.max()) + 1, 3 * most)
-    for a in range(0, n, _STRIP):
-        part = (src >= a) & (src < a + _STRIP) & (place < width)
-        rows = min(_STRIP, n - a)
-        cand, near = np.full((rows, width), -1), np.full((rows, width), -np.inf)
-        cand[src[part] - a, place[part]], near[src[part] - a, place[part]] = dst[part], sims[part]
-        table[a : a + rows] = _diverse(near, cand, x, most)
+    degree = np.bincount(src, minlength=n)
+    # rows of like degree together; a hub's many links are weighed alone, none left out
+    by = np.argsort(degree, kind="stable")
+    at = 0
+    while at < n:
+        rows = by[at : at + (_STRIP if degree[by[min(at + _STRIP, n) - 1]] <= 3 * most else 1)]
+        width = max(int(degree[rows].max()), 1)
+        inside = np.full(n, -1)
+        inside[rows] = np.arange(len(rows))
+        part = np.flatnonzero(inside[src] >= 0)
+        cand, near = np.full((len(rows), width), -1), np.full((len(rows), width), -np.inf)
+        cand[inside[src[part]], place[part]], near[inside[src[part]], place[part]] = dst[part], sims[part]
+        table[rows] = _diverse(near, cand, x, most)
+        at += len(rows)
     out = np.where(table >= 0, nodes[np.maximum(table, 0)], -1)
     return out.astype(np.int32)
 
@@ -210,7 +217,7 @@ def build_index(embeddings: DataFrame, shard: int | None = None) -> tuple[DataFr
     """The written index, a row a shard (INDEX_SCHEMA), and the number of shards; every usable row is in it."""
     rows = nonzero(embeddings)
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    shards = n // (shard or block_rows(rows, n, width or 1, *SHARD)) + 1
+    shards = n // (shard or max(1, min(SHARD, SHARD_BYTES // (8 * (width or 1))))) + 1
 
     def graph(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
