@@ -20,7 +20,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import materialise
 
@@ -59,10 +58,11 @@ def term_counts(raw: bytes) -> Counter:
     return out
 
 
-@F.arrow_udf(LongType())
-def term_number(text: pa.Array) -> pa.Array:
-    """Number of terms of each text, repeats included; 0 for null."""
-    return pa.array([term_counts(t.as_buffer().to_pybytes()).total() if t.is_valid else 0 for t in text], pa.int64())
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of texts with terms, and of their terms with repeats, a batch."""
+    for batch in batches:
+        n = [term_counts(t.as_buffer().to_pybytes()).total() for t in batch.column(0) if t.is_valid]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -259,7 +259,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     documents each; a null doc_id comes last among equals; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_docs, n_terms = rows.select(term_number("text").alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_docs, n_terms = rows.select("text").mapInArrow(_totals, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard()
