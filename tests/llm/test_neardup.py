@@ -69,6 +69,17 @@ def test_groups_match_brute_force(docs, block):
     assert got == groups(rows)
 
 
+def test_digests_that_share_half_are_told_apart(spark):
+    schema = "doc_id long, th long, n_shingles long, cls long, rest long, bands array<long>, sig binary"
+    rows = [(1, 1, 5, 7, 100, [1], b"a"), (2, 2, 5, 7, 200, [2], b"b"), (3, 3, 5, 7, 200, [2], b"b"), (4, 4, 5, 8, 100, [3], b"c"), (5, 5, 0, None, None, None, None)]
+    got = {r.doc_id: r.cls for r in neardup._apart(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == 7 and got[2] == got[3] not in (7, 8) and got[4] == 8 and got[5] is None
+    alone = neardup._apart(spark.createDataFrame(rows[3:], schema))
+    assert alone.columns == ["doc_id", "th", "n_shingles", "cls", "bands", "sig"] and {r.cls for r in alone.collect()} == {8, None}
+    a, b = (neardup.set_digest(np.array(x, np.uint64)) for x in ([1, 2], [1, 3]))
+    assert a != b and len(a) == 2 and neardup.set_digest(np.array([1, 2], np.uint64)) == a
+
+
 def test_test_data_matches_brute_force(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

@@ -1,6 +1,8 @@
 """Near-duplicate groups by MinHash with sequential Bayesian verification.
 
-1. Texts with the same shingle set form a class (exact copies never meet as pairs).
+1. Texts with the same shingle set form a class (exact copies never meet as pairs): sets are told
+   apart by a 128-bit BLAKE2 digest. Half of it is the class's id; should two digests share that
+   half, the second class gets another.
 2. 64 bands of 8 minima put classes into buckets; classes that share buckets, directly or through
    others, form a cluster. At similarity 0.85 no band matches with probability 1.4e-9,
    at 0.80 with probability 8e-6.
@@ -17,6 +19,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -55,20 +58,25 @@ def fewest_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def set_digest(s: np.ndarray) -> tuple[int, int]:
+    """Both halves of a shingle set's 128-bit digest, as signed integers."""
+    return tuple(np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist())
+
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, cls, bands, sigs = [], [], [], []
+        n, cls, rest, bands, sigs = [], [], [], [], []
         for text in batch.column(2):
             s = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else None)
             n.append(len(s))
-            cls.append(int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
+            one, two = set_digest(s) if len(s) else (None, None)
+            cls.append(one)
+            rest.append(two)
             m = minhash(s) if len(s) else None
             bands.append(band_keys(m, ROWS) if len(s) else None)
             sigs.append(m[:SIGNATURE].astype("<u2").tobytes() if len(s) else None)
-        cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "cls", "bands", "sig"])
+        cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(rest, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "cls", "rest", "bands", "sig"])
 
 
 class _Union:
@@ -157,11 +165,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     words is one shingle; a text without words (or null) has none and stands alone. Repeated rows
     are one class. component_id is the least doc_id of the group; a null doc_id never is one
     unless its whole group has none, and is kept only then. `representative` marks rows equal to
-    the group's one survivor, told by (doc_id, hash of the text). Classes are told apart by 64-bit
-    hashes of their sets. An empty table gives no rows; other columns are ignored.
+    the group's one survivor, told by (doc_id, hash of the text). Classes are told apart by 128-bit
+    digests of their sets. An empty table gives no rows; other columns are ignored.
     """
-    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_sketch, "doc_id long, th long, n_shingles long, cls long, bands array<long>, sig binary")
-    rows = materialise(sketch, "neardup-sketch")
+    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_sketch, "doc_id long, th long, n_shingles long, cls long, rest long, bands array<long>, sig binary")
+    rows = _apart(materialise(sketch, "neardup-sketch"))
     did = F.coalesce("doc_id", F.lit(LOWEST))
     # the survivor is the least (has no id, doc_id, text hash)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), did.alias("did"), F.col("th").alias("th")))
@@ -183,6 +191,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"), (F.col("group_first") == own).alias("representative"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows without `rest`, their classes told apart by it: of digests that share `cls` all but the one of least `rest` get another id."""
+    shared = rows.where("cls is not null").groupBy("cls").agg(F.min("rest").alias("_least"), F.max("rest").alias("_most")).where("_least <> _most")
+    if shared.isEmpty():
+        return rows.drop("rest")
+    j = rows.join(shared, "cls", "left")
+    other = F.when(F.col("rest") != F.col("_least"), F.xxhash64("cls", "rest")).otherwise(F.col("cls"))
+    return materialise(j.withColumn("cls", other).select("doc_id", "th", "n_shingles", "cls", "bands", "sig"), "neardup-apart")
+
+
 def _verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) of classes that span every group."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
