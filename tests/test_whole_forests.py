@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import inspect
 
-from tidewatch.operators import models
+from tidewatch.operators import forests, models
 from tidewatch.plans import load
 from tidewatch.sources import panels
 
 
-def spy(monkeypatch, name, **smaller):
-    """Arguments of models.<name> as the query gives them; the call itself runs with `smaller`."""
-    real, seen = getattr(models, name), {}
+def spy(monkeypatch, name, module=models, **smaller):
+    """Arguments of <module>.<name> as the query gives them; the call itself runs with `smaller`."""
+    real, seen = getattr(module, name), {}
 
     def run(*args, **kwargs):
         bound = inspect.signature(real).bind(*args, **kwargs)
@@ -19,12 +19,12 @@ def spy(monkeypatch, name, **smaller):
         seen.update(bound.arguments)
         return real(**{**bound.arguments, **smaller})
 
-    monkeypatch.setattr(models, name, run)
+    monkeypatch.setattr(module, name, run)
     return seen
 
 
 def test_every_event_is_held_out(spark, data, monkeypatch):
-    seen = spy(monkeypatch, "held_out_forest", trees=2, depth=2)
+    seen = spy(monkeypatch, "held_out_forest", forests, trees=2, depth=2)
     got = load()[0]["m9_held_out_forest"](spark, data)
     assert {r.event for r in got.select("event").distinct().collect()} == {r.event_id for r in panels.events_dim(spark).collect()}
     assert seen["trees"] == 200 and seen["depth"] == 6

@@ -62,6 +62,31 @@ def hierarchical(scores: DataFrame, families: dict[str, str], roll: int = 10, mi
     return expanding_z(per_row(again, F.avg("pct2"), "fused"), "fused", roll=roll, min_expanding=min_expanding)
 
 
+def hierarchical_learned(scores: DataFrame, families: dict[str, str], labels: DataFrame, train_rows: int, keep, c: float = 0.1, roll: int = 15, min_expanding: int = 60, least: int = 10) -> DataFrame:
+    """series_id, t, fused, score: family ranks (see hierarchical) combined by a logistic model of labels (series_id, t, label) on each series' rows t < train_rows.
+
+    fused is the linear part of the model; missing family ranks count 0, and rows without any train
+    nothing. A series with fewer than 20 training rows or one label weighs families alike.
+    `keep` writes a table and reads it back. score is the smoothed z-score.
+    """
+    from .inference import logistic_models
+
+    m = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])
+    names = sorted(set(families.values()))
+    late = F.when(F.col("t") >= min_expanding, F.col("pct"))
+    r = percent_rank_past(scores, "score", "pct", ("series_id", "method"), least=least).withColumn("pct", late).withColumn("family", F.try_element_at(m, F.col("method")))
+    fam = r.groupBy(*ROW, "family").agg(F.avg("pct").alias("fam")).groupBy(*ROW).pivot("family", names).agg(F.max("fam"))
+    fam = keep(fam.select(*ROW, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(f"f{i}") for i, n in enumerate(names)]))
+    cols = [f"f{i}" for i in range(len(names))]
+    train = fam.where((F.col("t") < train_rows) & (F.greatest(*cols) > 0 if len(cols) > 1 else F.col(cols[0]) > 0)).join(labels.select("series_id", "t", "label"), ["series_id", "t"])
+    fits = logistic_models(train, {"families": cols}, "label", ["series_id"], keep, c).where("n >= 20").select("series_id", "weights")
+    j = fam.join(fits, "series_id", "left").withColumn("weights", F.coalesce("weights", F.array(*[F.lit(1.0 / len(cols))] * len(cols), F.lit(0.0))))
+    fused = F.element_at("weights", -1)
+    for i, x in enumerate(cols):  # logistic_models orders weights by column name
+        fused = fused + F.col(x) * F.element_at("weights", sorted(cols).index(x) + 1)
+    return expanding_z(j.withColumn("fused", fused).select(*ROW, "fused"), "fused", roll=roll, min_expanding=min_expanding)
+
+
 def softmax_attention(scores: DataFrame) -> DataFrame:
     """Channels weighted by softmax of |score| within the row."""
     w = Window.partitionBy(*ROW)

@@ -172,27 +172,6 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*cols)))
 
 
-def held_out_forest(df: DataFrame, cols: list[str], events: list[str], trees: int = 50, depth: int = 6) -> DataFrame:
-    """event_id, series_id, t, p: random forests trained without one event's rows each (df has event_id, null outside events), scoring all rows.
-
-    A training set of one class scores 0.
-    """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    x = _assembled(df.dropna(subset=cols), cols).withColumn("label", F.col("event_id").isNotNull().cast("double")).cache()
-    out = None
-    for held in events:
-        train = x.where(F.col("event_id").isNull() | (F.col("event_id") != held))
-        if train.select("label").distinct().count() < 2:
-            got = x.select(F.lit(held).alias("event"), "series_id", "t", F.lit(0.0).alias("p"))
-        else:
-            model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=1).fit(train)
-            got = model.transform(x).select(F.lit(held).alias("event"), "series_id", "t", vector_to_array("probability")[1].alias("p"))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 def logistic_stacking(df: DataFrame, cols: list[str], label: str, train_rows: int, c: float = 0.1) -> DataFrame:
     """p of an L2 logistic model of score columns fitted on rows t < train_rows; equal weights with too few rows or one class."""
     from pyspark.ml.classification import LogisticRegression
@@ -217,20 +196,94 @@ def boosted_stacking(df: DataFrame, cols: list[str], label: str, train_rows: int
     return model.transform(x).withColumn("p", vector_to_array("probability")[1]).drop("features", "label", "rawPrediction", "probability", "prediction")
 
 
-def regime_adaptive(scores: DataFrame, target: DataFrame, clusters: int = 3, train_rows: int = 252) -> DataFrame:
-    """Per-cluster ridge weights of channels: k-means of rows' (spread, mean, largest) on the first rows, weights |coefficient| by grouped normal equations."""
-    from pyspark.ml.clustering import KMeans
-
-    meta = scores.where("score is not null").groupBy("series_id", "ts", "t").agg(F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("a"), F.avg("score").alias("b"), F.max("score").alias("c"))
-    x = _assembled(meta, ["a", "b", "c"])
-    model = KMeans(k=clusters, seed=1).fit(x.where(F.col("t") < train_rows))
-    lab = model.transform(x).select("series_id", "t", F.col("prediction").alias("cluster"))
-    s = scores.where("score is not null").join(lab, ["series_id", "t"])
-    train = s.join(target, ["series_id", "t"]).where((F.col("t") < train_rows) & F.col("target").isNotNull())
-    # one regressor a channel on its own standard scale: ridge in closed form from grouped sums
-    w = train.groupBy("cluster", "method").agg((F.abs(F.sum(F.col("score") * F.col("target"))) / (F.sum(F.col("score") * F.col("score")) + 1.0)).alias("w"))
-    j = s.join(w, ["cluster", "method"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    return j.groupBy("series_id", "ts", "t").agg((F.sum(F.col("w") * F.col("score")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("fused"))
+def k_means(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int = 42) -> np.ndarray:
+    """Centres of least total squared distance over several seeded starts, each centre begun far from those before."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))]])
+        for _ in range(rounds):
+            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            moved = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+            if np.allclose(moved, c, rtol=0, atol=1e-12):
+                break
+            c = moved
+        cost = ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+        if best is None or cost < best[0] - 1e-12:
+            best = (cost, c)
+    return best[1]
+
+
+def ridge_shares(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Absolute ridge coefficients of all columns together (free intercept), as shares; equal ones when all are 0."""
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.abs(np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc))
+    return w / w.sum() if w.sum() > 1e-12 else np.full(len(w), 1 / len(w))
+
+
+def regime_adaptive(scores: DataFrame, labels: DataFrame, methods: list[str], clusters: int = 3, least: int = 252, every: int = 63, roll: int = 15, min_expanding: int = 60, keep_rows: int = 4096) -> DataFrame:
+    """series_id, ts, t, regime, fused, score: channels weighted by what they told in the row's regime so far.
+
+    Refits come at rows least, least + every, ... of a series. Each clusters the rows before it by five
+    features of a row's channels (deviation, largest absolute value, share above 1, deviation averaged over 20
+    rows, mean absolute value; nulls count 0, but for the deviation) and fits labels (series_id, t,
+    label) on all channels of each cluster by ridge; shares of absolute coefficients are its weights.
+    A cluster with under 20 rows or one label, and a refit with under ten usable rows a cluster, weighs
+    channels alike. A refit learns from at most keep_rows rows before it, those of least hash: a
+    bounded group, the whole past of a series that is not longer. Rows take the last refit before them (as-of
+    join); rows before the first are null. score is the smoothed z-score.
+    """
+    import pyarrow as pa
+
+    from tidewatch.functions.windows import last_n
+
+    from .joins import asof
+
+    wide = scores.groupBy("series_id", "ts", "t").pivot("method", methods).agg(F.max("score"))
+    known = F.array_compact(F.array(*[F.col(f"`{m}`") for m in methods]))
+    zero = F.array(*[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)) for m in methods])
+    d = len(methods)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    mean = total(known) / F.size(known)
+    spread = F.when(F.size(known) > 0, F.sqrt(total(F.transform(known, lambda v: F.pow(v - mean, 2))) / F.size(known)))
+    x = wide.select("series_id", "ts", "t", zero.alias("x"), spread.alias("_sd"))
+    size = F.transform("x", F.abs)
+    meta = F.array("_sd", F.array_max(size), F.size(F.filter("x", lambda v: v > 1.0)) / F.lit(float(d)), F.avg("_sd").over(last_n(ordered(), 20)), total(size) / d)
+    x = x.withColumn("meta", F.when(F.col("_sd").isNotNull(), meta)).drop("_sd")
+    learn = x.join(labels.select("series_id", "t", F.col("label").cast("double").alias("label")), ["series_id", "t"], "left")
+    learn = learn.withColumn("_last", F.floor((F.max("t").over(Window.partitionBy("series_id")) - least) / every)).withColumn("_first", F.greatest(F.lit(0), F.floor((F.col("t") - least) / every) + 1))
+    learn = learn.where("_first <= _last").withColumn("_k", F.explode(F.sequence("_first", "_last")))
+    place = F.row_number().over(Window.partitionBy("series_id", "_k").orderBy(F.xxhash64("t"), "t"))
+    learn = learn.withColumn("_n", place).where(F.col("_n") <= keep_rows).select("series_id", (least + F.col("_k") * every).cast("long").alias("refit_t"), "t", "x", "meta", "label")
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        xs, ms, y = np.array(table.column("x").to_pylist(), float), table.column("meta").to_pylist(), table.column("label").to_numpy(zero_copy_only=False).astype(float)
+        ok = np.array([m is not None and any(v != 0 for v in m) for m in ms], bool)
+        centres, weights = np.zeros((0, 5)), np.full((1, d), 1 / d)
+        if ok.sum() >= clusters * 10:
+            m = np.array([v for v, k in zip(ms, ok) if k], float)
+            centres = k_means(m, clusters)
+            near = ((m[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            weights = np.full((clusters, d), 1 / d)
+            for r in range(clusters):
+                xr, yr = xs[ok][near == r], y[ok][near == r]
+                xr, yr = xr[~np.isnan(yr)], yr[~np.isnan(yr)]
+                if len(yr) >= 20 and yr.min() < yr.max():
+                    weights[r] = ridge_shares(xr, yr)
+        head = table.select(["series_id", "refit_t"]).slice(0, 1)
+        return pa.table({"series_id": head.column(0), "refit_t": head.column(1), "centres": [centres.tolist()], "weights": [weights.tolist()]}, schema=pa.schema([("series_id", pa.string()), ("refit_t", pa.int64()), ("centres", pa.list_(pa.list_(pa.float64()))), ("weights", pa.list_(pa.list_(pa.float64())))]))
+
+    fits = learn.groupBy("series_id", "refit_t").applyInArrow(fit, "series_id string, refit_t long, centres array<array<double>>, weights array<array<double>>")
+    j = asof(x, fits, "refit_t", ["centres", "weights"], strict=True)
+    far = lambda c: total(F.zip_with(c, "meta", lambda a, b: (a - b) * (a - b)))
+    spans = F.transform("centres", far)
+    regime = F.when((F.size("centres") > 0) & F.col("meta").isNotNull(), F.array_position(spans, F.array_min(spans)).cast("int") - 1).otherwise(0)
+    j = j.withColumn("regime", F.when(F.col("weights").isNotNull(), regime))
+    j = j.withColumn("fused", F.when(F.col("weights").isNotNull(), total(F.zip_with(F.element_at("weights", F.col("regime") + 1), "x", lambda w, v: w * v))))
+    return expanding_z(j.select("series_id", "ts", "t", "regime", "fused"), "fused", roll=roll, min_expanding=min_expanding)
 
 
 def mahalanobis(df: DataFrame, least: int = 0) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features as f
+from tidewatch.operators import forests
 from tidewatch.operators import models as m
-from tidewatch.operators.joins import event_members, union_label
+from tidewatch.operators.fusion import hierarchical_learned
+from tidewatch.operators.joins import align_exogenous, event_members, union_label
 from tidewatch.sources import panels as p
+from tidewatch.sources.results import kept_table
 
 from .evaluation import METHODS, panel_scores, wide
 from .features import RET, S, W, returns, roll, std, vectors
@@ -49,7 +52,24 @@ rows_only("d16_sinkhorn", lambda s, d: keep(m.sinkhorn(returns(s, d)), "score"))
 def _(spark, sf):
     x = returns(spark, sf).withColumns({"vol20": f.rolling_std("ret", 20), "mom20": f.momentum("close", 20)})
     ev = event_members(p.weekly(spark, sf), p.events_dim(spark)).select("series_id", "t", "event_id")
-    return rounded(m.held_out_forest(x.join(ev, ["series_id", "t"], "left"), ["vol20", "mom20"], [event[0] for event in p.EVENTS], trees=200))
+    x = x.join(ev, ["series_id", "t"], "left").withColumn("x", F.array("vol20", "mom20")).where("vol20 is not null and mom20 is not null")
+    return rounded(forests.held_out_forest(x, "x", F.col("event_id").isNotNull(), "event_id", [event[0] for event in p.EVENTS]))
+
+
+@query("m19_held_out_series")
+def _(spark, sf):
+    """Event weeks told from covariates by forests that never saw the series."""
+    x = returns(spark, sf).select("series_id", "ts", "t", F.array(f.rolling_std("ret", 20), f.momentum("close", 20), f.rolling_std("ret", 5)).alias("x"))
+    names = [r.r_name for r in p.table(spark, sf, "region").select("r_name").orderBy("r_name").collect()]  # a fixed handful
+    return rounded(forests.held_out_forest(union_label(x, p.events_dim(spark)), "x", "inside", "series_id", names).where(F.col("event") == F.col("series_id")))
+
+
+@query("m10_rolling_forest")
+def _(spark, sf):
+    """Is the exogenous level high? Trees on the trailing 250 rows, refitted every 21."""
+    daily = align_exogenous(returns(spark, sf, p.daily), p.exogenous(spark, sf), fill=True)
+    x = daily.withColumn("x", F.array(f.rolling_std("ret", 20), f.momentum("close", 20), F.col("ret"), f.rolling_std("ret", 5)))
+    return rounded(forests.rolling_forest(x, "x", "value", 5.0))
 
 
 def labelled(spark, sf):
@@ -61,7 +81,17 @@ rows_only("m11_logistic_stacking", lambda s, d: keep(m.logistic_stacking(labelle
 rows_only("m18_boosted_stacking", lambda s, d: keep(m.boosted_stacking(labelled(s, d), ["a", "b", "c"], "inside", 200, 3), "p"))
 
 
+def event_labels(spark, sf):
+    return union_label(p.weekly(spark, sf), p.events_dim(spark)).select("series_id", "t", F.col("inside").alias("label"))
+
+
 @query("m12_regime_adaptive")
 def _(spark, sf):
-    target = returns(spark, sf).select("series_id", "t", f.rolling_std("ret", 20).alias("target"))
-    return rounded(m.regime_adaptive(panel_scores(spark, sf), target))
+    return rounded(m.regime_adaptive(panel_scores(spark, sf), event_labels(spark, sf), list(METHODS)))
+
+
+@query("f4_learned_families")
+def _(spark, sf):
+    from .fusion import FAM
+
+    return rounded(hierarchical_learned(panel_scores(spark, sf), FAM, event_labels(spark, sf), 250, kept_table(spark)))
