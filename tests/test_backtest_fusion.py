@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.sources.results import kept_table
 from tidewatch.operators import backtest as b
 from tidewatch.operators import fusion, models
 
@@ -136,9 +137,53 @@ def test_hidden_regimes_find_the_volatile_stretch(spark, ar):
 
 def test_garch_follows_volatility(spark):
     df = series(spark, "ret", regimes())
-    fits = models.garch_grid(df)
+    fits = models.garch_fit(df, kept_table(spark))
     s = np.array(column(models.garch_vol(df, fits), "sigma"), float)
-    assert s[170:250].mean() > 2 * s[100:150].mean() and 0 < fits.first().alpha < 1
+    f = fits.first()
+    assert s[170:250].mean() > 2 * s[100:150].mean() and 0 < f.alpha < 1
+    r = np.array([v for v in column(df, "ret") if v is not None])
+    r = r - r.mean()
+
+    def nll(omega, alpha, beta):
+        v, total = r.var(), 0.0
+        for x in r:
+            total += 0.5 * (np.log(v) + x * x / v)
+            v = omega + alpha * x * x + beta * v
+        return total
+
+    assert f.nll == pytest.approx(nll(f.omega, f.alpha, f.beta), rel=1e-9)
+    # no nearby parameters, and none of a wide grid, are likelier
+    near = [nll(f.omega * a, f.alpha * b, f.beta * c) for a in (0.97, 1, 1.03) for b in (0.97, 1, 1.03) for c in (0.995, 1, 1.005) if f.alpha * b + f.beta * c < 1]
+    wide = [nll(r.var() * (1 - a - b), a, b) for a in np.linspace(0.02, 0.6, 9) for b in np.linspace(0.1, 0.95, 9) if a + b < 1]
+    assert f.nll < min(near) + 0.01 and f.nll < min(wide) + 1e-6
+    few = models.garch_fit(df.where("t < 30"), kept_table(spark)).first()
+    assert (few.alpha, few.beta, few.omega, few.nll) == (0.06, 0.94, 0.0, None)
+
+
+def test_turbulence_of_any_number_of_features(spark):
+    x = np.random.default_rng(8).normal(size=(90, 3))
+    df = spark.createDataFrame([("a", i, None if i == 4 else [None, 1.0, 2.0] if i == 5 else v.tolist()) for i, v in enumerate(x)], "series_id string, t long, x array<double>")
+    got = column(models.turbulence(df), "turbulence")
+    assert got[:60] == [None] * 60
+    past = np.delete(x[:81], [4, 5], axis=0)
+    z = x[80] - past.mean(0)
+    assert got[80] == pytest.approx(np.sqrt(z @ np.linalg.inv(np.cov(past.T, ddof=0) + 1e-6 * np.eye(3)) @ z))
+
+
+def test_network_score_takes_the_middle_of_even_counts(spark):
+    from tidewatch.operators.networks import h0_persistence
+
+    rng = np.random.default_rng(3)
+    rows = [(s, w, w * 100 + d, float(v)) for w in range(8) for d in range(12) for s, v in zip("abc", rng.normal(size=3))]
+    got = h0_persistence(spark.createDataFrame(rows, "series_id string, w int, ts int, x double"), "w", "x").orderBy("w").collect()
+    total = [r.total for r in got]
+    for k, r in enumerate(got):
+        past = np.array(total[:k])
+        if k < 4:
+            assert r.score is None
+        else:
+            m = np.median(past)
+            assert r.score == pytest.approx(-(total[k] - m) / (1.4826 * np.median(np.abs(past - m))))
 
 
 def run_lengths_by_loops(v, hazard=1 / 250, cap=500):

@@ -81,34 +81,100 @@ def hidden_regimes(df: DataFrame, x: str = "ret", ar: bool = False) -> DataFrame
     return _series(lambda v: hmm2(v, ar), df, x, "p_high")
 
 
-def garch_grid(df: DataFrame, x: str = "ret") -> DataFrame:
-    """series_id, alpha, beta, omega, nll: GARCH(1,1) of least negative log-likelihood over a parameter grid, variance targeted."""
-    grid = [(a / 100, b / 100) for a in (2, 5, 8, 12, 18, 25) for b in (60, 70, 80, 86, 90, 94) if a + b < 100]
+#: Centre and half-widths of the first search (see garch_candidates), and places tried on each side.
+_GARCH_START = ((-2.3, 0.3, -3.0), (2.2, 0.29, 3.0), 3)
+
+
+def garch_candidates(centre: np.ndarray, width: np.ndarray, side: int = 2) -> np.ndarray:
+    """Points (log of 1 less the persistence, share of alpha in it, log of omega in variances) of a grid around a centre, inside their bounds."""
+    steps = np.linspace(-1, 1, 2 * side + 1)
+    grid = np.stack(np.meshgrid(steps, steps, steps, indexing="ij"), -1).reshape(-1, 3)
+    return np.clip(centre + grid * width, (-9.0, 1e-4, -16.0), (-1e-3, 0.9999, 2.0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        r = pdf[x].dropna().to_numpy(float)
-        a, b = np.array(grid).T
-        var = max(r.var(), 1e-18)
-        omega = var * (1 - a - b)
-        s, nll = np.full(len(a), var), np.zeros(len(a))
-        for v in r:
-            nll += 0.5 * (np.log(s) + v * v / s)
-            s = omega + a * v * v + b * s
-        k = int(nll.argmin())
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "alpha": [a[k]], "beta": [b[k]], "omega": [omega[k]], "nll": [nll[k]]})
 
-    return df.select("series_id", "t", x).groupBy("series_id").applyInPandas(run, "series_id string, alpha double, beta double, omega double, nll double")
+def garch_fit(df: DataFrame, keep, x: str = "ret", rounds: int = 14, least: int = 50) -> DataFrame:
+    """series_id, alpha, beta, omega, mean, nll: GARCH(1,1) of greatest Gaussian likelihood for every series, around its mean.
+
+    Each round tries a grid of parameters for all series in one pass: a series' rows stream in time
+    order through one task, with one variance a candidate for its state. The grid of the next round
+    lies around the best candidate and is half as wide, unless the best lay in the grid's outer part.
+    A series with fewer than `least` values has the decay of an EWMA (omega 0, alpha 0.06, beta 0.94)
+    and a null nll. Null values are left out. `keep` writes a table and reads it back.
+    """
+    centre, width, side = _GARCH_START
+    pairs = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    rows = df.where(F.col(x).isNotNull()).select("series_id", "t", F.col(x).cast("double").alias("r"))
+    stats = rows.groupBy("series_id").agg(F.avg("r").alias("mean"), F.greatest(F.var_pop("r"), F.lit(1e-18)).alias("var"), F.count(F.lit(1)).alias("n"))
+    rows = keep(rows.join(stats.where(F.col("n") >= least), "series_id").select("series_id", "t", (F.col("r") - F.col("mean")).alias("r"), "var"))
+    fits = keep(stats.withColumn("centre", pairs(centre)).withColumn("width", pairs(width)).withColumn("nll", F.lit(None).cast("double")))
+
+    def params(at: np.ndarray, var: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, share = 1 - np.exp(at[:, 0]), at[:, 1]
+        return var * np.exp(at[:, 2]), p * share, p * (1 - share)
+
+    def search(n_side: int):
+        def run(batches):
+            held = None
+
+            def close():
+                at, width_, nll = held["at"], held["width"], held["nll"]
+                best = at[int(nll.argmin())]
+                moved = np.abs(best - held["centre"]) > width_ * 0.51
+                return (held["key"], best.tolist(), (width_ if moved.any() and n_side == 2 else width_ / 2).tolist(), float(nll.min()))
+
+            def batch_of(out):
+                return pd.DataFrame(out, columns=["series_id", "centre", "width", "nll"])
+
+            for pdf in batches:
+                out = []
+                for key, r, var, c, w in zip(pdf["series_id"], pdf["r"], pdf["var"], pdf["centre"], pdf["width"]):
+                    if held is None or key != held["key"]:
+                        if held is not None:
+                            out.append(close())
+                        at = garch_candidates(np.asarray(c), np.asarray(w), n_side)
+                        omega, alpha, beta = params(at, var)
+                        held = {"key": key, "at": at, "width": np.asarray(w), "centre": np.asarray(c), "p": (omega, alpha, beta), "s": np.full(len(at), var), "nll": np.zeros(len(at))}
+                    omega, alpha, beta = held["p"]
+                    s = held["s"]
+                    held["nll"] += 0.5 * (np.log(s) + r * r / s)
+                    held["s"] = omega + alpha * (r * r) + beta * s
+                if out:
+                    yield batch_of(out)
+            if held is not None:
+                yield batch_of([close()])
+
+        return run
+
+    schema = "series_id string, centre array<double>, width array<double>, nll double"
+    for k in range(rounds):
+        at = rows.join(fits.select("series_id", "centre", "width"), "series_id").repartition("series_id").sortWithinPartitions("series_id", "t")
+        found = at.mapInPandas(search(side if k == 0 else 2), schema)
+        fits = keep(stats.join(found, "series_id", "left"))
+    p, share, scale = 1 - F.exp(F.element_at("centre", 1)), F.element_at("centre", 2), F.exp(F.element_at("centre", 3))
+    ok = F.col("nll").isNotNull()
+    return fits.select(
+        "series_id", F.when(ok, p * share).otherwise(0.06).alias("alpha"), F.when(ok, p * (1 - share)).otherwise(0.94).alias("beta"),
+        F.when(ok, F.col("var") * scale).otherwise(0.0).alias("omega"), "mean", "nll",
+    )
 
 
 def garch_vol(df: DataFrame, fits: DataFrame, x: str = "ret", min_expanding: int = 60) -> DataFrame:
-    """Conditional deviation of fitted parameters by an ordered fold, and its positive z."""
-    seq = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce(x, F.lit(0.0)).alias("r")))).alias("q"), F.var_pop(x).alias("v")).join(fits, "series_id")
-    kind = "array<struct<t:bigint,s:double>>"
-    start = F.struct(F.col("v").alias("s"), F.array().cast(kind).alias("out"))
-    go = lambda a, r: F.struct((F.col("omega") + F.col("alpha") * r["r"] * r["r"] + F.col("beta") * a["s"]).alias("s"), F.concat(a["out"], F.array(F.struct(r["t"].alias("t"), a["s"].alias("s")))).alias("out"))
-    s = seq.select("series_id", F.explode(F.aggregate("q", start, go, lambda a: a["out"])).alias("e")).select("series_id", "e.t", F.sqrt("e.s").alias("sigma"))
-    return expanding_z(df.join(s, ["series_id", "t"]), "sigma", roll=1, min_expanding=min_expanding, form="positive")
+    """sigma, the conditional deviation of fitted parameters before each row, by an ordered fold; and its positive z. A null value counts as the mean."""
+    from tidewatch.functions.folds import ordered_fold
+
+    start = df.groupBy("series_id").agg(F.greatest(F.var_pop(x), F.lit(1e-18)).alias("_v"))
+    rows = df.join(fits.select("series_id", "alpha", "beta", "omega", F.col("mean").alias("_mean")), "series_id").join(start, "series_id")
+    rows = rows.withColumn("_r", F.coalesce(F.col(x) - F.col("_mean"), F.lit(0.0)))
+
+    def step(state, row):
+        r, alpha, beta, omega, var = row
+        s = var if state[0] is None else state[0]
+        if s is None:
+            return (None,), (None,)
+        return (omega + alpha * r * r + beta * s,), (s**0.5,)
+
+    out = ordered_fold(rows, ["_r", "alpha", "beta", "omega", "_v"], lambda: (None,), step, "sigma double").drop("_r", "_v", "_mean", "alpha", "beta", "omega")
+    return expanding_z(out, "sigma", roll=1, min_expanding=min_expanding, form="positive")
 
 
 def isolation_scores(df: DataFrame, x: str = "x", trees: int = 100, sample: int = 256, seed: int = 1) -> DataFrame:
@@ -286,10 +352,10 @@ def regime_adaptive(scores: DataFrame, labels: DataFrame, methods: list[str], cl
     return expanding_z(j.select("series_id", "ts", "t", "regime", "fused"), "fused", roll=roll, min_expanding=min_expanding)
 
 
-def mahalanobis(df: DataFrame, least: int = 0) -> DataFrame:
-    """series_id, ts, t, d2: squared distance to the mean of all rows so far (the row included, 1e-6 added to the diagonal), from d + 2 rows on.
+def mahalanobis(df: DataFrame, least: int = 0, ddof: int = 1, ridge: float = 1e-6) -> DataFrame:
+    """series_id, ts, t, d2: squared distance to the mean of all rows so far (the row included, ridge added to the diagonal), from d + 2 rows on.
 
-    Running sums by component pair come from windows; a batch job inverts the small matrices.
+    Running sums by component pair come from blocked windows; a batch's systems are solved together.
     """
     from .features import prefix_moments
 
@@ -299,24 +365,42 @@ def mahalanobis(df: DataFrame, least: int = 0) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            out = []
-            for v, p in zip(pdf["x"], pdf["p"]):
-                d, n = len(v), p[0]["n"]
-                if n < max(d + 2, least):
-                    out.append(None)
+            out, size = np.full(len(pdf), np.nan), pdf["x"].map(len).to_numpy()
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                p = np.array([[(e["n"], e["sx"], e["sy"], e["sxy"]) for e in row] for row in pdf["p"].iloc[at]], float)
+                if p.shape[1] != d * (d + 1) // 2:
                     continue
-                cov, mean = np.zeros((d, d)), np.zeros(d)
-                for e in p:
-                    cov[e["i"], e["j"]] = cov[e["j"], e["i"]] = (e["sxy"] - e["sx"] * e["sy"] / n) / (n - 1)
-                    if e["i"] == e["j"]:
-                        mean[e["i"]] = e["sx"] / n
-                z = np.asarray(v) - mean
-                out.append(float(z @ np.linalg.solve(cov + 1e-6 * np.eye(d), z)))
-            yield pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"], "d2": pd.Series(out, dtype=object)})
+                i, j = np.triu_indices(d)
+                n = p[:, 0, 0]
+                ok = n >= max(d + 2, least)
+                at, p, n = at[ok], p[ok], n[ok]
+                if not len(at):
+                    continue
+                cov = np.zeros((len(at), d, d))
+                cov[:, i, j] = cov[:, j, i] = (p[:, :, 3] - p[:, :, 1] * p[:, :, 2] / n[:, None]) / (n[:, None] - ddof)
+                mean = p[:, i == j, 1] / n[:, None]
+                z = np.stack([np.asarray(v, float) for v in pdf["x"].iloc[at]]) - mean
+                out[at] = np.einsum("ti,ti->t", z, np.linalg.solve(cov + ridge * np.eye(d), z[:, :, None])[:, :, 0])
+            yield pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"], "d2": pd.Series([None if np.isnan(v) else float(v) for v in out], dtype=object)})
 
     return x.mapInPandas(run, "series_id string, t long, d2 double")
 
 
+def turbulence(df: DataFrame, min_expanding: int = 60, ridge: float = 1e-6) -> DataFrame:
+    """series_id, t, turbulence, score: Mahalanobis distance of a row's vector x, of any length, from all whole rows up to it; absolute z.
+
+    Rows with a null component have none and don't count.
+    """
+    whole = df.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    place = (F.row_number().over(ordered()) - 1).cast("long")
+    numbered = whole.select("series_id", F.col("t").alias("_t"), "x", place.alias("_n")).withColumnRenamed("_n", "t")
+    d2 = mahalanobis(numbered.select("series_id", "t", "x"), ddof=0, ridge=ridge).join(numbered.select("series_id", "t", "_t"), ["series_id", "t"])
+    out = df.select("series_id", "t").join(d2.select("series_id", F.col("_t").alias("t"), "d2"), ["series_id", "t"], "left")
+    out = out.withColumn("turbulence", F.when((F.col("t") >= min_expanding) & F.col("d2").isNotNull(), F.sqrt(F.greatest("d2", F.lit(0.0)))))
+    return expanding_z(out.drop("d2"), "turbulence", roll=1, form="abs", min_expanding=min_expanding)
+
+
 def absorption_ratio(df: DataFrame, window: int = 120, top: int = 1, x: str = "ret") -> DataFrame:
     """ts, ratio: share of the largest eigenvalues of the series' rolling correlation matrix, on dates common to all."""
     from .features import common_dates, renumbered
@@ -332,11 +416,12 @@ def absorption_ratio(df: DataFrame, window: int = 120, top: int = 1, x: str = "r
 
     def run(it):
         for pdf in it:
-            out = []
-            for p in pdf["p"]:
-                k = int(round(len(p) ** 0.5))
-                e = np.linalg.eigvalsh(np.nan_to_num(np.array([q["r"] if q["r"] is not None else 0.0 for q in p]).reshape(k, k)))[::-1]
-                out.append(float(e[:top].sum() / max(e.sum(), 1e-12)))
+            out, size = np.zeros(len(pdf)), pdf["p"].map(len).to_numpy()
+            for n in np.unique(size):
+                at, k = np.flatnonzero(size == n), int(round(n**0.5))
+                r = np.array([[0.0 if q["r"] is None else q["r"] for q in p] for p in pdf["p"].iloc[at]]).reshape(-1, k, k)
+                e = np.linalg.eigvalsh(np.nan_to_num(r))
+                out[at] = e[:, k - top :].sum(1) / np.maximum(e.sum(1), 1e-12)
             yield pdf[["ts"]].assign(ratio=out)
 
     return packs.mapInPandas(run, f"ts {dict(df.dtypes)['ts']}, ratio double")

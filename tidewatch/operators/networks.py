@@ -43,7 +43,8 @@ def h0_persistence(df: DataFrame, window: str, x: str) -> DataFrame:
     g = pair_distances(df, window, x).groupBy(window).applyInArrow(tree, f"{window} {kind}, total double")
     past = Window.partitionBy(F.lit(0)).orderBy(window).rowsBetween(Window.unboundedPreceding, -1)  # one row a window
     g = g.withColumn("_v", F.collect_list("total").over(past))
-    median = lambda c: F.element_at(F.array_sort(c), (F.floor(F.size(c) / 2) + 1).cast("int"))
+    place = lambda c, k: F.element_at(F.array_sort(c), (F.floor((F.size(c) + k) / 2)).cast("int"))
+    median = lambda c: (place(c, 1) + place(c, 2)) / 2
     g = g.withColumn("_m", F.when(F.size("_v") >= 4, median(F.col("_v"))))
     mad = 1.4826 * median(F.transform("_v", lambda t: F.abs(t - F.col("_m"))))
     return g.withColumn("score", F.when(F.col("_m").isNotNull(), F.when(mad > 1e-12, -(F.col("total") - F.col("_m")) / mad).otherwise(0.0))).drop("_v", "_m")

@@ -312,6 +312,7 @@ def rows_only(name, f):
 # Replicates by default as in the operators; the SQL gate runs every query, so the registered counts are 200 over all cells.
 rows_only("e5_bootstrap_ci", lambda s, d: e.bootstrap_ci(cells(s, d)))
 rows_only("e7_welch_p", lambda s, d: e.welch_t(moments(s, d)).select("series_id", "method", "event_id", "t", "df", "p"))
+rows_only("e8_adjusted_welch", lambda s, d: e.benjamini_hochberg(e.holm(e.welch_t(moments(s, d)).where("p is not null").select("series_id", "method", "event_id", "p"), "p", ["series_id"]), "p", ["series_id"]))
 rows_only("e9_permutation_test", lambda s, d: e.permutation_test(cells(s, d)))
 
 

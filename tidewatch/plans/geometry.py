@@ -106,11 +106,47 @@ def _(spark, sf):
 
 @query("x_embedding_vectors")
 def _(spark, sf):
-    """The vector table embedded: each vector as a point of eight parameters, the means of eighths of its components, by label."""
+    """The vector table embedded: each vector as a point of eight parameters, the means of eighths of its components (all of them, whatever their number), by label."""
     from tidewatch.sources import panels as p
 
     v = F.col("embedding").cast("array<double>")
-    mean = lambda k: F.aggregate(F.slice(v, F.floor(F.size(v) * k / 8).cast("int") + 1, F.floor(F.size(v) / 8).cast("int")), F.lit(0.0), lambda s, x: s + x)
-    e = p.table(spark, sf, "embeddings").select("vec_id", "label", F.array(*[mean(k) for k in range(8)]).alias("x"))
+    cut = lambda k: F.floor(F.size(v) * k / 8).cast("int")
+    part = lambda k: F.slice(v, cut(k) + 1, cut(k + 1) - cut(k))
+    mean = lambda k: F.when(cut(k + 1) > cut(k), F.aggregate(part(k), F.lit(0.0), lambda s, x: s + x) / (cut(k + 1) - cut(k))).otherwise(0.0)
+    e = p.table(spark, sf, "embeddings").select("vec_id", "label", F.when(v.isNotNull(), F.array(*[mean(k) for k in range(8)])).alias("x"))
     out = g.spectral_embed(e, g.basis("random", 4, 8))
     return rounded(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(g.gap()).alias("gap"), F.avg(g.norm("f")).alias("curvature")))
+
+
+SWEPT = ("berry_rate", "inverse_gap", "metric_trace")
+
+
+def swept(spark, sf, variants):
+    """variant, method, series_id, event_id, d of observables for each operator basis; the projected rows are written once."""
+    from tidewatch.operators import evaluate as e
+    from tidewatch.sources import panels as p
+    from tidewatch.sources.results import kept_table
+
+    x, out = kept_table(spark)(projected(spark, sf)), None
+    for name, ops in variants.items():
+        s = g.observable_scores(g.spectral_embed(x, ops), list(SWEPT)).withColumn("method", F.concat(F.lit(f"{name}/"), "method"))
+        out = s if out is None else out.unionByName(s)
+    d = e.cohens_d(e.group_moments(out, p.events_dim(spark)))
+    return d.select(F.split_part("method", F.lit("/"), F.lit(1)).alias("variant"), F.split_part("method", F.lit("/"), F.lit(2)).alias("method"), "series_id", "event_id", "d")
+
+
+@query("x22_dimension_sweep")
+def _(spark, sf):
+    """Median effect of each observable by the dimension of the state space."""
+    d = swept(spark, sf, {str(n): g.basis("random", n, COMPONENTS) for n in (2, 4, 8, 16)})
+    return rounded(d.groupBy(F.col("variant").cast("int").alias("dim"), "method").agg(F.percentile("d", F.lit(0.5)).alias("median_d"), F.count("d").alias("n")))
+
+
+@query("e29_seed_robustness")
+def _(spark, sf):
+    """How far the median effect of each observable moves with the seed of a random basis, and with the kind of basis."""
+    variants = {f"random{seed}": g.basis("random", DIM, COMPONENTS, seed=100 * seed) for seed in range(5)} | {kind: g.basis(kind, DIM, COMPONENTS) for kind in ("pauli", "gell_mann")}
+    d = swept(spark, sf, variants).groupBy("variant", "method").agg(F.percentile("d", F.lit(0.5)).alias("median_d"))
+    kind = F.when(F.col("variant").startswith("random"), "random").otherwise(F.col("variant"))
+    g_ = d.groupBy(kind.alias("basis"), "method").agg(F.count(F.lit(1)).alias("n"), F.avg("median_d").alias("mean"), F.min("median_d").alias("least"), F.max("median_d").alias("most"), F.coalesce(F.stddev_samp("median_d"), F.lit(0.0)).alias("deviation"))
+    return rounded(g_)

@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query("x12_network_persistence")
 def _(spark, sf):
-    """Regions' daily orders: the weight of the correlation network's minimum spanning tree, by month."""
+    """Regions' daily orders: the weight of the correlation network's minimum spanning tree, by quarter."""
     from tidewatch.operators.networks import h0_persistence
 
     return rounded(h0_persistence(p.sparse(spark, sf).withColumn("window", F.trunc("ts", "quarter")), "window", "close"))
