@@ -32,6 +32,8 @@ POINTS, DOCS = 1 << 19, 1 << 16
 PIECE = 1 << 20
 #: Bytes of items' terms in one block of queries, which the driver and every task hold.
 ITEM_BYTES = 16 << 20
+#: One shard in so many is searched first; what it finds bounds the search of the others.
+SCOUTS = 8
 #: Ranges that a search opens together, and cells after which it takes no further range.
 RANGES, CELLS = 128, 16384
 
@@ -301,15 +303,22 @@ def search_index(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     blocks = (asked.agg(F.sum("_bytes")).first()[0] or 0) // ITEM_BYTES + 1
     asked = asked.withColumn("_block", F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks)))
     out = None
-    for b in range(blocks):  # a block's bytes are bounded: it goes to every task
-        part = _searched(index, asked.where(F.col("_block") == b).drop("_bytes", "_block").toArrow(), b, k, items.schema["item_id"].dataType.simpleString())
-        out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("_item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+    id_type = items.schema["item_id"].dataType.simpleString()
+    scout = F.pmod(F.xxhash64("doc_ids"), F.lit(SCOUTS)) == 0
+    for b in range(blocks):  # a block's bytes are bounded: it goes to every task
+        part = asked.where(F.col("_block") == b).drop("_bytes", "_block").toArrow()
+        first = materialise(_searched(index.where(scout), part, b, k, id_type, {}), "treap-first")
+        # an item's k-th best so far: no document below it is among the best; one number an item
+        kth = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).select("_item", "score").toArrow()
+        floors = dict(zip(kth.column("_item").to_pylist(), kth.column("score").to_pylist()))
+        both = first.unionByName(_searched(index.where(~scout), part, b, k, id_type, floors))
+        out = both if out is None else out.unionByName(both)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def _searched(index: DataFrame, asked: pa.Table, block: int, k: int, id_type: str) -> DataFrame:
-    """_item, item_id, doc_id, score: every shard's candidates for one block of items."""
+def _searched(index: DataFrame, asked: pa.Table, block: int, k: int, id_type: str, known_floors: dict[int, int]) -> DataFrame:
+    """_item, item_id, doc_id, score: every shard's candidates for one block of items, of at least the item's floor, where it has one."""
     flat = asked.column("terms").combine_chunks()
     term, weight = flat.flatten().field("term"), flat.flatten().field("w").to_numpy(zero_copy_only=False)
     known = pc.unique(term)
@@ -317,6 +326,7 @@ def _searched(index: DataFrame, asked: pa.Table, block: int, k: int, id_type: st
     stops = np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     ids = asked.column("item_id").combine_chunks()
     n = len(ids)
+    least = [known_floors.get((block << 40) + i, 1) for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: list[list[int]] = [[] for _ in range(n)]  # the k best scores so far in this task
@@ -333,7 +343,7 @@ def _searched(index: DataFrame, asked: pa.Table, block: int, k: int, id_type: st
                 for item, (a, b) in enumerate(zip([0, *stops[:-1].tolist()], stops.tolist())):
                     here = (at[a:b] >= 0) & (weight[a:b] > 0)
                     best = floors[item]
-                    top = treap.top(at[a:b][here].astype(np.int64), weight[a:b][here], k, best[0] if len(best) == k else 1)
+                    top = treap.top(at[a:b][here].astype(np.int64), weight[a:b][here], k, max(least[item], best[0]) if len(best) == k else least[item])
                     for score, col in top:
                         (heapq.heappush if len(best) < k else heapq.heappushpop)(best, score)
                         items.append(item)
