@@ -152,3 +152,48 @@ def test_path_length_is_additive(spark):
     whole = g.path_length(spark, ops, [0.1, 0.2], [0.5, -0.3], 100).first().length
     halves = sum(g.path_length(spark, ops, a, b, 50).first().length for a, b in (([0.1, 0.2], [0.3, -0.05]), ([0.3, -0.05], [0.5, -0.3])))
     assert whole == pytest.approx(halves, rel=1e-9) and whole > 0
+
+
+def test_columns_follow_their_formulas(spark):
+    x = sample(30)
+    ops = g.basis("random", 4, 3)
+    df = rows(spark, x).withColumn("x_prev", F.lag("x").over(g.ordered()))
+    want = ("schmidt", "coherence_before", "tensor_det", "tensor_top", "husimi_entropy", "husimi_ipr")
+    e = g.spectral_embed(df, ops, want)
+    names = ["intrinsic_dimension", "dimension_rate", "gap_sharpness", "internal_energy", "specific_heat", "off_diagonal_coupling", "metric_frobenius", "renyi_half", "renyi3", "modular_variance", "discord", "entanglement", "temporal_coherence", "tensor_determinant", "tensor_largest", "tensor_norm", "husimi_participation"]
+    got = e.select("t", *[g.OBSERVABLES[n][0]().alias(n) for n in names]).orderBy("t").collect()
+    spec, v, metric, curv = g.ground(x, ops)
+    q = metric - 0.5j * curv
+
+    def dimension(w):
+        p = np.maximum(w, 0) / np.maximum(w, 0).sum()
+        p = p[p > 1e-30]
+        return np.exp(-(p * np.log(p)).sum())
+
+    for t, r in enumerate(got):
+        w = np.linalg.eigvalsh(metric[t])[::-1]
+        assert r.intrinsic_dimension == pytest.approx(dimension(w), rel=1e-6)
+        k = int(np.argmax(w[:-1] - w[1:]))
+        assert r.gap_sharpness == pytest.approx(w[k] / max(w[k + 1], 1e-15), rel=1e-4)
+        p = np.exp(-(spec[t] - spec[t][0]))
+        p /= p.sum()
+        assert r.internal_energy == pytest.approx(p @ spec[t]) and r.specific_heat == pytest.approx(p @ spec[t] ** 2 - (p @ spec[t]) ** 2, abs=1e-9)
+        assert r.off_diagonal_coupling == pytest.approx((np.abs(q[t]) ** 2)[~np.eye(3, dtype=bool)].sum()) and r.metric_frobenius == pytest.approx(np.linalg.norm(metric[t]))
+        assert r.tensor_determinant == pytest.approx(abs(np.linalg.det(q[t])), abs=1e-9) and r.tensor_largest == pytest.approx(np.linalg.svd(q[t])[1][0] ** 2) and r.tensor_norm == pytest.approx(np.linalg.norm(q[t]))
+        psi = v[t][:, 0]
+        s = np.linalg.svd(psi.reshape(2, 2))[1] ** 2
+        assert r.renyi_half == pytest.approx(2 * np.log(np.sqrt(s).sum())) and r.renyi3 == pytest.approx(-0.5 * np.log((s**3).sum())) and r.modular_variance == pytest.approx((s * np.log(s) ** 2).sum()) and r.discord == r.entanglement
+        assert 1 / 64 <= r.husimi_participation <= 1
+        if t:
+            assert r.dimension_rate == pytest.approx(abs(dimension(w) - dimension(np.linalg.eigvalsh(metric[t - 1]))), abs=1e-6)
+            c = np.linalg.eigh(g.hamiltonians(x[t - 1 : t], ops)[0])[1].conj().T @ psi
+            assert r.temporal_coherence == pytest.approx(np.abs(c).sum() ** 2 - 1)
+        else:
+            assert r.temporal_coherence is None and r.dimension_rate is None
+    psi = v[:, :, 0]
+    roll = {r.t: r.rolling_infidelity for r in g.rolling_infidelity(e, 5).collect()}
+    assert roll[4] is None and roll[20] == pytest.approx(1 - np.mean([abs(np.vdot(psi[20], psi[20 - k])) ** 2 for k in range(1, 6)]))
+    ref = {r.t: r for r in g.reference_observables(e, 10).collect()}
+    lead = np.linalg.eigh(np.einsum("ti,tj->ij", psi[:10], psi[:10].conj()) / 10)[1][:, -1]
+    lead = lead * np.conj(lead[np.abs(lead).argmax()]) / np.abs(lead).max()
+    assert ref[25].infidelity == pytest.approx(1 - abs(np.vdot(lead, psi[25])) ** 2) and ref[25].complexity == pytest.approx(np.sqrt(2) * np.arccos(np.vdot(lead, psi[25]).real))

@@ -114,6 +114,7 @@ EMBEDDED = {
 }
 EXTRA = {
     "schmidt": "array<double>", "commutator": "double", "sensitivity": "double", "ricci": "double", "sectional": "double", "geodesic_curvature": "double",
+    "coherence_before": "double", "tensor_det": "double", "tensor_top": "double", "husimi_ipr": "double",
     "husimi_entropy": "double", "loschmidt": "double", "otoc": "double", "floquet_gap": "double", "wigner_negativity": "double", "gibbs": "double",
 }
 
@@ -145,7 +146,7 @@ def spectral_embed(df: DataFrame, ops: np.ndarray, want: tuple[str, ...] = (), p
                     e, v, g, f = ground(x, ops)
                     psi = v[:, :, 0]
                     made = {"spectrum": e, "psi_re": psi.real, "psi_im": psi.imag, "g": g.reshape(len(x), -1), "f": f.reshape(len(x), -1), "g_eigs": np.linalg.eigvalsh(g)}
-                    made |= _extras(x, [[r for r, k in zip(col(c), ok) if k] if c in names else None for c in ("x_prev", "x_next")], ops, e, v, psi, want, partition, probes)
+                    made |= _extras(x, [[r for r, k in zip(col(c), ok) if k] if c in names else None for c in ("x_prev", "x_next")], ops, e, v, psi, want, partition, probes, g - 0.5j * f)
                     rows = np.flatnonzero(ok)
                     for k, values in made.items():
                         for r, val in zip(rows, values.tolist()):
@@ -155,7 +156,7 @@ def spectral_embed(df: DataFrame, ops: np.ndarray, want: tuple[str, ...] = (), p
     return df.mapInArrow(run, schema)
 
 
-def _extras(x, around, ops, e, v, psi, want, partition, probes) -> dict[str, np.ndarray]:
+def _extras(x, around, ops, e, v, psi, want, partition, probes, tensor) -> dict[str, np.ndarray]:
     made: dict[str, np.ndarray] = {}
     prev, nxt = around
     if "schmidt" in want:
@@ -175,6 +176,13 @@ def _extras(x, around, ops, e, v, psi, want, partition, probes) -> dict[str, np.
             step = lambda h: (lambda w, u: np.einsum("tij,tj,tkj->tik", u, np.exp(-1j * w), u.conj()))(*np.linalg.eigh(h))
             phases = np.sort(np.angle(np.linalg.eigvals(step(h1) @ step(h0))), 1)
             made["floquet_gap"] = np.where(has, np.diff(phases, axis=1).min(1), np.nan)
+    if "coherence_before" in want and prev is not None:  # coherence of the state in the eigenbasis of the row before
+        has = np.array([p is not None for p in prev])
+        basis_ = np.linalg.eigh(hamiltonians(np.array([p if p is not None else a for p, a in zip(prev, x)], float), ops))[1]
+        made["coherence_before"] = np.where(has, np.abs(np.einsum("tij,ti->tj", basis_.conj(), psi)).sum(1) ** 2 - 1, np.nan)
+    if "tensor_det" in want or "tensor_top" in want:
+        made["tensor_det"] = np.abs(np.linalg.det(tensor))
+        made["tensor_top"] = np.linalg.svd(tensor, compute_uv=False)[:, 0] ** 2
     if "ricci" in want or "sectional" in want:
         scalar, k = _curvature(x, ops)
         made |= {n: c for n, c in (("ricci", scalar), ("sectional", k)) if n in want}
@@ -185,10 +193,10 @@ def _extras(x, around, ops, e, v, psi, want, partition, probes) -> dict[str, np.
         vel, acc = b - a, b - 2 * x + a
         acc = acc + np.einsum("tsij,ti,tj->ts", gam, vel, vel)
         made["geodesic_curvature"] = np.where(has, np.sqrt(np.maximum(np.einsum("ti,tij,tj->t", acc, g, acc), 0)), np.nan)
-    if "husimi_entropy" in want:
+    if "husimi_entropy" in want or "husimi_ipr" in want:
         p = np.abs(psi.conj() @ probes.T) ** 2
         p = p / p.sum(1, keepdims=True)
-        made["husimi_entropy"] = -(p * np.log(p + 1e-15)).sum(1)
+        made["husimi_entropy"], made["husimi_ipr"] = -(p * np.log(p + 1e-15)).sum(1), (p * p).sum(1)
     if "loschmidt" in want:  # decay rate of |<psi| exp(iHt) exp(-i(H + dA)t) |psi>|^2 over a few times
         taus = np.array([0.5, 1.0, 1.5, 2.0])
         w, u = np.linalg.eigh(hamiltonians(x, ops) + 0.1 * ops[0])
@@ -338,7 +346,8 @@ def overlap(k: int = 1) -> tuple[Column, Column]:
 
 def fidelity(k: int = 1) -> Column:
     re, im = overlap(k)
-    return F.least(re * re + im * im, F.lit(1.0))
+    same = re * re + im * im
+    return F.when(same > 1, 1.0).otherwise(same)  # null without an earlier row
 
 
 def gap() -> Column:
@@ -377,6 +386,26 @@ def _gibbs_weights(beta: Column) -> Column:
     return F.transform("spectrum", lambda v: F.exp(-beta * (v - F.element_at("spectrum", 1))))
 
 
+def _thermal(power: int) -> Column:
+    """Mean of a power of the energy under Boltzmann weights at temperature 1."""
+    w = _gibbs_weights(F.lit(1.0))
+    return dot(w, F.transform("spectrum", lambda v: F.pow(v, power))) / _total(w)
+
+
+def _soft_dimension(eigs: Column) -> Column:
+    """exp of the entropy of the metric's eigenvalues as shares; 1 when they are all 0."""
+    return F.when(_total(eigs) > 1e-15, F.exp(_entropy(F.transform(eigs, lambda v: F.greatest(v, F.lit(0.0)))))).when(eigs.isNotNull(), 1.0)
+
+
+def _sharpest_gap() -> Column:
+    """Ratio of the eigenvalues of the metric on both sides of their largest difference."""
+    n = F.size("g_eigs")
+    down = F.reverse(F.array_sort("g_eigs"))
+    pairs = F.zip_with(F.slice(down, 1, n - 1), F.slice(down, 2, n - 1), lambda a, b: F.struct((a - b).alias("gap"), (a / F.greatest(b, F.lit(1e-15))).alias("ratio")))
+    widest = F.array_max(F.transform(pairs, lambda p: p["gap"]))
+    return F.when(n > 1, F.element_at(F.filter(pairs, lambda p: p["gap"] == widest), 1)["ratio"])
+
+
 def _velocity() -> Column:
     return F.when(lagged("x").isNotNull(), F.zip_with("x", lagged("x"), lambda a, b: a - b))
 
@@ -401,7 +430,14 @@ OBSERVABLES: dict[str, tuple[Callable[[], Column], str]] = {
     "metric_condition": (lambda: F.log(F.array_max("g_eigs") / F.array_min(F.filter("g_eigs", lambda v: v > 1e-10))), "abs"),
     "dimension_collapse": (lambda: F.array_max("g_eigs") / F.greatest(_total("g_eigs"), F.lit(1e-15)), "abs"),
     "participation_ratio": (lambda: F.pow(_total("g_eigs"), 2) / F.greatest(dot("g_eigs", "g_eigs"), F.lit(1e-15)), "negated"),
-    "intrinsic_dimension": (lambda: F.size(F.filter("g_eigs", lambda v: v > 0.1 * F.array_max("g_eigs"))).cast("double"), "negated"),
+    "intrinsic_dimension": (lambda: _soft_dimension(F.col("g_eigs")), "negated"),
+    "dimension_rate": (lambda: F.abs(_soft_dimension(F.col("g_eigs")) - _soft_dimension(lagged("g_eigs"))), "abs"),
+    "gap_sharpness": (lambda: _sharpest_gap(), "negated"),
+    "internal_energy": (lambda: _thermal(1), "abs"),
+    "specific_heat": (lambda: F.greatest(_thermal(2) - F.pow(_thermal(1), 2), F.lit(0.0)), "abs"),
+    "off_diagonal_coupling": (lambda: dot("g", "g") + dot("f", "f") / 4 - _total(F.transform(F.sequence(F.lit(0), F.size("g_eigs") - 1), lambda i: F.pow(F.element_at("g", (i * (F.size("g_eigs") + 1) + 1).cast("int")), 2))), "abs"),
+    "metric_frobenius": (lambda: norm("g"), "abs"),
+    "curvature_frobenius": (lambda: norm("f"), "abs"),
     "berry_rate": (lambda: F.abs(_f01() - F.element_at(lagged("f"), 2)), "signed"),
     "berry_rate_frobenius": (lambda: norm(F.zip_with("f", lagged("f"), lambda a, b: a - b)), "signed"),
     "curvature_level": (lambda: F.abs(_f01()), "signed"),
@@ -411,7 +447,7 @@ OBSERVABLES: dict[str, tuple[Callable[[], Column], str]] = {
     "multi_lag_infidelity": (lambda: sum((w * (1 - fidelity(k)) for k, w in ((3, 0.3), (5, 0.2), (10, 0.1))), 0.4 * (1 - fidelity(1))), "signed"),
     "geodesic_velocity": (lambda: F.acos(F.sqrt(fidelity(1))), "signed"),
     "trace_distance": (lambda: F.sqrt(1 - fidelity(1)), "signed"),
-    "bures_distance": (lambda: F.sqrt(F.greatest(2 * (1 - F.sqrt(fidelity(1))), F.lit(0.0))), "signed"),
+    "bures_distance": (lambda: F.when(fidelity(1).isNotNull(), F.sqrt(F.greatest(2 * (1 - F.sqrt(fidelity(1))), F.lit(0.0)))), "signed"),
     "inverse_gap": (lambda: 1 / (gap() + 1e-10), "abs"),
     "speed_limit_ratio": (lambda: F.when(gap() > 1e-6, F.acos(F.sqrt(fidelity(1))) / gap()), "signed"),
     "spectral_flow": (lambda: norm(F.zip_with("spectrum", lagged("spectrum"), lambda a, b: a - b)), "signed"),
@@ -430,6 +466,14 @@ OBSERVABLES: dict[str, tuple[Callable[[], Column], str]] = {
     "purity": (lambda: dot("schmidt", "schmidt"), "negated"),
     "entanglement": (lambda: _entropy(F.transform("schmidt", lambda v: F.greatest(v, F.lit(1e-15)))), "abs"),
     "renyi2": (lambda: -F.log(dot("schmidt", "schmidt")), "abs"),
+    "renyi_half": (lambda: 2 * F.log(_total(F.transform("schmidt", lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))))), "abs"),
+    "renyi3": (lambda: F.log(_total(F.transform("schmidt", lambda v: F.pow(v, 3)))) / -2, "abs"),
+    "modular_variance": (lambda: _total(F.transform("schmidt", lambda v: v * F.pow(F.log(F.greatest(v, F.lit(1e-15))), 2))), "abs"),
+    "discord": (lambda: _entropy(F.transform("schmidt", lambda v: F.greatest(v, F.lit(1e-15)))), "abs"),
+    "temporal_coherence": (lambda: F.col("coherence_before"), "abs"),
+    "tensor_determinant": (lambda: F.col("tensor_det"), "abs"),
+    "tensor_largest": (lambda: F.col("tensor_top"), "abs"),
+    "husimi_participation": (lambda: F.col("husimi_ipr"), "abs"),
     "commutator_norm": (lambda: F.col("commutator"), "signed"),
     "hamiltonian_sensitivity": (lambda: F.col("sensitivity"), "signed"),
     "ricci_scalar": (lambda: F.col("ricci"), "abs"),
@@ -462,7 +506,7 @@ def observable_scores(embedded: DataFrame, names: list[str] | None = None, roll:
 
 
 def _needs(name: str) -> set[str]:
-    own = {"purity": "schmidt", "entanglement": "schmidt", "renyi2": "schmidt", "commutator_norm": "commutator", "hamiltonian_sensitivity": "sensitivity", "ricci_scalar": "ricci", "curvature_rate": "ricci", "sectional_curvature": "sectional", "geodesic_curvature": "geodesic_curvature", "husimi": "husimi_entropy", "loschmidt_rate": "loschmidt", "otoc_rate": "otoc", "floquet": "floquet_gap", "wigner": "wigner_negativity", "gibbs_state": "gibbs"}
+    own = {"renyi_half": "schmidt", "renyi3": "schmidt", "modular_variance": "schmidt", "discord": "schmidt", "temporal_coherence": "coherence_before", "tensor_determinant": "tensor_det", "tensor_largest": "tensor_top", "husimi_participation": "husimi_ipr", "purity": "schmidt", "entanglement": "schmidt", "renyi2": "schmidt", "commutator_norm": "commutator", "hamiltonian_sensitivity": "sensitivity", "ricci_scalar": "ricci", "curvature_rate": "ricci", "sectional_curvature": "sectional", "geodesic_curvature": "geodesic_curvature", "husimi": "husimi_entropy", "loschmidt_rate": "loschmidt", "otoc_rate": "otoc", "floquet": "floquet_gap", "wigner": "wigner_negativity", "gibbs_state": "gibbs"}
     return {own[name]} if name in own else set()
 
 
@@ -535,6 +579,37 @@ def density_observables(embedded: DataFrame, window: int | None = None, least: i
     return x.mapInArrow(run, f"series_id string, ts {dict(embedded.dtypes)['ts']}, t long, holevo double, relative_entropy double, reference_infidelity double")
 
 
+def rolling_infidelity(embedded: DataFrame, window: int = 20) -> DataFrame:
+    """series_id, ts, t, rolling_infidelity: 1 less the mean squared overlap of a state with the `window` states before it; null before row `window`."""
+    total = sum((fidelity(k) for k in range(1, window + 1)), F.lit(0.0))
+    return embedded.select("series_id", "ts", "t", F.when(total.isNotNull(), F.greatest(1 - total / window, F.lit(0.0))).alias("rolling_infidelity"))
+
+
+def reference_observables(embedded: DataFrame, calm: int = 252) -> DataFrame:
+    """series_id, ts, t, complexity, infidelity to a series' reference state: the leading eigenvector of the mean state of its first `calm` rows.
+
+    complexity is the norm of the logarithm of the rotation from the reference, sqrt(2) arccos of the real overlap.
+    The rows that make the reference are measured against it too.
+    """
+    e = embedded.where(F.col("t") < calm).select("series_id", "t", F.posexplode(F.arrays_zip("psi_re", "psi_im")).alias("i", "a"))
+    pairs = e.join(e.select("series_id", "t", F.col("i").alias("j"), F.col("a").alias("b")), ["series_id", "t"])
+    re = F.col("a.psi_re") * F.col("b.psi_re") + F.col("a.psi_im") * F.col("b.psi_im")
+    im = F.col("a.psi_im") * F.col("b.psi_re") - F.col("a.psi_re") * F.col("b.psi_im")
+    rho = pairs.groupBy("series_id", "i", "j").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
+
+    def lead(table: pa.Table) -> pa.Table:
+        i, j = (table.column(c).to_numpy() for c in "ij")
+        m = np.zeros((int(i.max()) + 1,) * 2, complex)
+        m[i, j] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+        v = np.linalg.eigh(m)[1][:, -1]
+        v = v * np.conj(v[np.abs(v).argmax()]) / np.abs(v).max()
+        return pa.table({"series_id": table.column("series_id").slice(0, 1), "ref_re": [v.real.tolist()], "ref_im": [v.imag.tolist()]})
+
+    x = embedded.join(rho.groupBy("series_id").applyInArrow(lead, "series_id string, ref_re array<double>, ref_im array<double>"), "series_id")
+    a, b = dot("ref_re", "psi_re") + dot("ref_im", "psi_im"), dot("ref_re", "psi_im") - dot("ref_im", "psi_re")
+    return x.select("series_id", "ts", "t", (F.lit(2**0.5) * F.acos(F.greatest(F.least(a, F.lit(1.0)), F.lit(-1.0)))).alias("complexity"), F.greatest(1 - a * a - b * b, F.lit(0.0)).alias("infidelity"))
+
+
 def mixed_observables(embedded: DataFrame, dim_a: int = 2, loop: int = 5) -> DataFrame:
     """series_id, ts, t, uhlmann_fidelity, uhlmann_phase, loop_phase, purity, berry_phase of the reduced state of the first `dim_a` levels.
 

@@ -88,6 +88,10 @@ rows_only("g32_wilson_phase", lambda s, d: g.wilson_phase(embedded(s, d)))
 rows_only("g33_run_means", lambda s, d: g.run_means(embedded(s, d, ("schmidt", "sensitivity"))))
 
 
+rows_only("x3_reference_states", lambda s, d: g.reference_observables(embedded(s, d)))
+rows_only("x20_rolling_infidelity", lambda s, d: g.rolling_infidelity(embedded(s, d)))
+
+
 def curvature(spark, sf):
     e = embedded(spark, sf).select("series_id", "ts", "t", F.element_at("f", 2).alias("f01"), F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
     return topology.curvature_integral(e, "f01", "a", "b")

@@ -97,14 +97,30 @@ online_model("st1_online_geometry", on.OnlineGeometry)
 online_model("st5_online_markov", on.OnlineHiddenMarkov)
 
 
-@query("st6_online_logistic")
-def _(spark, sf):
-    """Will the next six hours' mean be above the value now? The label comes seven hours later from a second stream; some labels come too late to count."""
-    x = hourly_vectors(spark, sf)
+online_model("st10_online_changepoints", on.OnlineChangepoints)
+
+
+def labelled_model(make, x, spark):
+    """Rows (series_id, ts, x, value, later, next) with their labels from a second stream (see st6_online_logistic) through a model."""
     labels = x.where("later is not null").select("series_id", "ts", (F.col("next") > F.col("value")).cast("double").alias("label"))
     slow = F.pmod(F.xxhash64("series_id", "ts"), F.lit(10)) == 0
     labels = labels.withColumn("arrives", F.col("ts") + F.when(slow, F.expr("interval 20 days")).otherwise(F.expr("interval 7 hours")))
     features = x.select("series_id", "ts", "x", F.col("ts").alias("arrives"))
-    make = on.OnlineLogistic
     out = on.replayed({"x": features, "y": labels}, lambda s: on.stream(on.labelled_stream(s["x"], s["y"], "12 hours"), make, None), on.schema(make), shared_folder(spark))
     return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query("st7_online_stacking")
+def _(spark, sf):
+    """Three scores of an hour (its places among the last day's and week's values, and its distance from the day's mean) stacked into one."""
+    w = Window.partitionBy("series_id").orderBy("ts")
+    v = F.col("value")
+    place = lambda n: (v - F.min(v).over(w.rowsBetween(1 - n, 0))) / F.nullif(F.max(v).over(w.rowsBetween(1 - n, 0)) - F.min(v).over(w.rowsBetween(1 - n, 0)), F.lit(0.0))
+    z = (v - F.avg(v).over(w.rowsBetween(-23, 0))) / F.nullif(F.stddev_samp(v).over(w.rowsBetween(-23, 0)), F.lit(0.0))
+    return labelled_model(on.OnlineStacking, hourly_vectors(spark, sf).withColumn("x", F.array(place(24), place(168), 1 / (1 + F.exp(-z)))), spark)
+
+
+@query("st6_online_logistic")
+def _(spark, sf):
+    """Will the next six hours' mean be above the value now? The label comes seven hours later from a second stream; some labels come too late to count."""
+    return labelled_model(on.OnlineLogistic, hourly_vectors(spark, sf), spark)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,13 @@ class Model:
         raise NotImplementedError
 
     def update(self, x: np.ndarray | None, label: float | None) -> tuple:
+        """The outputs of a row, by its whole vector (None, if a component is missing)."""
         raise NotImplementedError
 
+    def update_raw(self, x: list | None, label: float | None) -> tuple:
+        """The same by the vector as it came, for models that bear missing components."""
+        return self.update(clean(x), label)
+
 
 def clean(x) -> np.ndarray | None:
     """A vector without null or non-finite components, else None."""
@@ -104,7 +110,7 @@ class Ordered(StatefulProcessor):
         model, out = self._load(), []
         for ts, x, label in due:
             if last is None or ts > last:
-                out.append((key[0], ts, *model.update(clean(x), label)))
+                out.append((key[0], ts, *model.update_raw(x, label)))
                 last = ts
         self._save(model)
         self.last.update((last,))
@@ -140,7 +146,7 @@ def batch_twin(rows: DataFrame, make: Callable[[], Model]) -> DataFrame:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         model, out = make(), []
         for ts, x, label in zip(*(pdf.sort_values("ts", kind="stable").drop_duplicates("ts")[c] for c in ("ts", "x", "label"))):
-            out.append((key[0], ts, *model.update(clean(x), None if label is None or np.isnan(label) else float(label))))
+            out.append((key[0], ts, *model.update_raw(None if x is None else list(x), None if label is None or np.isnan(label) else float(label))))
         return pd.DataFrame(out, columns=["series_id", "ts", *[c.split()[0] for c in make().outputs.split(", ")]])
 
     return rows.select("series_id", "ts", "x", "label").groupBy("series_id").applyInPandas(run, schema(make))
@@ -451,3 +457,69 @@ class OnlineGeometry(Model):
         self.smoothed = [*self.smoothed, ema][-10:]
         speed = ema - self.smoothed[-6] if len(self.smoothed) > 5 else np.zeros(len(ema))
         return ema.tolist(), speed.tolist()
+
+
+class OnlineChangepoints(Model):
+    """P(run of fewer than four rows) of the vector's first component, by the run-length recursion (see models.bocpd) one row at a time.
+
+    The state is the probability of each run length up to `cap` and the last cap + 1 values. A null vector gives null and changes nothing.
+    """
+
+    states = {"head": ("value", "t long, p array<double>"), "history": ("list", "v double")}
+    outputs = "p_short double"
+
+    def __init__(self, hazard: float = 1 / 250, cap: int = 500):
+        self.hazard, self.cap = hazard, cap
+        self.t, self.p, self.seen = 0, np.ones(1), np.zeros(0)
+
+    def restore(self, held):
+        self.t, self.p = held["head"][0], np.array(held["head"][1])
+        self.seen = np.array([r[0] for r in held.get("history", [])])
+
+    def dump(self):
+        return {"head": (self.t, self.p.tolist()), "history": [(v,) for v in self.seen.tolist()]}
+
+    def update(self, x, label):
+        if x is None:
+            return (None,)
+        y = float(x[0])
+        self.seen = np.append(self.seen, y)[-(self.cap + 1) :]
+        m = min(self.t + 1, self.cap)
+        self.t += 1
+        n = np.concatenate([[0], np.arange(2, m + 1)])  # rows behind each run length, the current one among them
+        back = self.seen[::-1]
+        s, q = (np.concatenate([[0.0], np.cumsum(v)])[np.minimum(n, len(back))] for v in (back, back * back))
+        like = student_likelihood(y, n.astype(float), s, q)
+        grown = self.p[:m] * like
+        p = np.append(grown.sum() * self.hazard, grown * (1 - self.hazard))
+        self.p = (p / p.sum() if p.sum() > 0 else p)[: self.cap + 1]
+        return (float(self.p[:4].sum()),)
+
+
+def student_likelihood(y: float, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Predictive density of y after n rows with sum s and sum of squares q, under a normal-gamma prior of mean 0 and parameters 1."""
+    mean = s / np.maximum(n, 1)
+    var = np.where(n > 1, np.maximum(q / np.maximum(n, 1) - mean**2, 0.0), 0.0)
+    kappa, alpha = 1 + n, 1 + n / 2
+    mu, beta = n * mean / kappa, 1 + 0.5 * n * var + 0.5 * n * mean**2 / kappa
+    scale, df = np.maximum(beta * (kappa + 1) / (kappa * alpha), 1e-12), 2 * alpha
+    log_gamma = np.array([lgamma((d + 1) / 2) - lgamma(d / 2) for d in df])
+    return np.exp(log_gamma - 0.5 * np.log(df * np.pi * scale) - (df + 1) / 2 * np.log1p((y - mu) ** 2 / scale / df))
+
+
+class OnlineStacking(OnlineLogistic):
+    """P(label) by a logistic model of component scores (the vector; a missing one counts 0.5), refitted every `refit` rows once `least` are labelled.
+
+    Until there is a fit, the largest component score. The last `keep` labelled rows are the training set. A null vector counts as all missing.
+    """
+
+    outputs = "p double, n_labels long, stacked boolean"
+
+    def __init__(self, refit: int = 21, least: int = 252, keep: int = 1000):
+        super().__init__(refit, least, keep)
+
+    def update_raw(self, x, label):
+        known = [float(c) for c in (x or []) if c is not None and not np.isnan(c)]
+        filled = np.array([0.5 if c is None or np.isnan(c) else float(c) for c in x]) if x else None
+        p, n = self.update(filled, label)
+        return (p if p is not None else max(known, default=None)), n, p is not None
