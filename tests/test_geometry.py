@@ -197,3 +197,15 @@ def test_columns_follow_their_formulas(spark):
     lead = np.linalg.eigh(np.einsum("ti,tj->ij", psi[:10], psi[:10].conj()) / 10)[1][:, -1]
     lead = lead * np.conj(lead[np.abs(lead).argmax()]) / np.abs(lead).max()
     assert ref[25].infidelity == pytest.approx(1 - abs(np.vdot(lead, psi[25])) ** 2) and ref[25].complexity == pytest.approx(np.sqrt(2) * np.arccos(np.vdot(lead, psi[25]).real))
+
+
+def test_operators_from_a_table_and_segments(spark):
+    rows_ = [(0, 0, 1, 0.0, -1.0), (1, 0, 0, 1.0, 0.0), (1, 1, 1, -1.0, 0.0)]
+    ops = g.operators_from(spark.createDataFrame(rows_, "k int, i int, j int, re double, im double"))
+    assert np.allclose(ops, [[[0, -1j], [1j, 0]], [[1, 0], [0, -1]]])
+    with pytest.raises(ValueError):
+        g.operators_from(spark.createDataFrame([(0, 0, 1, 1.0, 0.0), (0, 1, 0, 2.0, 0.0)], "k int, i int, j int, re double, im double"))
+    seg = spark.createDataFrame([("p", [0.3, -0.2], [0.9, 0.4]), ("still", [0.3, 0.1], [0.3, 0.1]), ("none", None, [0.0, 0.0])], "id string, a array<double>, b array<double>")
+    basis = g.basis("random", 4, 2)
+    got = {r.id: r.length for r in g.segment_lengths(seg, basis, 50).collect()}
+    assert got["p"] == pytest.approx(g.path_length(spark, basis, [0.3, -0.2], [0.9, 0.4], 50).first().length) and got["still"] == pytest.approx(0) and got["none"] is None

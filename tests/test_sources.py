@@ -56,3 +56,18 @@ def test_entry_without_the_optional_parts(monkeypatch):
     monkeypatch.setattr(__spark_entry__, "LLM", False)
     monkeypatch.setattr(__spark_entry__, "PIPELINE", False)
     assert not [k for k in __spark_entry__.queries() if k.startswith("op") and k[2].isdigit()] and "pipeline" not in __spark_entry__.queries()
+
+
+def test_fallback_register_and_run_payloads(spark, tmp_path):
+    day = lambda d: dt.date(2020, 1, d)
+    a = spark.createDataFrame([("x", day(1), 1.0)], "series_id string, ts date, close double")
+    b = spark.createDataFrame([("x", day(1), 9.0), ("x", day(2), 2.0)], "series_id string, ts date, close double")
+    c = spark.createDataFrame([("x", day(2), 8.0), ("y", day(1), 3.0)], "series_id string, ts date, close double")
+    assert sorted((r.series_id, r.ts.day, r.close) for r in tables.with_fallback(a, b, c).collect()) == [("x", 1, 1.0), ("x", 2, 2.0), ("y", 1, 3.0)]
+    path = str(tmp_path / "register")
+    for i, (run, note) in enumerate((("r1", "canonical"), ("r2", "canonical"), ("r3", ""))):
+        results.register_run(spark, path, run, i, note)
+    assert [r.run_id for r in results.canonical_run(spark.read.parquet(path)).collect()] == ["r2"]
+    df = spark.createDataFrame([("r", "g", [0.5, -1.25]), ("e", "g", []), ("n", "g", None)], "run_id string, group_label string, v array<double>")
+    got = {r.run_id: r.returns for r in tables.runs_from_base64(tables.runs_to_base64(df, "v")).collect()}
+    assert got["r"] == [0.5, -1.25] and got["e"] == [] and not got["n"]

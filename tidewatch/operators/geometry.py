@@ -730,3 +730,31 @@ def path_length(spark, ops: np.ndarray, start: list[float], stop: list[float], s
         for j in range(len(d)):
             q = q + F.element_at("g", i * len(d) + j + 1) * float(d[i] * d[j])
     return g.agg(F.sum(F.sqrt(F.greatest(q, F.lit(0.0)))).alias("length"))
+
+
+def operators_from(table: DataFrame) -> np.ndarray:
+    """User-supplied operators from rows (k, i, j, re, im): Hermitian matrices, entries that are not given being 0 or the conjugates of those that are.
+
+    A row an entry of a few small matrices: the one table of this module that the driver reads.
+    """
+    rows = table.select("k", "i", "j", "re", "im").collect()
+    n, d = max(r.k for r in rows) + 1, max(max(r.i, r.j) for r in rows) + 1
+    ops = np.zeros((n, d, d), complex)
+    for r in rows:
+        ops[r.k, r.i, r.j] = (r.re or 0.0) + 1j * (r.im or 0.0)
+    given = ops != 0
+    ops = np.where(given, ops, ops.conj().transpose(0, 2, 1))
+    if not np.allclose(ops, ops.conj().transpose(0, 2, 1)):
+        raise ValueError("operators are not Hermitian")
+    return ops
+
+
+def segment_lengths(segments: DataFrame, ops: np.ndarray, steps: int = 100) -> DataFrame:
+    """id, length: sum of sqrt(dx g dx) along the straight segment from a to b (arrays) of every row, cut into steps; null for a null end."""
+    pts = segments.where("a is not null and b is not null").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    pts = pts.select("id", F.zip_with("a", "b", lambda u, v: (v - u) / steps).alias("dx"), F.zip_with("a", "b", lambda u, v: u + (v - u) * (F.col("_s") + 0.5) / steps).alias("x"))
+    g = spectral_embed(pts, ops)
+    n = F.size("dx")
+    q = dot("dx", F.transform(F.sequence(F.lit(0), n - 1), lambda i: dot(F.slice("g", i * n + 1, n), "dx")))
+    out = g.groupBy("id").agg(F.sum(F.sqrt(F.greatest(q, F.lit(0.0)))).alias("length"))
+    return segments.select("id").join(out, "id", "left")

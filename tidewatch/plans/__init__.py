@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "detectors", "evaluation", "fusion", "backtests", "geometry", "models", "streams", "studies", "inference")
+MODULES = ("features", "detectors", "evaluation", "fusion", "backtests", "geometry", "models", "streams", "studies", "inference", "tables")
 
 
 def load():

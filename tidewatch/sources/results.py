@@ -16,6 +16,16 @@ def read_runs(spark: SparkSession, path: str, run_id: str | None = None) -> Data
     return df.where(F.col("run_id") == run_id) if run_id else df
 
 
+def register_run(spark: SparkSession, path: str, run_id: str, created: int, note: str = "") -> None:
+    """Appends a run to the register of runs."""
+    spark.createDataFrame([(run_id, created, note)], "run_id string, created long, note string").coalesce(1).write.mode("append").parquet(path)
+
+
+def canonical_run(register: DataFrame, note: str = "canonical") -> DataFrame:
+    """The newest run that is marked as the canonical one: one row, run_id."""
+    return register.where(F.col("note") == note).agg(F.max_by("run_id", F.struct("created", "run_id")).alias("run_id"))
+
+
 def latest_run(runs: DataFrame, at: str = "created") -> DataFrame:
     """method, run_id: the newest run that has a method."""
     return runs.groupBy("method").agg(F.max_by("run_id", F.struct(at, "run_id")).alias("run_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,21 @@ def runs_from_base64(df: DataFrame) -> DataFrame:
 
     seq = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return df.select("run_id", "group_label", F.transform(seq, value).alias("returns"))
+
+
+def with_fallback(*sources: DataFrame) -> DataFrame:
+    """Rows of the first source, and of each next one those (series_id, ts) that no source before it has; columns by name."""
+    out = sources[0]
+    for df in sources[1:]:
+        out = out.unionByName(df.join(out.select("series_id", "ts"), ["series_id", "ts"], "left_anti"))
+    return out
+
+
+@F.arrow_udf("binary")
+def _float_bytes(column: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in column.to_pylist()], pa.binary())
+
+
+def runs_to_base64(df: DataFrame, values: str) -> DataFrame:
+    """run_id, group_label, payload: an array as base64 of little-endian float32, what runs_from_base64 reads; a null array has none."""
+    return df.select("run_id", "group_label", F.base64(_float_bytes(F.col(values).cast("array<float>"))).alias("payload"))
