@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidewatch.functions.windows import forward_fill, ordered, so_far
 
@@ -85,7 +86,7 @@ def with_fallback(*sources: DataFrame) -> DataFrame:
     return out
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _float_bytes(column: pa.Array) -> pa.Array:
     return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in column.to_pylist()], pa.binary())
 
