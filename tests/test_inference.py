@@ -234,3 +234,29 @@ def test_mixed_states_match_matrix_roots(spark):
     rows = [("s", DAY0 + dt.timedelta(days=t), t, p.real.tolist(), p.imag.tolist()) for t, p in enumerate(back)]
     last = g.mixed_observables(spark.createDataFrame(rows, "series_id string, ts date, t long, psi_re array<double>, psi_im array<double>"), 2, 3).orderBy("t").collect()[-1]
     assert last.loop_phase == pytest.approx(0.0, abs=1e-9)
+
+
+def test_bootstrap_and_sign_changes(spark):
+    v = [1.0, 2.0, 4.0, 8.0, 9.0]
+    df = spark.createDataFrame([("a", str(k), x) for k, x in enumerate(v)] + [("a", "none", None), ("few", "0", 1.0)], "m string, u string, x double")
+    r = inf.bootstrap_means(df, "x", ["m"], "u", 2000).collect()
+    assert len(r) == 1 and r[0].n == 5 and r[0].mean == pytest.approx(4.8)
+    exact = np.sort(np.array(np.meshgrid(*[v] * 5)).reshape(5, -1).mean(0))
+    assert r[0].ci_lo == pytest.approx(np.quantile(exact, 0.025), abs=0.35) and r[0].ci_hi == pytest.approx(np.quantile(exact, 0.975), abs=0.35)
+    s = inf.sign_permutation(df.where("m = 'a'"), "x", ["m"], "u", 2000).first()
+    assert s.n == 5 and s.p == pytest.approx(2 / 32, abs=0.02)
+
+
+def test_recalibration_by_the_other_folds(spark):
+    rng = np.random.default_rng(6)
+    rows = [("k", int(f), float(p), float(rng.random() < p / 2)) for f in range(4) for p in rng.random(60)] + [("k", 9, 0.05, 1.0), ("k", 0, None, 1.0)]
+    got = {r.fold: r for r in inf.held_out_recalibration(spark.createDataFrame(rows, "k string, f int, p double, y double"), "p", "y", "f", ["k"], 5).collect()}
+    clean = [r for r in rows if r[2] is not None]
+    for f, r in got.items():
+        own = [x for x in clean if x[1] == f]
+        want = []
+        for _, _, p, y in own:
+            other = [q[3] for q in clean if q[1] != f and int(q[2] * 5) == int(p * 5)]
+            want.append(((np.mean(other) if other else p) - y) ** 2)
+        assert r.n == len(own) and r.brier == pytest.approx(np.mean([(p - y) ** 2 for _, _, p, y in own])) and r.brier_recalibrated == pytest.approx(np.mean(want))
+    assert np.mean([got[f].brier_recalibrated for f in range(4)]) < np.mean([got[f].brier for f in range(4)])

@@ -230,3 +230,50 @@ def kaplan_meier(durations: DataFrame, keys: list[str]) -> DataFrame:
     upto = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     none = F.max((F.col("events") == F.col("at_risk")).cast("int")).over(upto)
     return g.withColumn("survival", F.when(none == 1, 0.0).otherwise(F.exp(F.sum(left).over(upto)))).select(*keys, "time", "at_risk", "events", "survival")
+
+
+# lead times and paired differences: small tables, resampled by drawn numbers
+
+
+def bootstrap_means(df: DataFrame, x: str, keys: list[str], unit: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """keys, n, mean, ci_lo, ci_hi: percentile interval of the mean over resamples of the keys' values; nulls are left out, keys with under three values too.
+
+    `unit` numbers a key's values. A resample's places are drawn from (seed, replicate, keys, place).
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), (F.row_number().over(w.orderBy(unit)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 3")
+    reps = rows.select(*keys, "n", F.col("_i").alias("_slot")).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    picks = reps.withColumn("_i", F.pmod(drawn(F.lit(seed), "_rep", *keys, "_slot"), F.col("n")).cast("int"))
+    means = picks.join(rows.select(*keys, "_i", "_x"), [*keys, "_i"]).groupBy(*keys, "_rep").agg(F.avg("_x").alias("_m"))
+    tail = (1 - level) / 2
+    ci = means.groupBy(*keys).agg(F.percentile("_m", F.lit(tail)).alias("ci_lo"), F.percentile("_m", F.lit(1 - tail)).alias("ci_hi"))
+    return rows.groupBy(*keys).agg(F.max("n").alias("n"), F.avg("_x").alias("mean")).join(ci, keys)
+
+
+def sign_permutation(df: DataFrame, d: str, keys: list[str], unit: str, replicates: int = 1000, seed: int = 17) -> DataFrame:
+    """keys, n, mean, p: share of drawn sign changes of paired differences (themselves counted) whose mean is at least as far from 0; nulls are left out."""
+    rows = df.where(F.col(d).isNotNull()).select(*keys, F.col(unit).alias("_u"), F.col(d).cast("double").alias("_d"))
+    seen = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"))
+    reps = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    flip = F.when(F.pmod(drawn(F.lit(seed), "_rep", *keys, "_u"), F.lit(2)) == 0, 1).otherwise(-1)
+    m = reps.groupBy(*keys, "_rep").agg(F.avg(F.col("_d") * flip).alias("_m"))
+    far = F.sum((F.round(F.abs("_m"), 9) >= F.round(F.abs("mean"), 9)).cast("int"))
+    return m.join(seen, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), ((far + 1) / (replicates + 1)).alias("p"))
+
+
+def held_out_recalibration(df: DataFrame, p: str, label: str, fold: str, keys: list[str], bins: int = 10) -> DataFrame:
+    """keys, fold, n, brier, brier_recalibrated: a fold's predictions replaced by the share of positives that the other folds have in their bin.
+
+    Every (bin, fold) is counted once; what the others have is the total less the fold's own. A bin that no other
+    fold has keeps its predictions. Null predictions and labels are left out.
+    """
+    rows = df.where(F.col(p).isNotNull() & F.col(label).isNotNull()).select(*keys, F.col(fold).alias("fold"), F.col(p).alias("_p"), F.col(label).cast("double").alias("_y"))
+    rows = rows.withColumn("_b", F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1)))
+    own = rows.groupBy(*keys, "fold", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s"), F.sum(F.pow(F.col("_p") - F.col("_y"), 2)).alias("_q"), F.sum("_p").alias("_sp"), F.sum(F.col("_p") * F.col("_p")).alias("_sq"))
+    every = Window.partitionBy(*keys, "_b")
+    n, s = F.sum("_n").over(every) - F.col("_n"), F.sum("_s").over(every) - F.col("_s")
+    share = F.when(n > 0, s / n)
+    # sum of (share - y)^2 over the fold's rows of the bin, y being 0 or 1
+    again = F.when(share.isNotNull(), F.col("_n") * share * share - 2 * share * F.col("_s") + F.col("_s")).otherwise(F.col("_q"))
+    out = own.withColumn("_a", again)
+    return out.groupBy(*keys, "fold").agg(F.sum("_n").alias("n"), (F.sum("_q") / F.sum("_n")).alias("brier"), (F.sum("_a") / F.sum("_n")).alias("brier_recalibrated"))

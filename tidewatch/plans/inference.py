@@ -14,7 +14,7 @@ from tidewatch.sources import panels as p
 from tidewatch.sources.panels import EVENTS_SQL
 from tidewatch.sources.results import kept_table
 
-from .evaluation import METHODS, SCORES, kept_scores, panel_scores, wide
+from .evaluation import D_SQL, METHODS, SCORES, effects, kept_scores, panel_scores, wide
 from .features import RET, W, returns, roll, std, vectors
 from .geometry import curvature, embedded
 from .registry import query, rounded, rounded_sql
@@ -151,3 +151,43 @@ def _(spark, sf):
 
 
 query("x16_mixed_states")(lambda spark, sf: rounded(g.mixed_observables(embedded(spark, sf))))
+
+
+# bootstraps and sign changes of effects, and recalibration by the other events
+
+EFFECT = f"(SELECT method, series_id || '/' || event_id AS unit, round(d, 6) AS d FROM {D_SQL} WHERE d IS NOT NULL)"
+
+
+def effect_units(spark, sf):
+    return effects(spark, sf).where("d is not null").select("method", F.concat_ws("/", "series_id", "event_id").alias("unit"), F.round("d", 6).alias("d"))
+
+
+@query("e20_bootstrap_means", f"""WITH r AS (SELECT method, d, row_number() OVER (PARTITION BY method ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY method) AS n FROM {EFFECT}),
+k AS (SELECT method, rep, {i.drawn_sql('42', 'rep', 'method', 'i')} % n AS i FROM r, (SELECT unnest(range(1, 1001)) AS rep) WHERE n >= 3), m AS (SELECT k.method, rep, avg(d) AS m FROM k JOIN r ON r.method = k.method AND r.i = k.i GROUP BY ALL)
+SELECT method, n, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM (SELECT method, max(n) AS n, avg(d) AS mean FROM r GROUP BY 1) JOIN (SELECT method, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM m GROUP BY 1) USING (method)""")
+def _(spark, sf):
+    return rounded(i.bootstrap_means(effect_units(spark, sf), "d", ["method"], "unit"))
+
+
+@query("e20_sign_permutation", f"""WITH r AS (SELECT 'rolling_vol-level' AS pair, x.unit, round(x.d - y.d, 6) AS d FROM {EFFECT} x JOIN {EFFECT} y ON x.unit = y.unit AND x.method = 'rolling_vol' AND y.method = 'level'),
+m AS (SELECT pair, rep, avg(d * CASE WHEN {i.drawn_sql('17', 'rep', 'pair', 'unit')} % 2 = 0 THEN 1 ELSE -1 END) AS m FROM r, (SELECT unnest(range(1, 1001)) AS rep) GROUP BY ALL), s AS (SELECT pair, count(*) AS n, avg(d) AS mean FROM r GROUP BY 1)
+SELECT pair, max(n) AS n, round(max(mean), 6) + 0.0 AS mean, round((sum((round(abs(m), 9) >= round(abs(mean), 9))::INTEGER) + 1) / 1001, 6) AS p FROM m JOIN s USING (pair) GROUP BY 1""")
+def _(spark, sf):
+    d = effect_units(spark, sf)
+    a, b = (d.where(F.col("method") == m).select("unit", F.col("d").alias(c)) for m, c in (("rolling_vol", "x"), ("level", "y")))
+    pairs = a.join(b, "unit").select(F.lit("rolling_vol-level").alias("pair"), "unit", F.round(F.col("x") - F.col("y"), 6).alias("d"))
+    return rounded(i.sign_permutation(pairs, "d", ["pair"], "unit"))
+
+
+PRED = f"(SELECT series_id, year(ts) AS fold, round(1 / (1 + exp(-score)), 6) AS p, EXISTS (SELECT 1 FROM {EVENTS_SQL} e WHERE s.ts BETWEEN e.start AND e.stop)::INTEGER AS y FROM {SCORES} s WHERE method = 'rolling_vol' AND score IS NOT NULL)"
+
+
+@query("e24_held_out_recalibration", f"""WITH r AS (SELECT *, least(floor(p * 10), 9) AS b FROM {PRED}), o AS (SELECT series_id, b, fold, count(*) AS n, sum(y) AS s FROM r GROUP BY ALL),
+q AS (SELECT r.*, (SELECT sum(s) / sum(n)::DOUBLE FROM o WHERE o.series_id = r.series_id AND o.b = r.b AND o.fold <> r.fold) AS share FROM r)
+SELECT series_id, fold::INTEGER AS fold, count(*) AS n, round(avg((p - y) ** 2), 6) AS brier, round(avg((coalesce(share, p) - y) ** 2), 6) AS brier_recalibrated FROM q GROUP BY ALL""")
+def _(spark, sf):
+    """Probabilities of event weeks recalibrated by the other years."""
+    s = panel_scores(spark, sf).where("method = 'rolling_vol' and score is not null")
+    y = union_label(p.weekly(spark, sf), p.events_dim(spark)).select("series_id", "t", "inside")
+    x = s.join(y, ["series_id", "t"]).select("series_id", F.year("ts").alias("fold"), F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("p"), F.col("inside").cast("int").alias("y"))
+    return rounded(i.held_out_recalibration(x, "p", "y", "fold", ["series_id"]))
