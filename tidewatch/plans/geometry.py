@@ -108,6 +108,45 @@ def _(spark, sf):
     return rounded(topology.classify_events(curvature(spark, sf), p.events_dim(spark), "f01", 30))
 
 
+# the operators that other plans check against SQL on returns and closes, here on the curvature and gap of the geometric table
+
+
+def geometric(spark, sf):
+    """series_id, ts, t, f01, gap of every embedded row."""
+    return embedded(spark, sf).select("series_id", "ts", "t", F.element_at("f", 2).alias("f01"), g.gap().alias("gap"))
+
+
+@query("g31_gap_ratios")
+def _(spark, sf):
+    from tidewatch.operators.variants import attribute_split, collapse_ratios
+    from tidewatch.sources import panels as p
+
+    ratios = collapse_ratios(geometric(spark, sf), "gap", p.events_dim(spark))
+    t = attribute_split(ratios, p.events_dim(spark), "collapse").select("series_id", F.col("t").alias("novel_t"))
+    return rounded(ratios.join(t, "series_id", "left"))
+
+
+@query("t6_geometric_signature")
+def _(spark, sf):
+    from tidewatch.operators.variants import regime_signature
+
+    return rounded(regime_signature(geometric(spark, sf).withColumn("segment", F.year("ts")), "f01", "gap", "segment"))
+
+
+@query("t8_geometric_consensus")
+def _(spark, sf):
+    from tidewatch.operators.variants import scale_consensus, scale_signals
+
+    return rounded(scale_consensus(scale_signals(geometric(spark, sf), "f01", {10: 0.2, 20: 0.2, 30: 0.2, 50: 0.2, 100: 0.2})))
+
+
+@query("e30_geometric_bounds")
+def _(spark, sf):
+    from tidewatch.operators.variants import bound_checks
+
+    return rounded(bound_checks(geometric(spark, sf), "f01", "gap"))
+
+
 @query("x_embedding_vectors")
 def _(spark, sf):
     """The vector table embedded: each vector as a point of eight parameters, the means of eighths of its components (all of them, whatever their number), by label."""

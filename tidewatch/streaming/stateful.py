@@ -279,18 +279,24 @@ def replayed(df: DataFrame, processor: Fold, folder: str, slices: int = 3) -> Da
     import uuid
 
     spark = df.sparkSession
-    rows = df.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    from tidewatch.sources.results import kept_table
+
+    rows = kept_table(spark)(df.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")))
     lo, hi = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
     if lo is None:
         return spark.createDataFrame([], processor.schema)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    root = f"{folder}/stream-{uuid.uuid4().hex}"
+    root, key = f"{folder}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_PROVIDER)
     part = F.floor((F.unix_timestamp("ts") - lo) * slices / (hi - lo + 1))
-    for k in range(slices):
-        rows.where(part == k).write.mode("append").parquet(f"{root}/in")
-        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-        q = stream(source, processor).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+    try:
+        for k in range(slices):
+            rows.where(part == k).write.mode("append").parquet(f"{root}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+            q = stream(source, processor).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(processor.schema).parquet(f"{root}/out")
 
 
