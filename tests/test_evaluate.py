@@ -99,16 +99,6 @@ def test_lead_time(spark):
     assert got == {"e0": (30, 1), "e1": (None, 0)}
 
 
-def test_resampling_is_reproducible(spark):
-    v = np.random.default_rng(1).normal(size=120)
-    v[40:60] += 3
-    c = e.event_cells(scores(spark, v), events(spark, (40, 59)))
-    d = e.cohens_d(e.group_moments(scores(spark, v), events(spark, (40, 59)))).first().d
-    one, two = (e.bootstrap_ci(c.repartition(k), 40).first() for k in (1, 3))
-    assert tuple(one)[3:] == pytest.approx(tuple(two)[3:]) and one.ci_lo <= d <= one.ci_hi
-    assert e.permutation_test(c, 40).first().p == pytest.approx(1 / 41)
-
-
 def test_event_membership_pads_and_months(spark):
     df = scores(spark, range(120))
     m = joins.event_members(df, events(spark, (20, 70), (28, 28)), pad=2)

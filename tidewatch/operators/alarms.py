@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.windows import last_n, ordered, past
+from tidewatch.functions.folds import ordered_fold
+from tidewatch.functions.windows import last_n, ordered
 
 from .features import fixed_window_z, persistent
 
@@ -18,8 +21,27 @@ def quantile_threshold(df: DataFrame, score: str, lookback: int = 252, quantile:
 
 
 def expanding_threshold(df: DataFrame, score: str, quantile: float = 0.95, min_expanding: int = 60, out: str = "threshold") -> DataFrame:
-    """Quantile of all earlier scores, from row min_expanding on."""
-    return df.withColumn(out, F.when(F.col("t") >= min_expanding, F.percentile(score, F.lit(quantile)).over(past(ordered()))))
+    """Quantile of all earlier valid scores, from row min_expanding on; null where there are none.
+
+    A running quantile from two heaps, the scores up to its rank and those above it: logarithmic time a row, and
+    for its state one number for each earlier row of the series in hand.
+    """
+
+    def step(heaps, row):
+        low, high = heaps  # low holds negated scores, its largest first
+        t, x = row
+        n = len(low) + len(high)
+        at = (n - 1) * quantile
+        value = None
+        if n and t >= min_expanding:
+            value = -low[0] + (at - int(at)) * (high[0] + low[0]) if high else -low[0]
+        if x is not None:
+            heapq.heappush(high, -heapq.heappushpop(low, -x))
+            while len(low) < int(n * quantile) + 1:
+                heapq.heappush(low, -heapq.heappop(high))
+        return heaps, (value,)
+
+    return ordered_fold(df, ["t", score], lambda: ([], []), step, f"{out} double")
 
 
 def exceeds(df: DataFrame, score: str, threshold: str = "threshold", persistence: int = 3, out: str = "alarm") -> DataFrame:

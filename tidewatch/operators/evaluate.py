@@ -13,16 +13,6 @@ from .joins import event_members, union_label
 CELL = ("series_id", "method", "event_id")
 
 
-def event_cells(scores: DataFrame, events: DataFrame, pad: int = 0) -> DataFrame:
-    """Every score row once an event, with `inside`: rows of other events count as normal.
-
-    Events are a small dimension, so the rows are multiplied by it and marked by one membership join.
-    """
-    hits = event_members(scores.select("series_id", "method", "ts", "t"), events, pad).select("series_id", "method", "t", "event_id", F.lit(True).alias("_in"))
-    grid = scores.crossJoin(F.broadcast(events.select("event_id")))
-    return grid.join(hits, ["series_id", "method", "t", "event_id"], "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_in")
-
-
 def group_moments(scores: DataFrame, events: DataFrame, pad: int = 0) -> DataFrame:
     """n1, m1, v1 inside and n2, m2, v2 outside each event, without multiplying rows by events.
 
@@ -138,38 +128,6 @@ def nemenyi(d: DataFrame, block: str = "event_id", method: str = "method", value
     return per.withColumnRenamed(method, "method_a").join(b, F.col("method_a") < F.col("method_b")).select("method_a", "method_b", F.abs(F.col("r") - F.col("r2")).alias("difference"), "cd", (F.abs(F.col("r") - F.col("r2")) > F.col("cd")).alias("significant"))
 
 
-def bootstrap_ci(cells: DataFrame, replicates: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """ci_lo, ci_hi of d by circular block resampling on each side, blocks of round(n^(1/3)) rows.
-
-    Block starts come from a hash of (seed, replicate, cell, block), so they don't depend on
-    partitions. Each side's rows are numbered, blocks expanded to numbers and joined back.
-    """
-    rows = cells.where("score is not null").withColumn("i", F.row_number().over(Window.partitionBy(*CELL, "inside").orderBy("t")) - 1).select(*CELL, "inside", "i", "score")
-    side = rows.groupBy(*CELL, "inside").agg(F.count(F.lit(1)).alias("n")).withColumn("len", F.greatest(F.round(F.cbrt("n")).cast("long"), F.lit(1)))
-    blocks = side.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("len")) - 1)))
-    start = F.pmod(F.xxhash64(F.lit(seed), "rep", *CELL, "inside", "b"), F.col("n"))
-    take = F.least(F.col("len"), F.col("n") - F.col("b") * F.col("len"))
-    picked = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), take - 1))).select(*CELL, "inside", "rep", F.pmod(start + F.col("k"), F.col("n")).alias("i"))
-    s = picked.join(rows, [*CELL, "inside", "i"])
-    one = lambda flag, f: f(F.when(F.col("inside") == F.lit(flag), F.col("score")))
-    m = s.groupBy(*CELL, "rep").agg(one(True, F.count).alias("n1"), one(True, F.avg).alias("m1"), one(True, F.var_samp).alias("v1"), one(False, F.count).alias("n2"), one(False, F.avg).alias("m2"), one(False, F.var_samp).alias("v2"))
-    tail = (1 - level) / 2
-    return cohens_d(m).groupBy(*CELL).agg(F.percentile("d", F.lit(tail)).alias("ci_lo"), F.percentile("d", F.lit(1 - tail)).alias("ci_hi"))
-
-
-def permutation_test(cells: DataFrame, replicates: int = 200, seed: int = 11) -> DataFrame:
-    """p = (1 + permutations with a mean difference at least as large) / (1 + replicates); a permutation is a hash order."""
-    rows = cells.where("score is not null").select(*CELL, "t", "inside", "score")
-    n1 = F.count(F.when(F.col("inside"), 1)).over(Window.partitionBy(*CELL))
-    rows = rows.withColumn("_n1", n1)
-    seen = rows.groupBy(*CELL).agg(F.abs(F.avg(F.when(F.col("inside"), F.col("score"))) - F.avg(F.when(~F.col("inside"), F.col("score")))).alias("seen")).where("seen is not null")
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    place = F.row_number().over(Window.partitionBy(*CELL, "rep").orderBy(F.xxhash64(F.lit(seed), "rep", "t", *CELL), "t"))
-    reps = reps.withColumn("_in", place <= F.col("_n1"))
-    d = reps.groupBy(*CELL, "rep").agg(F.abs(F.avg(F.when(F.col("_in"), F.col("score"))) - F.avg(F.when(~F.col("_in"), F.col("score")))).alias("diff"))
-    return d.join(seen, list(CELL)).groupBy(*CELL).agg(((F.sum((F.col("diff") >= F.col("seen")).cast("int")) + 1) / (replicates + 1)).alias("p"))
-
-
 def auc_pr(scores: DataFrame, events: DataFrame, pad: int = 0) -> DataFrame:
     """Area under precision over recall, trapezoids over distinct thresholds; a null score counts as the series' median.
 

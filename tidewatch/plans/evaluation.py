@@ -60,10 +60,6 @@ def effects(spark, sf):
     return e.cohens_d(moments(spark, sf))
 
 
-def cells(spark, sf):
-    return e.event_cells(panel_scores(spark, sf), p.events_dim(spark))
-
-
 @query("a1_group_moments", rounded_sql("series_id, method, event_id, n1, n2", "m1, v1, m2, v2", MOM))
 def _(spark, sf):
     return rounded(moments(spark, sf))
@@ -309,11 +305,8 @@ def rows_only(name, f):
     query(name)(lambda spark, sf: rounded(f(spark, sf)))
 
 
-# Replicates by default as in the operators; the SQL gate runs every query, so the registered counts are 200 over all cells.
-rows_only("e5_bootstrap_ci", lambda s, d: e.bootstrap_ci(cells(s, d)))
 rows_only("e7_welch_p", lambda s, d: e.welch_t(moments(s, d)).select("series_id", "method", "event_id", "t", "df", "p"))
 rows_only("e8_adjusted_welch", lambda s, d: e.benjamini_hochberg(e.holm(e.welch_t(moments(s, d)).where("p is not null").select("series_id", "method", "event_id", "p"), "p", ["series_id"]), "p", ["series_id"]))
-rows_only("e9_permutation_test", lambda s, d: e.permutation_test(cells(s, d)))
 
 
 @query("e18_comparison_grid", f"""WITH z AS (SELECT series_id, event_id, min(t) AS t0 FROM {W} w JOIN {EVENTS_SQL} v ON w.ts >= v.start GROUP BY ALL)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.stats import normal_quantile_sql
 from tidewatch.functions.windows import expanding_z_sql, last_n, ordered
-from tidewatch.operators import detectors, fusion, topology
+from tidewatch.operators import detectors, fusion, resample, topology
 from tidewatch.operators import geometry as g
 from tidewatch.operators import inference as i
 from tidewatch.operators.joins import lower_bound, union_label
@@ -14,7 +14,7 @@ from tidewatch.sources import panels as p
 from tidewatch.sources.panels import EVENTS_SQL
 from tidewatch.sources.results import kept_table
 
-from .evaluation import D_SQL, METHODS, SCORES, effects, kept_scores, panel_scores, wide
+from .evaluation import CELLS, D_SQL, METHODS, POOLED, SCORES, effects, kept_scores, panel_scores, wide
 from .features import RET, W, returns, roll, std, vectors
 from .geometry import curvature, embedded
 from .registry import query, rounded, rounded_sql
@@ -153,6 +153,36 @@ def _(spark, sf):
 query("x16_mixed_states")(lambda spark, sf: rounded(g.mixed_observables(embedded(spark, sf))))
 
 
+# resampled cells: in SQL every row meets every event, is numbered on its side and drawn one by one
+
+DRAWS = 200
+SIDES = f"(SELECT *, row_number() OVER (PARTITION BY series_id, method, event_id, inside ORDER BY t) - 1 AS i, row_number() OVER (PARTITION BY series_id, method, event_id ORDER BY t) AS spot FROM {CELLS} WHERE score IS NOT NULL)"
+BOOT = f"""(WITH r AS MATERIALIZED (SELECT * FROM {SIDES}), g AS (SELECT series_id, method, event_id, inside, count(*) AS n, greatest(round(cbrt(count(*))), 1)::BIGINT AS size FROM r GROUP BY ALL), n AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY series_id, method, event_id) = 2),
+b AS (SELECT *, unnest(range(0, (n - 1) // size + 1)) AS b FROM (SELECT *, unnest(range(1, {DRAWS + 1})) AS rep FROM n)), k AS (SELECT *, {i.drawn_sql('7', 'rep', 'series_id', 'method', 'event_id', 'inside::INTEGER', 'b')} % n AS x FROM b),
+p AS (SELECT series_id, method, event_id, inside, rep, (x + unnest(range(0, least(size, n - b * size)))) % n AS i FROM k),
+m AS (SELECT series_id, method, event_id, rep, count(*) FILTER (inside) AS n1, avg(score) FILTER (inside) AS m1, var_samp(score) FILTER (inside) AS v1, count(*) FILTER (NOT inside) AS n2, avg(score) FILTER (NOT inside) AS m2, var_samp(score) FILTER (NOT inside) AS v2 FROM p JOIN r USING (series_id, method, event_id, inside, i) GROUP BY ALL),
+d AS (SELECT *, CASE WHEN n1 >= 2 AND n2 >= 2 THEN CASE WHEN {POOLED} < 1e-12 THEN 0.0 ELSE abs(m1 - m2) / {POOLED} END END AS d FROM m)
+SELECT series_id, method, event_id, n1, n2, quantile_cont(d, 0.025) AS ci_lo, quantile_cont(d, 0.975) AS ci_hi FROM d GROUP BY ALL)"""
+
+
+@query("e5_bootstrap_ci", rounded_sql("series_id, method, event_id, n1, n2", "ci_lo, ci_hi", BOOT))
+def _(spark, sf):
+    return rounded(resample.block_bootstrap(kept_scores(spark, sf), p.events_dim(spark), DRAWS))
+
+
+ONE = i.drawn_sql("11", "rep", "series_id", "method", "event_id", "j[1]") + " % j[1] + 1"
+PLACES = f"list_reduce(list_prepend([]::BIGINT[], list_transform(range(n - n1 + 1, n + 1), lambda v: [v])), lambda have, j: list_append(have, CASE WHEN list_contains(have, {ONE}) THEN j[1] ELSE {ONE} END))"
+PERM = f"""(WITH r AS MATERIALIZED (SELECT * FROM {SIDES}), c AS MATERIALIZED (SELECT series_id, method, event_id, count(*) FILTER (inside) AS n1, count(*) AS n, sum(score) AS s, round(abs(avg(score) FILTER (inside) - avg(score) FILTER (NOT inside)), 9) AS seen FROM r GROUP BY ALL HAVING n1 > 0 AND n1 < n),
+k AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS rep FROM c), q AS (SELECT series_id, method, event_id, rep, n1, n, s, seen, unnest({PLACES}) AS spot FROM k),
+d AS (SELECT series_id, method, event_id, rep, q.n1, q.n, seen, round(abs(sum(score) / q.n1 - (q.s - sum(score)) / (q.n - q.n1)), 9) AS gap FROM q JOIN r USING (series_id, method, event_id, spot) GROUP BY series_id, method, event_id, rep, q.n1, q.n, seen, q.s)
+SELECT series_id, method, event_id, n1, n - n1 AS n2, seen, (sum((gap >= seen)::INTEGER) + 1) / {DRAWS + 1}::DOUBLE AS p FROM d GROUP BY ALL)"""
+
+
+@query("e9_permutation_test", rounded_sql("series_id, method, event_id, n1, n2", "seen, p", PERM))
+def _(spark, sf):
+    return rounded(resample.permutation_p(kept_scores(spark, sf), p.events_dim(spark), DRAWS))
+
+
 # bootstraps and sign changes of effects, and recalibration by the other events
 
 EFFECT = f"(SELECT method, series_id || '/' || event_id AS unit, round(d, 6) AS d FROM {D_SQL} WHERE d IS NOT NULL)"
