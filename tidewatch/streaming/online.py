@@ -83,6 +83,8 @@ class Ordered(StatefulProcessor):
                 state.update(rows)
             elif rows:
                 state.put(rows)
+            else:
+                state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new, first = [], None
@@ -523,3 +525,136 @@ class OnlineStacking(OnlineLogistic):
         filled = np.array([0.5 if c is None or np.isnan(c) else float(c) for c in x]) if x else None
         p, n = self.update(filled, label)
         return (p if p is not None else max(known, default=None)), n, p is not None
+
+
+class Moments:
+    """Running number, mean and scatter matrix of vectors (a number's, with d = 1)."""
+
+    def __init__(self, n: int, mean, scatter):
+        self.n, self.mean = n, np.array(mean, float)
+        self.scatter = np.array(scatter, float).reshape(len(self.mean), len(self.mean))
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Moments:
+        """Moments of an array of rows."""
+        mean = rows.mean(0) if len(rows) else np.zeros(rows.shape[1])
+        return cls(len(rows), mean, (rows - mean).T @ (rows - mean))
+
+    def add(self, x: np.ndarray) -> None:
+        self.n += 1
+        before = x - self.mean
+        self.mean = self.mean + before / self.n
+        self.scatter = self.scatter + np.outer(before, x - self.mean)
+
+    def faded(self, factor: float, over: int = 50, floor: int = 20) -> Moments:
+        """The same with the weight of the past lessened, where more than `over` rows are in it."""
+        return Moments(max(int(self.n * factor), floor), self.mean, self.scatter * factor) if self.n > over else self
+
+    def log_density(self, x: np.ndarray, ridge: float) -> float:
+        """Of a Gaussian with these moments; -100, a poor fit, with fewer than d + 2 rows."""
+        d = len(self.mean)
+        if self.n < d + 2:
+            return -100.0
+        low = np.linalg.cholesky(self.scatter / (self.n - 1) + ridge * np.eye(d))
+        z = np.linalg.solve(low, x - self.mean)
+        return float(-0.5 * (z @ z + d * np.log(2 * np.pi)) - np.log(np.diag(low)).sum())
+
+    def packed(self) -> tuple:
+        return self.n, self.mean.tolist(), self.scatter.ravel().tolist()
+
+
+class OnlineMoments(Model):
+    """Mean vector and covariances (upper triangle, by rows) of all vectors so far, by one update a row; a null vector, or one with a missing component, changes nothing."""
+
+    states = {"head": ("value", "n long, mean array<double>, scatter array<double>")}
+    outputs = "n long, mean array<double>, cov array<double>"
+
+    def __init__(self):
+        self.m: Moments | None = None
+
+    def restore(self, held):
+        n, mean, scatter = held["head"]
+        self.m = Moments(n, mean, scatter) if n else None
+
+    def dump(self):
+        return {"head": self.m.packed() if self.m else (0, [], [])}
+
+    def update(self, x, label):
+        if x is not None:
+            self.m = self.m or Moments.of(np.zeros((0, len(x))))
+            self.m.add(x)
+        if self.m is None:
+            return 0, None, None
+        up = np.triu_indices(len(self.m.mean))
+        return self.m.n, self.m.mean.tolist(), (self.m.scatter[up] / (self.m.n - 1)).tolist() if self.m.n > 1 else None
+
+
+class OnlineRegimes(Model):
+    """P(crisis) of two multivariate Gaussian regimes with sticky transitions; each row joins the regime that it fits better.
+
+    A component counts by its absolute z-score against its own past (0 when missing or with fewer
+    than ten values before). The first `least` rows are split at the 80th percentile of their
+    norms, and the first probability is that of the least-th row. Every `every` rows both regimes
+    forget: their number and scatter shrink by `factor` where they hold more than 50 rows. State
+    is bounded: the first rows go once the regimes stand. A null vector gives null and changes nothing.
+    """
+
+    states = {
+        "head": ("value", "t long, p double"),
+        "own": ("value", "n array<long>, mean array<double>, scatter array<double>"),
+        "calm": ("value", "n long, mean array<double>, scatter array<double>"),
+        "crisis": ("value", "n long, mean array<double>, scatter array<double>"),
+        "history": ("list", "z array<double>"),
+    }
+    outputs = "p_crisis double"
+
+    def __init__(self, least: int = 126, stay: float = 0.8, ridge: float = 1e-4, factor: float = 0.995, every: int = 21):
+        self.args = least, stay, ridge, factor, every
+        self.t, self.p, self.own = 0, 0.1, []
+        self.regimes: list[Moments] = []
+        self.rows: list[np.ndarray] = []
+
+    def restore(self, held):
+        self.t, self.p = held["head"]
+        self.own = [Moments(n, [m], [s]) for n, m, s in zip(*held["own"])]
+        self.rows = [np.array(r[0]) for r in held.get("history", [])]
+        self.regimes = [Moments(*held[k]) for k in ("calm", "crisis") if k in held and held[k][1]]
+
+    def dump(self):
+        calm, crisis = [m.packed() for m in self.regimes] or [(0, [], [])] * 2
+        own = [m.n for m in self.own], [float(m.mean[0]) for m in self.own], [float(m.scatter[0, 0]) for m in self.own]
+        return {"head": (self.t, self.p), "own": own, "calm": calm, "crisis": crisis, "history": [(z.tolist(),) for z in self.rows]}
+
+    def _z(self, x: list) -> np.ndarray:
+        self.own = self.own or [Moments(0, [0.0], [0.0]) for _ in x]
+        out = np.zeros(len(x))
+        for i, (v, m) in enumerate(zip(x, self.own)):
+            if v is None or not np.isfinite(v):
+                continue
+            if m.n >= 10:
+                out[i] = abs(v - m.mean[0]) / max(np.sqrt(m.scatter[0, 0] / (m.n - 1)), 1e-8)
+            m.add(np.array([v]))
+        return out
+
+    def update_raw(self, x, label):
+        if x is None or not len(x):
+            return (None,)
+        least, stay, ridge, factor, every = self.args
+        self.t += 1
+        z = self._z(x)
+        if not self.regimes:
+            self.rows.append(z)
+            if self.t < least:
+                return (None,)
+            past = np.array(self.rows)
+            norms = np.linalg.norm(past, axis=1)
+            high = norms >= np.percentile(norms, 80)
+            self.regimes, self.rows = [Moments.of(past[~high]), Moments.of(past[high])], []
+        prior = self.p * stay + (1 - self.p) * (1 - stay)
+        calm, crisis = (m.log_density(z, ridge) for m in self.regimes)
+        odds = np.clip(crisis + np.log(prior) - calm - np.log(1 - prior), -700, 700)
+        self.p = float(np.clip(1 / (1 + np.exp(-odds)), 0.001, 0.999))
+        self.regimes[int(self.p > 0.5)].add(z)
+        if self.t % every == 0:
+            self.regimes = [m.faded(factor) for m in self.regimes]
+        return (self.p,)
