@@ -217,3 +217,50 @@ def lead_by_correlation(df: DataFrame, z: str, vol: str, most: int = 130) -> Dat
 
     c = lag_correlations(df, z, vol, range(0, most, 5), least=30)
     return c.groupBy("series_id").agg(F.max_by(F.struct("lag", "corr"), F.struct(F.round(F.abs("corr"), 9), -F.col("lag"))).alias("b")).select("series_id", "b.lag", "b.corr")
+
+
+def log_performance(df: DataFrame, r: str, keys: tuple[str, ...], least: int = 30, per_year: int = 252) -> DataFrame:
+    """keys, n, sharpe, max_drawdown, calmar of log returns; null returns are left out.
+
+    Equity begins with the first return. Ratios are null with fewer than `least` returns, or where
+    they would divide by nothing; the drawdown with fewer than two.
+    """
+    w = ordered(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.where(F.col(r).isNotNull()).withColumn("_c", F.exp(F.sum(r).over(w)))
+    x = x.withColumn("_dd", 1 - F.col("_c") / F.max("_c").over(w))
+    g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"), F.max("_dd").alias("_dd"))
+    enough = F.col("n") >= least
+    return g.select(
+        *keys, "n", F.when(enough & (F.col("_s") > 1e-12), F.col("_m") / F.col("_s") * per_year**0.5).alias("sharpe"),
+        F.when(F.col("n") >= 2, F.col("_dd")).alias("max_drawdown"), F.when(enough & (F.col("_dd") > 1e-12), F.col("_m") * per_year / F.col("_dd")).alias("calmar"),
+    )
+
+
+def hedge_timing(df: DataFrame, z: str, r: str = "ret", threshold: float = 1.5, share: float = 0.10, cost: float = 0.0005) -> DataFrame:
+    """series_id, strategy, hedged (share of rows) and log_performance: no hedge, always, while z is above the threshold, and while it is not.
+
+    A hedged row sells `share` of the position and pays `cost`. A null return counts as 0 but for `none`; a null z is never hedged on signal.
+    """
+    c, flat = F.col, F.coalesce(F.col(r), F.lit(0.0))
+    covered = flat * (1 - share) - cost
+    on = F.coalesce(c(z) > threshold, F.lit(False))
+    off = F.coalesce(c(z) <= threshold, F.lit(False))
+    one = lambda name, hedged, value: F.struct(F.lit(name).alias("strategy"), hedged.alias("_on"), value.alias("_r"))
+    ways = [one("none", F.lit(False), c(r)), one("always", F.lit(True), covered), one("timed", on, F.when(on, covered).otherwise(flat)), one("mistimed", off, F.when(off, covered).otherwise(flat))]
+    x = df.select("series_id", "t", F.explode(F.array(*ways)).alias("_k")).select("series_id", "t", "_k.*")
+    hedged = x.groupBy("series_id", "strategy").agg(F.avg(c("_on").cast("double")).alias("hedged"))
+    return hedged.join(log_performance(x, "_r", ("series_id", "strategy")), ["series_id", "strategy"], "left")
+
+
+def overlay_utility(scores: DataFrame, returns: DataFrame, quantile: float = 0.9, low: float = 0.2, least: int = 30, per_year: int = 252) -> DataFrame:
+    """series_id, method, utility, gain: the Sharpe ratio of holding `low` of a position while a method's score is above its own quantile, and what it adds to holding all.
+
+    The quantile is that of all scores of the series (it looks ahead); rows without a score or a return take no part, and
+    both ratios use the same rows. Null with fewer than `least` rows or a flat return.
+    """
+    keys = ["series_id", "method"]
+    cut = scores.groupBy(*keys).agg(F.percentile("score", F.lit(quantile)).alias("_cut"))
+    x = scores.where("score is not null").join(cut, keys).join(returns.select("series_id", "t", F.col("ret").alias("_r")).where("_r is not null"), ["series_id", "t"])
+    x = x.withColumn("_p", F.when(F.col("score") > F.col("_cut"), low).otherwise(1.0) * F.col("_r"))
+    sharpe = lambda c: F.when((F.count(c) >= least) & (F.stddev_samp(c) > 1e-12), F.avg(c) / F.stddev_samp(c) * per_year**0.5)
+    return x.groupBy(*keys).agg(sharpe("_p").alias("utility"), (sharpe("_p") - sharpe("_r")).alias("gain"))

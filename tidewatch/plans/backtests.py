@@ -153,3 +153,16 @@ strategy("b4_continuous", CONT, b.continuous, "weight")
 strategy("b4_multi_signal", long_flat_sql("((p_crisis + (1 - p_crisis * p_crisis)) / 2)"), lambda x: b.multi_signal(x.withColumn("p2", 1 - F.col("p_crisis") * F.col("p_crisis")), ["p_crisis", "p2"]), "weight")
 rows_only("b7_sharpe_ci", lambda x: b.sharpe_ci(x, "ret"))
 rows_only("b8_sensitivity", lambda x: b.sensitivity(x, [0.05, 0.1, 0.15], [0.4, 0.5, 0.6]))
+
+
+ZED = f"(SELECT *, (p_crisis - avg(p_crisis) {roll(52)}) / nullif(stddev_samp(p_crisis) {roll(52)}, 0) AS z FROM {R})"
+WAYS = "('none', false, ret), ('always', true, ret * 0.9::DOUBLE - 0.0005::DOUBLE), ('timed', coalesce(z > 1.5, false), CASE WHEN z > 1.5 THEN ret * 0.9::DOUBLE - 0.0005::DOUBLE ELSE ret END), ('mistimed', coalesce(z <= 1.5, false), CASE WHEN z <= 1.5 THEN ret * 0.9::DOUBLE - 0.0005::DOUBLE ELSE ret END)"
+
+
+@query("b9_hedge_timing", f"""WITH x AS MATERIALIZED (SELECT series_id, t, k.strategy, k.hedge, k.r FROM (SELECT * EXCLUDE (z), round(z, 9) AS z FROM {ZED}) s, LATERAL (VALUES {WAYS}) k(strategy, hedge, r)),
+c AS (SELECT *, exp(sum(r) OVER (PARTITION BY series_id, strategy ORDER BY t)) AS c FROM x), d AS (SELECT *, 1 - c / max(c) OVER (PARTITION BY series_id, strategy ORDER BY t) AS dd FROM c)
+SELECT series_id, strategy, round(avg(hedge::INTEGER), 6) AS hedged, count(*) AS n, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(max(dd), 6) AS max_drawdown, round(avg(r) * 252 / max(dd), 6) AS calmar FROM d GROUP BY ALL""")
+def _(spark, sf):
+    w = ordered().rowsBetween(-51, 0)
+    z = (F.col("p_crisis") - F.avg("p_crisis").over(w)) / F.nullif(F.stddev_samp("p_crisis").over(w), F.lit(0.0))
+    return rounded(b.hedge_timing(base(spark, sf).withColumn("z", F.round(z, 9)), "z"))

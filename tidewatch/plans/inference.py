@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.stats import normal_quantile_sql
 from tidewatch.functions.windows import expanding_z_sql, last_n, ordered
 from tidewatch.operators import detectors, fusion, resample, topology
+from tidewatch.operators import evaluate as e
 from tidewatch.operators import geometry as g
 from tidewatch.operators import inference as i
 from tidewatch.operators.joins import lower_bound, union_label
@@ -221,3 +223,21 @@ def _(spark, sf):
     y = union_label(p.weekly(spark, sf), p.events_dim(spark)).select("series_id", "t", "inside")
     x = s.join(y, ["series_id", "t"]).select("series_id", F.year("ts").alias("fold"), F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("p"), F.col("inside").cast("int").alias("y"))
     return rounded(i.held_out_recalibration(x, "p", "y", "fold", ["series_id"]))
+
+
+CUTS = f"(SELECT series_id, method, quantile_cont(score, 0.9) AS cut FROM {SCORES} GROUP BY ALL)"
+OVERLAY = f"(SELECT series_id, method, ret, CASE WHEN score > cut THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END * ret AS held FROM {SCORES} s JOIN {CUTS} USING (series_id, method) JOIN {RET} r USING (series_id, t) WHERE score IS NOT NULL AND ret IS NOT NULL)"
+
+
+@query("e24_utility_ranking", f"""WITH u AS (SELECT series_id, method, round(avg(held) / stddev_samp(held) * sqrt(252), 6) AS utility, round(avg(held) / stddev_samp(held) * sqrt(252) - avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS gain FROM {OVERLAY} GROUP BY ALL HAVING count(*) >= 30),
+d AS (SELECT series_id, method, round(avg(d), 6) AS mean_d FROM {D_SQL} GROUP BY ALL)
+SELECT series_id, method, utility + 0.0 AS utility, gain + 0.0 AS gain, mean_d + 0.0 AS mean_d, rank() OVER (PARTITION BY series_id ORDER BY utility DESC)::INTEGER AS place_by_utility, rank() OVER (PARTITION BY series_id ORDER BY mean_d DESC)::INTEGER AS place_by_d FROM u JOIN d USING (series_id, method)""")
+def _(spark, sf):
+    """Do methods that tell events best also time exposure best? Places by overlay and by effect size."""
+    from tidewatch.operators.backtest import overlay_utility
+
+    s = kept_scores(spark, sf)
+    d = e.cohens_d(e.group_moments(s, p.events_dim(spark))).groupBy("series_id", "method").agg(F.avg("d").alias("mean_d"))
+    x = rounded(overlay_utility(s, returns(spark, sf)).join(d, ["series_id", "method"]))
+    place = lambda c: F.rank().over(Window.partitionBy("series_id").orderBy(F.col(c).desc()))
+    return x.withColumn("place_by_utility", place("utility")).withColumn("place_by_d", place("mean_d"))

@@ -101,18 +101,18 @@ online_model("st10_online_changepoints", on.OnlineChangepoints)
 online_model("st4_online_regimes", on.OnlineRegimes)
 
 SIZE = 5
-#: Means of decimals often lie halfway between two rounded values, where two engines' last bits decide.
+#: Moments of decimals often lie halfway between two rounded values, where two engines' last bits decide.
 NUDGE = 1.2345678e-6
 PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 VECTORS = f"""(SELECT series_id, ts, CASE WHEN count(value) OVER d = 24 THEN [value, value - lag(value) OVER w, avg(value) OVER d, stddev_samp(value) OVER d, max(value) OVER d - min(value) OVER d] END AS x
  FROM {BARS} WINDOW w AS (PARTITION BY series_id ORDER BY ts), d AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
 
 
-@query("st3_vector_moments", "SELECT series_id, ts, count(x) OVER w AS n, " + ", ".join(f"round(avg(x[{i + 1}]) OVER w + {NUDGE}, 5) AS mean_{i}" for i in range(SIZE)) + ", " + ", ".join(f"round(covar_samp(x[{i + 1}], x[{j + 1}]) OVER w, 5) + 0.0 AS cov_{i}{j}" for i, j in PAIRS) + f" FROM {VECTORS} WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+@query("st3_vector_moments", "SELECT series_id, ts, count(x) OVER w AS n, " + ", ".join(f"round(avg(x[{i + 1}]) OVER w + {NUDGE}, 5) AS mean_{i}" for i in range(SIZE)) + ", " + ", ".join(f"round(covar_samp(x[{i + 1}], x[{j + 1}]) OVER w + {NUDGE}, 5) AS cov_{i}{j}" for i, j in PAIRS) + f" FROM {VECTORS} WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def _(spark, sf):
     x = hourly_vectors(spark, sf).select("series_id", "ts", "x", F.lit(None).cast("double").alias("label"), F.col("ts").alias("arrives"))
     out = on.replayed({"x": x}, lambda s: on.stream(s["x"], on.OnlineMoments, "6 hours"), on.schema(on.OnlineMoments), shared_folder(spark))
-    parts = [(F.element_at("mean", i + 1) + NUDGE).alias(f"mean_{i}") for i in range(SIZE)] + [F.element_at("cov", k + 1).alias(f"cov_{i}{j}") for k, (i, j) in enumerate(PAIRS)]
+    parts = [(F.element_at("mean", i + 1) + NUDGE).alias(f"mean_{i}") for i in range(SIZE)] + [(F.element_at("cov", k + 1) + NUDGE).alias(f"cov_{i}{j}") for k, (i, j) in enumerate(PAIRS)]
     return rounded(out.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", *parts), 5)
 
 
