@@ -758,3 +758,41 @@ def segment_lengths(segments: DataFrame, ops: np.ndarray, steps: int = 100) -> D
     q = dot("dx", F.transform(F.sequence(F.lit(0), n - 1), lambda i: dot(F.slice("g", i * n + 1, n), "dx")))
     out = g.groupBy("id").agg(F.sum(F.sqrt(F.greatest(q, F.lit(0.0)))).alias("length"))
     return segments.select("id").join(out, "id", "left")
+
+
+def floquet_observables(df: DataFrame, ops: np.ndarray, window: int = 20, x: str = "x") -> DataFrame:
+    """series_id, ts, t, min_gap, gap_std, level_ratio of the quasi-energies of each row's last `window` vectors, taken as one period.
+
+    The period's operator is the ordered product of exp(-i H dt), the latest on the left, dt being
+    2 pi / window. Gaps lie on the circle, the one across its end included. level_ratio is the mean
+    ratio of the smaller to the larger of two neighbouring gaps, without pairs that are both 0; null
+    with fewer than three levels. All are null where the window holds fewer vectors. Every row carries its own window of vectors,
+    so rows are worked on wherever they lie.
+    """
+    kept = F.collect_list(x).over(ordered().rowsBetween(1 - window, 0))
+    rows = df.select("series_id", "ts", "t", kept.alias("_past"))
+    names = ["min_gap", "gap_std", "level_ratio"]
+    schema = T.StructType([*rows.schema.fields[:3], *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            past = batch.column(3).to_pylist()
+            whole = np.array([len(p) == window for p in past], bool)
+            out = np.full((3, len(past)), np.nan)
+            if whole.any():
+                xs = np.array([p for p in past if len(p) == window], float)
+                period = np.eye(ops.shape[1], dtype=complex)
+                for k in range(window):
+                    e, v = np.linalg.eigh(hamiltonians(xs[:, k], ops))
+                    period = (v * np.exp(-2j * np.pi / window * e)[:, None, :]) @ v.conj().transpose(0, 2, 1) @ period
+                phases = np.sort(np.angle(np.linalg.eigvals(period)), 1)
+                gaps = np.maximum(np.diff(phases, axis=1, append=phases[:, :1] + 2 * np.pi), 0.0)
+                out[0, whole], out[1, whole] = gaps.min(1), gaps.std(1)
+                if gaps.shape[1] > 2:
+                    after = np.roll(gaps, -1, 1)
+                    big = np.maximum(gaps, after)
+                    ratio = np.where(big > 1e-15, np.minimum(gaps, after) / np.maximum(big, 1e-15), np.nan)
+                    out[2, whole] = np.nanmean(ratio, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(o, from_pandas=True) for o in out]], names=[f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)

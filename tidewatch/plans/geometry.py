@@ -193,3 +193,6 @@ def _(spark, sf):
     kind = F.when(F.col("variant").startswith("random"), "random").otherwise(F.col("variant"))
     g_ = d.groupBy(kind.alias("basis"), "method").agg(F.count(F.lit(1)).alias("n"), F.avg("median_d").alias("mean"), F.min("median_d").alias("least"), F.max("median_d").alias("most"), F.coalesce(F.stddev_samp("median_d"), F.lit(0.0)).alias("deviation"))
     return rounded(g_)
+
+
+rows_only("x5_floquet", lambda spark, sf: g.floquet_observables(projected(spark, sf), g.basis("random", DIM, COMPONENTS)))
