@@ -8,6 +8,7 @@ counted in the state.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a replay that one partition of the state takes.
+PARTITION_ROWS = 100_000
+
+
+@contextmanager
+def state_settings(spark: SparkSession, rows: int):
+    """For queries that begin inside: RocksDB state, in one partition a core, or one for 100,000 of `rows` if these are more.
+
+    A stateful step opens and commits the stores of all its partitions in every batch, also where they are empty, so
+    their number follows the stream and not the session's shuffles (which it never exceeds).
+    """
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // PARTITION_ROWS)))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER, "spark.sql.shuffle.partitions": str(n)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 class Fold(StatefulProcessor):
@@ -282,21 +304,17 @@ def replayed(df: DataFrame, processor: Fold, folder: str, slices: int = 3) -> Da
     from tidewatch.sources.results import kept_table
 
     rows = kept_table(spark)(df.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")))
-    lo, hi = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    lo, hi, n = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")), F.count(F.lit(1))).first()
     if lo is None:
         return spark.createDataFrame([], processor.schema)
-    root, key = f"{folder}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_PROVIDER)
+    root = f"{folder}/stream-{uuid.uuid4().hex}"
     part = F.floor((F.unix_timestamp("ts") - lo) * slices / (hi - lo + 1))
-    try:
+    with state_settings(spark, n):
         for k in range(slices):
             rows.where(part == k).write.mode("append").parquet(f"{root}/in")
             source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
             q = stream(source, processor).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
             q.awaitTermination()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(processor.schema).parquet(f"{root}/out")
 
 
