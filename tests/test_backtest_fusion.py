@@ -160,6 +160,21 @@ def test_garch_follows_volatility(spark):
     assert (few.alpha, few.beta, few.omega, few.nll) == (0.06, 0.94, 0.0, None)
 
 
+def test_garch_computes_its_input_once(spark):
+    """Rounds read what was kept: the input, whatever joins made it, is not computed again in each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = series(spark, "ret", regimes()).select("series_id", "t", "ret")
+    fits = models.garch_fit(df.mapInArrow(counted, df.schema), kept_table(spark), rounds=3)
+    assert fits.first().nll == pytest.approx(models.garch_fit(df, kept_table(spark), rounds=3).first().nll, rel=1e-12)
+    assert seen.value == df.count()
+
+
 def test_turbulence_of_any_number_of_features(spark):
     x = np.random.default_rng(8).normal(size=(90, 3))
     df = spark.createDataFrame([("a", i, None if i == 4 else [None, 1.0, 2.0] if i == 5 else v.tolist()) for i, v in enumerate(x)], "series_id string, t long, x array<double>")

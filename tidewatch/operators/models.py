@@ -99,14 +99,13 @@ def garch_fit(df: DataFrame, keep, x: str = "ret", rounds: int = 14, least: int
     order through one task, with one variance a candidate for its state. The grid of the next round
     lies around the best candidate and is half as wide, unless the best lay in the grid's outer part.
     A series with fewer than `least` values has the decay of an EWMA (omega 0, alpha 0.06, beta 0.94)
-    and a null nll. Null values are left out. `keep` writes a table and reads it back.
+    and a null nll. Null values are left out. `keep` writes a table and reads it back: `df` is computed once, whatever the rounds.
     """
     centre, width, side = _GARCH_START
     pairs = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    rows = df.where(F.col(x).isNotNull()).select("series_id", "t", F.col(x).cast("double").alias("r"))
-    stats = rows.groupBy("series_id").agg(F.avg("r").alias("mean"), F.greatest(F.var_pop("r"), F.lit(1e-18)).alias("var"), F.count(F.lit(1)).alias("n"))
-    rows = keep(rows.join(stats.where(F.col("n") >= least), "series_id").select("series_id", "t", (F.col("r") - F.col("mean")).alias("r"), "var"))
-    fits = keep(stats.withColumn("centre", pairs(centre)).withColumn("width", pairs(width)).withColumn("nll", F.lit(None).cast("double")))
+    rows = keep(df.where(F.col(x).isNotNull()).select("series_id", "t", F.col(x).cast("double").alias("r")))
+    stats = keep(rows.groupBy("series_id").agg(F.avg("r").alias("mean"), F.greatest(F.var_pop("r"), F.lit(1e-18)).alias("var"), F.count(F.lit(1)).alias("n")))
+    fits = stats.withColumn("centre", pairs(centre)).withColumn("width", pairs(width)).withColumn("nll", F.lit(None).cast("double"))
 
     def params(at: np.ndarray, var: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, share = 1 - np.exp(at[:, 0]), at[:, 1]
@@ -147,7 +146,8 @@ def garch_fit(df: DataFrame, keep, x: str = "ret", rounds: int = 14, least: int
 
     schema = "series_id string, centre array<double>, width array<double>, nll double"
     for k in range(rounds):
-        at = rows.join(fits.select("series_id", "centre", "width"), "series_id").repartition("series_id").sortWithinPartitions("series_id", "t")
+        tried = fits.where(F.col("n") >= least).select("series_id", "mean", "var", "centre", "width")
+        at = rows.join(tried, "series_id").withColumn("r", F.col("r") - F.col("mean")).repartition("series_id").sortWithinPartitions("series_id", "t")
         found = at.mapInPandas(search(side if k == 0 else 2), schema)
         fits = keep(stats.join(found, "series_id", "left"))
     p, share, scale = 1 - F.exp(F.element_at("centre", 1)), F.element_at("centre", 2), F.exp(F.element_at("centre", 3))

@@ -37,7 +37,15 @@ def keep(df, *cols):
 
 rows_only("m5_hidden_markov", lambda s, d: keep(m.hidden_regimes(returns(s, d)), "p_high"))
 rows_only("m6_markov_switching", lambda s, d: keep(m.hidden_regimes(returns(s, d), ar=True), "p_high"))
-rows_only("m7_garch", lambda s, d: keep(m.garch_vol(returns(s, d), m.garch_fit(returns(s, d), kept_table(s))), "sigma", "score"))
+
+
+def garch(spark, sf):
+    kept = kept_table(spark)
+    x = kept(returns(spark, sf))
+    return keep(m.garch_vol(x, m.garch_fit(x, kept)), "sigma", "score")
+
+
+rows_only("m7_garch", garch)
 rows_only("m7_garch_parameters", lambda s, d: m.garch_fit(returns(s, d), kept_table(s)))
 rows_only("d5_turbulence_vector", lambda s, d: m.turbulence(returns(s, d).select("series_id", "t", F.array("ret", F.col("close") / 1e6, f.momentum("close", 5)).alias("x"))))
 rows_only("m8_isolation_forest", lambda s, d: m.isolation_scores(vectors(returns(s, d))))
